@@ -110,3 +110,12 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+    """Consecutive parts of a batch with about `most` bytes of that column each (one row at least), so a task's memory is bounded."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)

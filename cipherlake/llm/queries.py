@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cipherlake.llm.common import table
 from cipherlake.llm.minhash import near_duplicates
+from cipherlake.llm.token_shards import write_and_read
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +27,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash_near_dedup": op8_minhash_near_dedup}
+    return {"op2_token_id_output": op2_token_id_output, "op8_minhash_near_dedup": op8_minhash_near_dedup}
