@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cipherlake.llm.common import table
+from cipherlake.llm.imatch import imatch_fingerprints
 from cipherlake.llm.minhash import near_duplicates
 from cipherlake.llm.token_shards import write_and_read
 
@@ -22,9 +23,13 @@ def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=5, rows=4, bands=9)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_id_output": op2_token_id_output, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+    return {"op2_token_id_output": op2_token_id_output, "op6_imatch_fingerprints": op6_imatch_fingerprints, "op8_minhash_near_dedup": op8_minhash_near_dedup}
