@@ -10,6 +10,7 @@ from cipherlake.llm.common import table
 from cipherlake.llm.imatch import imatch_fingerprints
 from cipherlake.llm.minhash import near_duplicates
 from cipherlake.llm.token_shards import write_and_read
+from cipherlake.llm.warc import archive_round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +24,10 @@ def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -32,4 +37,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_id_output": op2_token_id_output, "op6_imatch_fingerprints": op6_imatch_fingerprints, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+    return {"op2_token_id_output": op2_token_id_output, "op5_warc_index_merge": op5_warc_index_merge, "op6_imatch_fingerprints": op6_imatch_fingerprints, "op8_minhash_near_dedup": op8_minhash_near_dedup}
