@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import mix, shingle_sets, staged
+from cipherlake.llm.common import mix, shingle_sets, slices, staged
 from cipherlake.llm.components import connected_components
 
 #: Rows of a bucket that are compared in one task at a time.
@@ -33,7 +33,7 @@ def signatures(docs: DataFrame, rows: int, bands: int, k: int = 5, seed: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(2 * bands * rows, seed)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch.column("text"), k)
             n = np.array([len(s) for s in sets], np.int64)
             low = np.zeros((len(a), len(sets)), np.uint32)
@@ -113,31 +113,94 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
     return heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
-    """Likely pairs inside buckets whose members lie in different components, compared in blocks of BLOCK by BLOCK rows."""
+def fine_sketches(docs: DataFrame, sids: DataFrame, hashes: int, k: int, seed: int) -> DataFrame:
+    """(sid, set_hi, set_lo, fine): a byte of each of many more minhashes, for the few sets of sids (sid, set_hi, set_lo) only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _coefficients(hashes, seed + 1)
+        for whole in batches:
+            for batch in slices(whole):
+                out, keep = [], []
+                hi, lo = batch.column("set_hi").to_pylist(), batch.column("set_lo").to_pylist()
+                for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                    h = xxhash.xxh3_128_intdigest(s.tobytes())
+                    if h >> 64 != hi[i] % 2**64 or h % 2**64 != lo[i] % 2**64:
+                        continue  # another row with the same doc_id
+                    low = np.full(hashes, np.iinfo(np.uint32).max, np.uint32)
+                    with np.errstate(over="ignore"):
+                        for at in range(0, len(s), 2048):
+                            low = np.minimum(low, ((((s[at : at + 2048, None] ^ b) * a)) >> np.uint64(32)).astype(np.uint32).min(0))
+                    keep.append(i)
+                    out.append(low.astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["sid", "fine"])
+
+    of = docs.select(F.col("doc_id").cast("long").alias("sid"), F.col("text").cast("string").alias("text")).join(sids, "sid").select("sid", "set_hi", "set_lo", "text")
+    return of.mapInArrow(run, "sid long, fine binary").dropDuplicates(["sid"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys in a sorted stream; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(c)) for c in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(c[a] for c in cols)
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, least: int, k: int, seed: int, fine: int = 512) -> DataFrame:
+    """Likely pairs inside buckets whose members lie in different components, compared in blocks of BLOCK by BLOCK rows.
+
+    A pair is looked at in the first of its common buckets only, and put out if both the table
+    minhashes and `fine` further ones leave the link possible (four standard deviations).
+    """
     now = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size")
-    rows = now.join(open_, "key").join(sets.select("sid", "n", "sketch"), "sid")
+    rows = staged(now.join(open_, "key"), "open")
+    of = sets.join(rows.select("sid").distinct(), "sid")
+    extra = staged(of.join(fine_sketches(docs, of.select("sid", "set_hi", "set_lo"), fine, k, seed), "sid").select("sid", "n", "sketch", "left", "right", "fine"), "fine")
+    rows = rows.join(extra, "sid")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     # A row of block i goes to the block pairs (min(i, j), max(i, j)) for every j.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "sid", "component", "n", "sketch")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = np.frombuffer(b"".join(g.sketch), np.uint8).reshape(len(g), -1)
-        comp, n, sid, mine = g.component.to_numpy(), g.n.to_numpy(), g.sid.to_numpy(), g.mine.to_numpy()
-        p, q = int(g.p.iloc[0]), int(g.q.iloc[0])
-        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        out = []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((sid[right] > sid[i]) | (p != q))]
-            js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
-            js = js[(m[js] == m[i]).sum(1) >= least]
-            out.append(np.stack([np.minimum(sid[i], sid[js]), np.maximum(sid[i], sid[js])], 1))
-        out = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+    rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "sid", "component", "n", "i", "j", "sketch", "left", "right", "fine")
+    least_fine = _least_matches(fine, percent)
 
-    return rows.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["key", "p", "q"]):
+            comp, n, sid, mine = (g.column(c).to_numpy() for c in ("component", "n", "sid", "mine"))
+            p, q, i0, j0 = (g.column(c)[0].as_py() for c in ("p", "q", "i", "j"))
+            m, more = (np.frombuffer(b"".join(g.column(c).to_pylist()), np.uint8).reshape(len(sid), -1) for c in ("sketch", "fine"))
+            halves = [np.array(g.column(c).combine_chunks().flatten()).reshape(len(sid), -1)[:, :x] for c, x in (("left", i0), ("right", j0))]
+            left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+            out = []
+            for i in left:
+                js = right[(comp[right] != comp[i]) & ((sid[right] > sid[i]) | (p != q))]
+                js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
+                js = js[(m[js] == m[i]).sum(1) >= least]
+                js = js[(more[js] == more[i]).sum(1) >= least_fine]
+                for h in halves:
+                    js = js[~(h[js] == h[i]).any(1)]
+                if len(js):
+                    out.append(np.stack([np.minimum(sid[i], sid[js]), np.maximum(sid[i], sid[js])], 1))
+            if out:
+                out = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = 3, bands: int = 9, seed: int = 11) -> DataFrame:
@@ -151,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int =
        its smallest and its largest member, a number of candidates linear in the members.
     3. Candidates are confirmed on full shingle sets read again from the texts; components follow.
     4. In buckets that still hold several components, members of different components are compared
-       by their sketches in blocks, likely pairs are confirmed, and the components are joined.
+       by longer sketches in blocks, likely pairs are confirmed, and the components are joined.
        No cap: every bucket is worked off.
 
     Null, empty and word-free texts have no shingles and are linked with nothing. Rows with a null
@@ -163,14 +226,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int =
     sig = staged(signatures(docs, rows, bands, k, seed), "sig")
     sets = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "n", "left", "right", "sketch")).alias("s"))
     sets = staged(sets.select("set_hi", "set_lo", F.col("s.doc_id").alias("sid"), "s.n", "s.left", "s.right", "s.sketch"), "sets")
-    keys = sets.select("sid", "right", F.posexplode("left").alias("i", "x")).select("sid", "i", "x", F.posexplode("right").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "sid")
+    keys = sets.select("sid", "right", F.posexplode("left").alias("i", "x")).select("sid", "i", "x", F.posexplode("right").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "i", "j", "sid")
     buckets = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
     members = staged(keys.join(buckets, "key"), "members")
     stars = members.select(F.col("lo").alias("a"), F.col("sid").alias("b")).unionByName(members.select(F.col("sid").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
     least = _least_matches(2 * bands * rows, percent)
     links = staged(_confirmed(staged(_screened(stars, sets, percent, least), "pairs"), docs, sets, percent, k), "links")
     labels = staged(connected_components(links), "labels")
-    more = staged(_confirmed(staged(_crossing(members.select("key", "sid"), labels, sets, percent, least), "pairs"), docs, sets, percent, k), "links")
+    more = staged(_confirmed(staged(_crossing(members.select("key", "i", "j", "sid"), labels, sets, docs, percent, least, k, seed), "pairs"), docs, sets, percent, k), "links")
     if not more.isEmpty():
         labels = staged(connected_components(labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
     of = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("set_hi", "set_lo", F.coalesce("component", "sid").alias("component_id"))

@@ -10,6 +10,7 @@ from cipherlake.llm.common import table
 from cipherlake.llm.imatch import imatch_fingerprints
 from cipherlake.llm.minhash import near_duplicates
 from cipherlake.llm.token_shards import write_and_read
+from cipherlake.llm.toxicity import score_toxicity
 from cipherlake.llm.warc import archive_round_trip
 
 
@@ -20,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -37,4 +42,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_id_output": op2_token_id_output, "op5_warc_index_merge": op5_warc_index_merge, "op6_imatch_fingerprints": op6_imatch_fingerprints, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_token_id_output": op2_token_id_output, "op5_warc_index_merge": op5_warc_index_merge, "op6_imatch_fingerprints": op6_imatch_fingerprints, "op8_minhash_near_dedup": op8_minhash_near_dedup}
