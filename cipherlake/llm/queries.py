@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cipherlake.llm.common import table
 from cipherlake.llm.imatch import imatch_fingerprints
+from cipherlake.llm.licenses import scan_licenses
 from cipherlake.llm.minhash import near_duplicates
+from cipherlake.llm.mixing import mix_sources
 from cipherlake.llm.token_shards import write_and_read
 from cipherlake.llm.toxicity import score_toxicity
 from cipherlake.llm.warc import archive_round_trip
@@ -29,6 +31,10 @@ def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -41,5 +47,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=5, rows=4, bands=9)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_token_id_output": op2_token_id_output, "op5_warc_index_merge": op5_warc_index_merge, "op6_imatch_fingerprints": op6_imatch_fingerprints, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_token_id_output": op2_token_id_output,
+        "op3_source_mixing": op3_source_mixing,
+        "op5_warc_index_merge": op5_warc_index_merge,
+        "op6_imatch_fingerprints": op6_imatch_fingerprints,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op10_license_scan": op10_license_scan,
+    }
