@@ -42,7 +42,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
         e, shard, out, at = encoder(tokenizer), TaskContext.get().partitionId(), None, 0
         width = 2 if e.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=12 << 20):
                 ids, n = append_end(*e.encode(part.column("text")), end_id)
                 if out is None:
                     out = AtomicFile(_file(folder, "shard", shard))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,19 @@ class PieceEncoder:
     #: Texts with these are encoded whole: special-token strings, and white space that is not ASCII.
     ODD = r"<\||[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 
-    def __init__(self, path: str, specials_as_text: bool = False, most: int = 500_000):
+    def __init__(self, path: str, specials_as_text: bool = False, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
         self.most = most
+        self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        ends = np.zeros(1 + max(words.values(), default=0), bool)
+        for w, i in words.items():
+            ends[i] = w.endswith("</w>")
+        self.ends_word = ends if ends.any() else None
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -49,7 +56,19 @@ class PieceEncoder:
                 ends.append((p, q, ""))
             if q not in cache:
                 todo[q] = None
-        new = list(todo)
+        # A piece of Latin lower-case letters is one pre-token, whose last id alone ends a word: many are encoded as one text.
+        plain = [p for p in todo if self.plain(p)] if self.ends_word is not None else []
+        for a in range(0, len(plain), 8192):
+            part = plain[a : a + 8192]
+            ids = self.whole(" ".join(part))
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) != len(part):
+                break  # not such a vocabulary: the way below does them
+            data, x = ids.tobytes(), 0
+            for p, y in zip(part, cuts.tolist()):
+                cache[p] = data[4 * x : 4 * y]
+                x = y
+        new = [p for p in todo if p not in cache]
         for a in range(0, len(new), 4096):
             for p, e in zip(new[a : a + 4096], self.tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)):
                 cache[p] = np.array(e.ids, np.uint32).tobytes()
