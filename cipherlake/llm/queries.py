@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cipherlake.llm.common import table
+from cipherlake.llm.decontaminate import find_contamination
 from cipherlake.llm.imatch import imatch_fingerprints
 from cipherlake.llm.licenses import scan_licenses
 from cipherlake.llm.minhash import near_duplicates
@@ -43,6 +44,10 @@ def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=5, rows=4, bands=9)
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": op3_source_mixing,
         "op5_warc_index_merge": op5_warc_index_merge,
         "op6_imatch_fingerprints": op6_imatch_fingerprints,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op10_license_scan": op10_license_scan,
     }
