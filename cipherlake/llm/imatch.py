@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import ascii_lower, staged, words_column
+from cipherlake.llm.common import staged
 
 #: Terms are told apart by so many bits of their hash, so the lexicon is a bit array of fixed size at any scale.
 TERM_BITS = 20
@@ -14,13 +14,17 @@ TERM_BITS = 20
 RANGE_BITS = 10
 #: Up to so many ordered keys a single window is used; above, keys are grouped first.
 ONE_WINDOW = 100_000
+#: A fingerprint has 2**SUBSET_BITS hashes at each of two rates.
+SUBSET_BITS = 4
 #: xxhash64 of an empty array is its seed.
 EMPTY = 42
 
 
 def term_ids(text: Column) -> Column:
-    """Distinct term numbers of a text: lower-cased words, hashed to TERM_BITS bits."""
-    return F.array_distinct(F.transform(words_column(ascii_lower(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << TERM_BITS) - 1)).cast("int")))
+    """Distinct term numbers of a text: its lower-cased words, hashed to TERM_BITS bits."""
+    mask = F.lit((1 << TERM_BITS) - 1)
+    number = lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int")
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), number)), number(F.lit("")))
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> Column:
@@ -38,25 +42,33 @@ def lexicon(docs: DataFrame, low: float, high: float) -> Column:
     return F.split(F.lit(",".join(map(str, flat))), ",").cast("array<bigint>")
 
 
-def fingerprint(text: Column, lex: Column, subsets: int) -> Column:
-    """struct(level, fine, coarse): hashes of the sorted distinct terms of `subsets` random sub-lexicons at two sampling rates.
+def fingerprint(text: Column, lex: Column) -> Column:
+    """struct(level, fine, coarse): hashes of the sorted distinct terms of 2**SUBSET_BITS random sub-lexicons at two sampling rates.
 
-    A text of m lexicon terms has level floor(log2(m / 1.5)), 0 at least; `coarse` samples terms at
-    rate 2**-level (1.5 to 3 terms are expected), `fine` at half of that. A text with fewer than four
-    lexicon terms uses all its terms.
+    A term's hash puts it into one of the sub-lexicons, or with growing level into none: at level c
+    a sub-lexicon holds one in 2**(SUBSET_BITS + c) terms. A text of m lexicon terms has the level
+    c = floor(log2(m / (1.5 * 2**SUBSET_BITS))), 0 at least, so that 1.5 to 3 of its terms are
+    expected in each `coarse` sub-lexicon and half as many in each `fine` one, a subset of it.
+    A text with fewer than four lexicon terms uses all its terms.
     """
+    k = 1 << SUBSET_BITS
     terms = term_ids(text)
-    inside = F.filter(terms, lambda t: F.getbit(F.get(lex, F.shiftright(t, 6)), t % 64) == 1)
-    pick = F.transform(F.array(F.struct(terms.alias("all"), inside.alias("band"))), lambda s: F.array_sort(F.when(F.size(s["band"]) >= 4, s["band"]).otherwise(s["all"])))
-    # Each term carries one 64-bit hash; subset j looks at `level` bits of it from bit j on, taken round.
-    hashed = F.transform(pick, lambda a: F.struct(F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(a), F.lit(1)) / 1.5))).cast("int").alias("level"), F.transform(a, lambda t: F.xxhash64(t, F.lit(7))).alias("h")))
+    # Each step is bound once by a transform over one element, so nothing is evaluated twice.
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    shift = lambda h, n: F.call_function("shiftright", h, n)
+    mask = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
 
-    def hashes(s: Column, extra: int) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), s["level"] + extra) - 1
-        rotate = lambda h, j: F.call_function("shiftright", h, j)
-        return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: F.xxhash64(F.filter(s["h"], lambda h: rotate(h, j).bitwiseAND(mask) == 0)))
+    def hashes(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.xxhash64(F.filter(a, lambda h: h.bitwiseAND(F.lit(k - 1)) == j)))
 
-    return F.transform(hashed, lambda s: F.struct(s["level"].alias("level"), hashes(s, 0).alias("coarse"), hashes(s, 1).alias("fine")))[0]
+    def of_terms(a: Column) -> Column:
+        level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(a), F.lit(1)) / (1.5 * k)))).cast("int")
+        picked = bind(level, lambda c: F.struct(c.alias("level"), F.array_sort(F.filter(F.transform(a, lambda t: F.xxhash64(t, F.lit(7))), lambda h: shift(h, F.lit(SUBSET_BITS)).bitwiseAND(mask(c)) == 0)).alias("h")))
+        return bind(picked, lambda s: F.struct(s["level"].alias("level"), hashes(s["h"]).alias("coarse"), hashes(F.filter(s["h"], lambda h: shift(h, s["level"] + SUBSET_BITS).bitwiseAND(F.lit(1)) == 0)).alias("fine")))
+
+    inside = lambda a: F.filter(a, lambda t: F.getbit(F.get(lex, F.shiftright(t, 6)), t % 64) == 1)
+    both = bind(terms, lambda a: F.struct(a.alias("all"), inside(a).alias("band")))
+    return bind(bind(both, lambda s: F.when(F.size(s["band"]) >= 4, s["band"]).otherwise(s["all"])), of_terms)
 
 
 def fingerprint_text(f: Column) -> Column:
@@ -108,7 +120,7 @@ def with_next(rows: DataFrame, columns: list[str], one_window: int = ONE_WINDOW)
     return both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("ahead = 0").drop("bucket", "tie", "ahead")
 
 
-def imatch_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.25, subsets: int = 20) -> DataFrame:
+def imatch_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.25) -> DataFrame:
     """Fingerprints of each text of docs (doc_id, text, ...) and of its edited text; see the columns below.
 
     doc_id, n_chars (code points), edited_sha256 (of the text whose last floor(n_chars / 4) code
@@ -122,8 +134,8 @@ def imatch_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.25,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lex = lexicon(docs, low, high)
-    rows = with_next(docs.withColumn("f", fingerprint(F.col("text"), lex, subsets)), ["text", "f"])
+    rows = with_next(docs.withColumn("f", fingerprint(F.col("text"), lex)), ["text", "f"])
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", "next_f", fingerprint(F.col("edited"), lex, subsets).alias("e"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", "next_f", fingerprint(F.col("edited"), lex).alias("e"))
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("f")).alias("fingerprint"), fingerprint_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"))
