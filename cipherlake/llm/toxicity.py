@@ -13,7 +13,6 @@ a letter whatever the number of landmarks.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,19 +28,16 @@ from cipherlake.llm.common import mix, slices, split_words
 SPAN, DECAY = 6, 0.6
 #: Distances between the letters of a triple, and their weights.
 PATTERNS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
-#: Letters are numbered from 1; 28 to 31 are other letters (two kinds), start and end of a string.
-START, END, TRIPLES = 30, 31, 1 << 15
+#: Letters a to z are numbers 1 to 26, other letters 27 to 59 by their code point; then come start and end of a string.
+START, END, TRIPLES = 62, 63, 1 << 18
 #: Strings longer than this are scored in windows that overlap by half.
 WINDOW = 24
 _PIECES = re.compile(r"[^\W\d_]+")
-_FOLD: dict[str, int] = {}
 
 
-def _number(c: str) -> int:
-    if c not in _FOLD:
-        base = unicodedata.normalize("NFKD", c)[0].lower()
-        _FOLD[c] = ord(base) - 96 if "a" <= base <= "z" else 27 + ord(c) % 2
-    return _FOLD[c]
+def _numbers(letters: str) -> np.ndarray:
+    code = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where((code >= 97) & (code <= 122), code - 96, 27 + code % 33)
 
 
 def units_of(token: str) -> list[str]:
@@ -62,7 +58,7 @@ def units_of(token: str) -> list[str]:
 def _letters(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the letters of all units with start and end marks, and the place where each unit begins."""
     size = np.fromiter(map(len, units), np.int64, len(units)) + 2
-    flat = np.fromiter(map(_number, "".join(units)), np.int64, int(size.sum()) - 2 * len(units))
+    flat = _numbers("".join(units))
     ends = np.cumsum(size)
     out = np.empty(int(size.sum()), np.int64)
     inner = np.ones(len(out), bool)
@@ -81,7 +77,7 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if n <= 0:
             continue
         same = np.flatnonzero(of[:n] == of[a + b :])
-        keys.append(of[same] * TRIPLES + (letters[same] * 32 + letters[same + a]) * 32 + letters[same + a + b])
+        keys.append(of[same] * TRIPLES + (letters[same] * 64 + letters[same + a]) * 64 + letters[same + a + b])
         weights.append(np.full(len(same), w))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -135,7 +131,7 @@ def _groups(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             continue
         c = np.full(n, k, np.int64)
         for j in range(k):
-            c = c * 33 + x[j : n + j]
+            c = c * 65 + x[j : n + j]
         same = np.flatnonzero(of[:n] == of[k - 1 :])
         who.append(of[same])
         code.append(c[same])
@@ -182,7 +178,7 @@ def _witness_groups(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     found = np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if t]), minlength=bins)
     absent = np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if not t]), minlength=bins)
     share = toxic.mean()
-    gain = found - 40 * absent * share / (1 - share) - np.where(absent > 0, 2, 0)
+    gain = found - 15 * absent * share / (1 - share) - np.where(absent > 0, 2, 0)
     least = 3
     while least < 20 and int((found + absent >= least).sum()) * share ** (0.8 * least) > 1.0:
         least += 1  # fewer texts than this may share a group by chance
@@ -206,25 +202,34 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
     return w[:-1], float(w[-1])
 
 
-def _dense(units: list[str]) -> np.ndarray:
-    unit, triple, weight = features(units)
-    out = np.zeros((len(units), TRIPLES))
-    out[unit, triple] = weight
-    return out
-
+class Landmarks:
+    """Feature vectors of the landmark strings on the triples that occur in them."""
+
+    def __init__(self, units: list[str]):
+        unit, triple, weight = features(units)
+        self.triples = np.unique(triple)
+        self.column = np.full(TRIPLES, len(self.triples))  # the last row of the table is zero
+        self.column[self.triples] = np.arange(len(self.triples))
+        self.table = np.zeros((len(self.triples) + 1, len(units)))
+        self.table[self.column[triple], unit] = weight
+
+    def against(self, units: list[str]) -> np.ndarray:
+        """Kernel of each unit with each landmark."""
+        out = np.zeros((len(units), self.table.shape[1]))
+        for a in range(0, len(units), 2000):
+            unit, triple, weight = features(units[a : a + 2000])
+            some = self.column[triple] < len(self.triples)
+            unit, rows = unit[some], self.table[self.column[triple[some]]] * weight[some, None]
+            if len(unit):
+                first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+                out[a + unit[first]] = np.add.reduceat(rows, first, axis=0)
+        return out
 
-def _against(units: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of each unit with each landmark."""
-    out = np.zeros((len(units), len(landmarks)))
-    table = np.ascontiguousarray(landmarks.T)
-    for a in range(0, len(units), 2000):
-        part = units[a : a + 2000]
-        unit, triple, weight = features(part)
-        if len(unit):
-            rows = table[triple] * weight[:, None]
-            first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            out[a + unit[first]] = np.add.reduceat(rows, first, axis=0)
-    return out
+    def weights(self, beta: np.ndarray) -> np.ndarray:
+        """Table of triple weights of the function sum of beta * kernel(., landmark)."""
+        out = np.zeros(TRIPLES)
+        out[self.triples] = self.table[:-1] @ beta
+        return out
 
 
 def _inserted(units: list[str], g: np.random.Generator) -> list[str]:
@@ -232,7 +237,7 @@ def _inserted(units: list[str], g: np.random.Generator) -> list[str]:
     return [u[: (i := int(g.integers(1, len(u)))) ] + chr(97 + int(g.integers(26))) + u[i:] for u in units if len(u) > 3]
 
 
-def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 160, seed: int = 5) -> Machine:
+def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 240, seed: int = 5) -> Machine:
     """Trains on labelled texts given as lists of distinct units.
 
     A toxic text is a bag with at least one toxic unit: letter groups that explain the bags point
@@ -251,25 +256,28 @@ def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 160, seed: in
     if not hits:
         return none
     pick = lambda units, n: [units[i] for i in sorted(g.permutation(len(units))[:n])]
-    hits = pick(hits, 4000)
+    toll = Counter(u for d, t in zip(docs, toxic) if t for u in d)
+    hits = sorted(hits, key=lambda u: (-toll[u], u))[:4000]
     common = sorted(clean, key=lambda u: (-often[u], u))[:4000]
-    pos = hits + _inserted(hits, g)
+    long = [u for u in hits if len(u) > 3]
+    pos = hits + _inserted(long, g)
+    worth = np.array([float(toll[u]) for u in hits] + [float(toll[u]) for u in long])
     neg = sorted({*common, *pick(clean, 8000), *pick(_holding(clean, wanted), 3000), *_inserted(common, g)})
-    marks = pick(hits, landmarks // 2)
-    marks += pick(neg, landmarks - len(marks))
-    z = _dense(marks)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    marks = hits[: landmarks // 4] + pick(hits[landmarks // 4 :], landmarks // 4) + common[: landmarks // 4]
+    marks += pick(sorted(set(neg) - set(marks)), landmarks - len(marks))
+    z = Landmarks(marks)
+    values, vectors = np.linalg.eigh(z.against(marks))
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_zz to the power -1/2, on its range
     rest = pick(clean, 100_000)
-    coordinates = _against(pos, z) @ root
+    coordinates = z.against(pos) @ root
     for again in (True, False):
-        x = np.concatenate([coordinates, _against(neg, z) @ root])
+        x = np.concatenate([coordinates, z.against(neg) @ root])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         seen = np.array([1 + np.log2(1 + often.get(u, 0)) for u in neg])
-        weight = np.concatenate([np.full(len(pos), 100 / len(pos)), 400 * seen / seen.sum()])
+        weight = np.concatenate([400 * worth / worth.sum(), 400 * seen / seen.sum()])
         w, bias = _svm(x, y, weight)
-        machine = Machine(z.T @ (root @ w), bias, 1.0, 0.0, marks)
+        machine = Machine(z.weights(root @ w), bias, 1.0, 0.0, marks)
         if again:
             hard = np.argsort(-machine.decide(rest))[:4000]
             neg = sorted({*neg, *(rest[i] for i in hard)})
