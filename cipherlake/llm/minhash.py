@@ -241,3 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int =
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "set_hi", "set_lo").join(of.withColumnRenamed("component_id", "found"), ["set_hi", "set_lo"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs without the documents that near_duplicates does not keep; all columns stay, rows with a null doc_id too."""
+    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

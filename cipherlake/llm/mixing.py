@@ -90,8 +90,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(seed: int = 17) -> Column:
+    """The seeded hash of a row by which documents are chosen."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text"))
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, fills: int = 4, size: Column | None = None, members: Column | None = None) -> DataFrame:
-    """A row for each row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, times.
+    """A row for each row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, times, h (row_hash).
 
     size is the number of words (or the given column); members the array of sources that a row
     belongs to (its source alone by default; null is a source of its own, last in order, and so is
@@ -111,7 +116,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     members = members if members is not None else F.array("source")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), members.cast("array<string>").alias("members"), (size if size is not None else word_count(F.col("text"))).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"),
+        row_hash(seed).alias("h"),
     )
     one_null = F.array(F.lit(None).cast("string"))
     rows = rows.withColumn("members", F.when(F.size("members") > 0, F.array_sort(F.array_distinct("members"))).otherwise(one_null)).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
@@ -141,7 +146,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     inside = rows.where("bucket = edge").withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(W.partitionBy("pattern").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = inside.withColumn("extra", (F.col("upto") + F.col("size") <= F.col("rest")).cast("long"))
     others = rows.where("edge IS NULL OR bucket <> edge").withColumn("extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(0)))
-    out = staged(inside.drop("upto").unionByName(others).select("doc_id", "source", "size", "source_size", "target", "pattern", "rid", "rest", "passes", "extra"), "taken")
+    out = staged(inside.drop("upto").unionByName(others).select("doc_id", "source", "size", "source_size", "target", "pattern", "rid", "rest", "passes", "extra", "h"), "taken")
     # What is still open goes to the largest row left that fits, a few times over: the driver holds a number and a few rows a pattern.
     gap = {r.pattern: r.gap for r in out.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap")).collect()}
     added: list[int] = []
@@ -156,4 +161,12 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
             break
     out = out.join(F.broadcast(spark.createDataFrame([(r,) for r in added] or [(-1,)], "rid long")).withColumn("one", F.lit(1)), "rid", "left").withColumn("extra", F.col("extra") + F.coalesce("one", F.lit(0)))
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "h")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns; rows that repeat a document are taken alike."""
+    times = mix_sources(docs, **options).groupBy("h").agg(F.max("times").alias("n")).where("n > 0")
+    key, each = "_mix_row", "_mix_pass"
+    out = docs.withColumn(key, row_hash(options.get("seed", 17))).join(times.withColumnRenamed("h", key).withColumnRenamed("n", each), key)
+    return out.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(each)))).select(docs.columns)

@@ -352,7 +352,37 @@ def in_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000, keep: bool = False) -> DataFrame:
+def _scored(batch: pa.RecordBatch, machine: Machine) -> tuple[np.ndarray, list[str | None]]:
+    """(score, worst unit where the score is 0.5 or more) of each text of a batch."""
+    seen = _SEEN
+    if seen.get(None) is not machine or len(seen) > 600_000:
+        seen.clear()
+        seen[None] = machine
+    offsets, units, codes, extra = texts_to_units(batch.column("text"))
+    new = list({u: None for us in units for u in us if u not in seen} | {u: None for _, us in extra for u in us if u not in seen})
+    seen.update(zip(new, machine.decide(new).tolist()))
+    token = np.fromiter((max((seen[u] for u in us), default=-3.0) for us in units), float, len(units))[codes]
+    best, worst = np.full(batch.num_rows, -3.0), [None] * batch.num_rows
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        best[full] = np.maximum.reduceat(token, offsets[:-1][full])
+    for i in np.flatnonzero(machine.probability(best) >= 0.5):
+        c = codes[offsets[i] + int(np.argmax(token[offsets[i] : offsets[i + 1]]))]
+        worst[i] = max(units[c], key=seen.get, default=None)
+    for i, us in extra:
+        for u in us:
+            if seen[u] > best[i]:
+                best[i], worst[i] = seen[u], u
+    return machine.probability(best), worst
+
+
+def _trained(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_rows: int):
+    """The machine, broadcast: its size is fixed."""
+    machine = fit(*training_sample(docs, labels.where(~in_fold(F.col("doc_id"))), toxic_rows, other_rows))
+    return docs.sparkSession.sparkContext.broadcast(machine)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000) -> DataFrame:
     """Scores every whole text of docs (doc_id, text, ...): doc_id, held_out, score, predicted, evidence.
 
     Labels (doc_id, toxic) are learnt only from rows outside the held-out fold (crc32 of doc_id as
@@ -360,56 +390,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, o
     The score is that of the worst unit of the text; evidence is that unit. Null and empty texts
     have no unit: they get the calibrated score of the lowest decision and evidence null. With no
     label of one of the kinds every text gets the same score. Repeated rows each get a row, with
-    equal scores for equal texts; contradictory labels of a doc_id count as toxic. With keep, the
-    columns of docs are all kept and score, predicted are added as toxicity_score, toxicity.
+    equal scores for equal texts; contradictory labels of a doc_id count as toxic. An empty table
+    gives no rows; further columns are ignored.
     """
-    machine = fit(*training_sample(docs, labels.where(~in_fold(F.col("doc_id"))), toxic_rows, other_rows))
-    held = docs.sparkSession.sparkContext.broadcast(machine)
+    held = _trained(docs, labels, toxic_rows, other_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, seen = held.value, _SEEN
-        if seen.get(None) is not machine:
-            seen.clear()
-            seen[None] = machine
         for whole in batches:
             for batch in slices(whole):
-                offsets, units, codes, extra = texts_to_units(batch.column("text"))
-                if len(seen) > 600_000:
-                    seen.clear()
-                    seen[None] = machine
-                new = list({u: None for us in units for u in us if u not in seen} | {u: None for _, us in extra for u in us if u not in seen})
-                seen.update(zip(new, machine.decide(new).tolist()))
-                n = batch.num_rows
-                of = np.fromiter((max((seen[u] for u in us), default=-3.0) for us in units), float, len(units))
-                best, where = np.full(n, -3.0), [None] * n
-                token = of[codes]
-                full = np.flatnonzero(np.diff(offsets))
-                if len(full):
-                    best[full] = np.maximum.reduceat(token, offsets[:-1][full])
-                score = machine.probability(best)
-                for i in np.flatnonzero(score >= 0.5):
-                    c = codes[offsets[i] + int(np.argmax(token[offsets[i] : offsets[i + 1]]))]
-                    where[i] = max(units[c], key=seen.get, default=None)
-                for i, us in extra:
-                    for u in us:
-                        if seen[u] > best[i]:
-                            best[i], where[i] = seen[u], u
-                score = machine.probability(best)
-                columns = [] if not keep else batch.columns
-                names = [] if not keep else batch.schema.names
-                if not keep:
-                    columns, names = [batch.column("doc_id")], ["doc_id"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(where, pa.string())], names=[*names, "toxicity_score", "toxicity", "evidence"])
-
-    if keep:
-        from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
-
-        rows = docs
-        schema = StructType(list(docs.schema.fields)).add("toxicity_score", DoubleType()).add("toxicity", IntegerType()).add("evidence", StringType())
-        return rows.mapInArrow(run, schema)
+                score, worst = _scored(batch, held.value)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(worst, pa.string())], names=["doc_id", "score", "predicted", "evidence"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, toxicity_score double, toxicity int, evidence string")
-    return out.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity").alias("predicted"), "evidence")
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence string").select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below 0.5; see score_toxicity."""
+    held = _trained(docs, labels, toxic_rows, other_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                yield batch.filter(pa.array(_scored(batch, held.value)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: Decisions of units already scored in this worker by the machine under None; bounded.
