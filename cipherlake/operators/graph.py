@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.sources.staging import staged
+
 
 def shortest_levels(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
     """(node, depth) of the nodes within max_depth calls of a start, by breadth-first levels.
@@ -12,9 +14,12 @@ def shortest_levels(edges: DataFrame, starts: DataFrame, max_depth: int = 10) ->
     edges(caller, callee) are distinct; each level joins only the frontier, and anti-joins what is
     already reached, so no node is expanded twice however many paths lead to it.
     """
-    reached = starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
-    frontier = reached
+    edges = staged(edges, "edges")
+    reached = frontier = staged(starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "level")
     for depth in range(1, max_depth + 1):
         frontier = frontier.join(edges, frontier.node == edges.caller).select(F.col("callee").alias("node")).distinct().join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        frontier = staged(frontier, "level")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached

@@ -50,11 +50,11 @@ ORACLE_FRAMES: dict[str, tuple[list[str], str]] = {
         ["lines"],
         _patterns_cte()
         + f""", findings AS (
-  WITH block AS (SELECT *, CASE WHEN language IN ({_SLASH}) THEN array_to_string(list_transform(regexp_extract_all(text, '{_STR}|/\\*[\\s\\S]*?\\*/|[^"''/]+|[\\s\\S]', 0), t -> CASE WHEN t LIKE '/*%' AND length(t) >= 4 THEN regexp_replace(t, '[^\\n]', '', 'g') ELSE t END), '') ELSE text END AS c FROM lines),
+  WITH block AS (SELECT *, CASE WHEN language IN ({_SLASH}) THEN array_to_string(list_transform(regexp_extract_all(text, '{_STR}|/\\*[\\s\\S]*?\\*/|[^"''/]+|[\\s\\S]', 0), lambda t: CASE WHEN t LIKE '/*%' AND length(t) >= 4 THEN regexp_replace(t, '[^\\n]', '', 'g') ELSE t END), '') ELSE text END AS c FROM lines),
   code AS (SELECT *, CASE WHEN language IN ({_HASH}) THEN regexp_replace(c, '({_STR})|#[^\\n]*', '\\1', 'g') WHEN language IN ({_SLASH}) THEN regexp_replace(c, '({_STR})|//[^\\n]*', '\\1', 'g') ELSE c END AS code FROM block),
   hit AS (SELECT k.project, k.file, k.path, k.line, k.language, k.ext, p.ord, p.algorithm, p.severity, p.category, k.text, k.flag, regexp_extract(k.text, '(?i)#\\s*pqc-ignore\\s*\\[([^\\]]*)\\]', 1) AS listed FROM code k JOIN patterns p ON p.language = k.language AND regexp_matches(k.code, '(?i)' || p.pattern))
   SELECT project, file, path, line, language, ext, ord, algorithm, severity, category, flag, substr(trim(text), 1, 120) AS snippet,
-    regexp_matches(text, '(?i)#\\s*pqc-ignore') AND (listed = '' OR list_contains(list_transform(string_split(upper(listed), ','), x -> trim(x)), upper(algorithm))) AS suppressed FROM hit)""",
+    regexp_matches(text, '(?i)#\\s*pqc-ignore') AND (listed = '' OR list_contains(list_transform(string_split(upper(listed), ','), lambda x: trim(x)), upper(algorithm))) AS suppressed FROM hit)""",
     ),
     "rule_findings": (
         ["lines"],
@@ -65,7 +65,7 @@ ORACLE_FRAMES: dict[str, tuple[list[str], str]] = {
 
 def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in dims.TABLES:
-        return F.broadcast(dims.frame(spark, name))
+        return dims.frame(spark, name)
     if name in DRIVER_TABLES:
         return corpus.table(spark, sf_dir, name)
     if name == "lines":
@@ -134,7 +134,7 @@ SHARED: dict[str, str] = {
     "framework_verdict": OPEN + ", a AS (SELECT DISTINCT project, algorithm FROM open_);; SELECT a.project, m.framework, CASE WHEN sum(CASE WHEN m.status = 'NON-COMPLIANT' THEN 1 ELSE 0 END) > 0 THEN 'FAIL' WHEN sum(CASE WHEN m.status = 'DEPRECATED' THEN 1 ELSE 0 END) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM a JOIN $compliance m ON m.algorithm = a.algorithm GROUP BY a.project, m.framework",
     "deadline_countdown": ", days AS (SELECT m.algorithm, d.deadline, CAST({days} AS BIGINT) AS days FROM $compliance m JOIN $deadlines d ON d.deadline_key = m.deadline_key WHERE m.framework = 'strict' AND m.status <> 'COMPLIANT');; SELECT algorithm, deadline, days, CASE WHEN days < 0 THEN 'OVERDUE' WHEN days < 365 THEN 'URGENT' WHEN days < 1095 THEN 'APPROACHING' ELSE 'DISTANT' END AS urgency FROM days".lstrip(", "),
     "migration_estimate": OPEN + ", c AS (SELECT project, algorithm, count(*) AS n FROM open_ GROUP BY project, algorithm);; SELECT c.project, c.algorithm, c.n, coalesce(e.kind, 'API_CHANGE') AS kind, coalesce(e.hours, CAST(3.0 AS DOUBLE)) * c.n AS hours FROM c LEFT JOIN $effort e ON e.algorithm = c.algorithm",
-    "migration_totals": OPEN + ", h AS (SELECT f.project, sum(coalesce(e.hours, CAST(3.0 AS DOUBLE))) AS hours FROM open_ f LEFT JOIN $effort e ON e.algorithm = f.algorithm GROUP BY f.project);; SELECT project, hours, floor(hours * 3 + 0.5) / 10 AS testing, floor(hours * 2 + 0.5) / 10 AS review, floor(hours + 0.5) / 10 AS deployment, floor(hours * CAST(1.6 AS DOUBLE) * 150 + 0.5) AS cost FROM h",
+    "migration_totals": OPEN + ", h AS (SELECT f.project, sum(coalesce(e.hours, CAST(3.0 AS DOUBLE))) AS hours FROM open_ f LEFT JOIN $effort e ON e.algorithm = f.algorithm GROUP BY f.project);; SELECT project, hours, floor(hours * 3 + 0.5) / 10 AS testing, floor(hours * 2 + 0.5) / 10 AS review, floor(hours + 0.5) / 10 AS deployment, CAST(floor(hours * CAST(1.6 AS DOUBLE) * 150 + 0.5) AS BIGINT) AS cost FROM h",
     "estimates_by_hours": OPEN + ", h AS (SELECT f.algorithm, sum(coalesce(e.hours, CAST(3.0 AS DOUBLE))) AS hours FROM open_ f LEFT JOIN $effort e ON e.algorithm = f.algorithm GROUP BY f.algorithm);; SELECT algorithm, hours, row_number() OVER (ORDER BY hours DESC, algorithm) AS place FROM h",
     # dependencies
     "dep_findings": "{deps}, " + DEP_HITS + ";; SELECT p_partkey, manifest, package, version, known, risk, is_transitive FROM hits",
@@ -146,7 +146,7 @@ SHARED: dict[str, str] = {
     "context_window": OPEN + ";; SELECT f.file, f.line, f.ord, count(*) AS lines_around, min(k.line) AS first_line FROM open_ f JOIN $lines k ON k.file = f.file AND k.line BETWEEN f.line - 15 AND f.line + 15 GROUP BY f.file, f.line, f.ord",
     # history
     "history_topn": HISTORY + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, scan_id DESC) AS k FROM history);; SELECT project, scan_id, risk, k FROM ranked WHERE k <= 20",
-    "history_retention": HISTORY + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, scan_id DESC) AS k FROM history);; SELECT project, count(*) AS dropped FROM ranked WHERE k > 100 GROUP BY project",
+    "history_retention": HISTORY + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, scan_id DESC) AS k FROM history);; SELECT project, count(*) AS dropped FROM ranked WHERE k > 10 GROUP BY project",
     "projects_rollup": HISTORY + ";; SELECT project, count(*) AS scans, max(risk) AS worst, min(risk) AS best, max_by(risk, CAST(scan_id AS BIGINT)) AS newest FROM history GROUP BY project",
     "scanner_rollup": HISTORY + ";; SELECT scanner, count(*) AS scans, CAST(floor(avg(risk)) AS BIGINT) AS avg_risk, CAST(sum(total) AS BIGINT) AS findings FROM history GROUP BY scanner",
     "latest_delta": HISTORY + ", d AS (SELECT project, scan_id, risk - lag(risk) OVER (PARTITION BY project ORDER BY ts, scan_id) AS risk_delta, total - lag(total) OVER (PARTITION BY project ORDER BY ts, scan_id) AS total_delta, row_number() OVER (PARTITION BY project ORDER BY ts DESC, scan_id DESC) AS k FROM history);; SELECT project, scan_id, risk_delta, total_delta FROM d WHERE k = 1",
@@ -172,8 +172,8 @@ SHARED: dict[str, str] = {
     "precision_recall": ", p AS (SELECT file, line, max(CASE WHEN NOT suppressed THEN 1 ELSE 0 END) AS found FROM $findings GROUP BY file, line), t AS (SELECT k.file, k.line, CASE WHEN k.text LIKE '%rsa%' OR k.text LIKE '%RSA%' THEN 1 ELSE 0 END AS expected, coalesce(p.found, 0) AS found FROM $lines k LEFT JOIN p ON p.file = k.file AND p.line = k.line), s AS (SELECT CAST(sum(expected * found) AS BIGINT) AS tp, CAST(sum((1 - expected) * found) AS BIGINT) AS fp, CAST(sum(expected * (1 - found)) AS BIGINT) AS fn FROM t);; SELECT tp, fp, fn, floor(10000 * CAST(tp AS DOUBLE) / (tp + fp) + 0.5) / 10000 AS precision_, floor(10000 * CAST(tp AS DOUBLE) / (tp + fn) + 0.5) / 10000 AS recall FROM s".lstrip(", "),
 }
 
-_SPARK = {"text": "STRING", "deps": DEPS_SPARK, "days": f"datediff(to_date(d.deadline), to_date('{AS_OF}'))", "sha256": "sha2(text, 256)", "sha1": "sha1(text)", "des": r"text RLIKE '(?i)(^|[^\\p{L}\\p{N}_])des([^\\p{L}\\p{N}_]|$)'"}
-_DUCK = {"text": "VARCHAR", "deps": DEPS, "days": f"date_diff('day', DATE '{AS_OF}', CAST(d.deadline AS DATE))", "sha256": "sha256(text)", "sha1": "sha1(text)", "des": r"regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])des([^\p{L}\p{N}_]|$)')"}
+_SPARK = {"text": "STRING", "deps": DEPS_SPARK, "days": f"datediff(to_date(d.deadline), to_date('{AS_OF}'))", "sha256": "sha2(text, 256)", "sha1": "sha1(text)", "des": r"text RLIKE '(^|[ .,;:])[Dd][Ee][Ss]([ .,;:]|$)'"}
+_DUCK = {"text": "VARCHAR", "deps": DEPS, "days": f"date_diff('day', DATE '{AS_OF}', CAST(d.deadline AS DATE))", "sha256": "sha256(text)", "sha1": "sha1(text)", "des": r"regexp_matches(text, '(^|[ .,;:])[Dd][Ee][Ss]([ .,;:]|$)')"}
 
 
 def _fill(sql: str, words: dict[str, str]) -> str:
@@ -216,7 +216,7 @@ def _oracle(name: str) -> str:
         ctes.append(_NAMES)
     if head.strip():
         ctes.append(head)
-    return ("WITH " + ", ".join(ctes) + " " if ctes else "") + select.replace("$", "") if not head.strip() else "WITH " + ", ".join(ctes).replace("$", "") + " " + select.replace("$", "")
+    return re.sub(r"\$(\w+)", r"\1", ("WITH " + ", ".join(ctes) + " " if ctes else "") + select)
 
 
 # Queries with DataFrame steps of their own.
@@ -311,13 +311,13 @@ def _own_sql() -> dict[str, str]:
         "strip_strings": f"WITH {lines} SELECT language, regexp_replace(regexp_replace(text, '\"[^\"\\\\\\n]*(?:\\\\.[^\"\\\\\\n]*)*\"', '\"\"', 'g'), '''[^''\\\\\\n]*(?:\\\\.[^''\\\\\\n]*)*''', '''''', 'g') AS blanked, count(*) AS n FROM lines GROUP BY 1, 2",
         "callgraph_entry_points": f"{_EDGES_SQL}, {_START_SQL} SELECT node FROM starts",
         "callgraph_bfs": f"{_EDGES_SQL}, {_START_SQL}, {_REACH_SQL.replace('{starts}', 'starts')} SELECT node, min(depth) AS depth FROM reach GROUP BY node",
-        "callgraph_orphans": f"{_EDGES_SQL}, {_START_SQL}, some AS (SELECT node FROM starts WHERE node LIKE '%0'), {_REACH_SQL.replace('{starts}', 'some')} SELECT DISTINCT callee AS node FROM edges WHERE callee NOT IN (SELECT caller FROM edges) AND callee NOT IN (SELECT node FROM reach)",
+        "callgraph_orphans": f"{_EDGES_SQL}, {_START_SQL}, chosen AS (SELECT node FROM starts WHERE node LIKE '%0'), {_REACH_SQL.replace('{starts}', 'chosen')} SELECT DISTINCT callee AS node FROM edges WHERE callee NOT IN (SELECT caller FROM edges) AND callee NOT IN (SELECT node FROM reach)",
         "callgraph_totals": f"{_EDGES_SQL} SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM (SELECT caller FROM edges UNION SELECT callee FROM edges)) AS nodes",
         "fix_tier1": f"WITH {lines}, {ORACLE_FRAMES['findings'][1]}, f AS (SELECT file, line, ord, snippet, {fix} AS fixed FROM findings WHERE NOT suppressed) SELECT file, line, ord, snippet, fixed FROM f WHERE fixed IS NOT NULL",
         "english_score": "SELECT doc_id, CAST(2 * len(regexp_extract_all(text, '[a-zA-Z ]')) + len(regexp_extract_all(text, '[0-9.,;:!?-]')) AS BIGINT) AS score FROM documents",
         "hamming_pairs": "WITH b AS (SELECT item_id, CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT) AS x FROM benchmark) SELECT a.item_id, CAST(bit_count(xor(a.x, c.x)) AS BIGINT) AS bits FROM b a JOIN b c ON c.item_id = a.item_id + 1",
         "secret_redaction": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|secret|api_key|token)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g'), '\b[0-9a-fA-F]{32,}\b', '[HEX]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS redacted_md5 FROM conversations",
-        "ecb_repeat_detect": "WITH b AS (SELECT doc_id, list_transform(range(0, greatest(1, CAST(floor(length(text) / 16) AS BIGINT))), i -> substr(text, i * 16 + 1, 16)) AS blocks FROM documents) SELECT doc_id, len(list_distinct(blocks)) < len(blocks) AS repeats FROM b",
+        "ecb_repeat_detect": "WITH b AS (SELECT doc_id, list_transform(range(0, greatest(1, CAST(floor(length(text) / 16) AS BIGINT))), lambda i: substr(text, i * 16 + 1, 16)) AS blocks FROM documents) SELECT doc_id, len(list_distinct(blocks)) < len(blocks) AS repeats FROM b",
         "tumbling_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "session_activity": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new, event_id FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
     }
