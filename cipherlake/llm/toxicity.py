@@ -103,8 +103,8 @@ class Machine:
 
     def decide(self, units: list[str]) -> np.ndarray:
         out = np.empty(len(units))
-        for a in range(0, len(units), 20_000):
-            part = units[a : a + 20_000]
+        for a in range(0, len(units), 5000):
+            part = units[a : a + 5000]
             unit, triple, weight = features(part)
             out[a : a + len(part)] = np.bincount(unit, self.table[triple] * weight, len(part)) + self.bias
         return out
@@ -158,27 +158,25 @@ def _holding(units: list[str], wanted: np.ndarray) -> list[str]:
     return out
 
 
-def _unlike(docs: list[np.ndarray]) -> np.ndarray:
-    """Places of the texts that are left when near copies (two equal minhashes of their groups) count once."""
-    first: dict[tuple[int, int], int] = {}
-    for i, d in enumerate(docs):
+def _witness_groups(docs: list[list[str]], toxic: np.ndarray) -> np.ndarray:
+    """Letter groups that mark toxic texts: in more of them than chance allows, and all but absent from the others.
+
+    Near copies (two equal minhashes of their groups) count once; one text's groups are held at a time.
+    """
+    found, absent = np.zeros(1 << GROUP_BITS, np.int32), np.zeros(1 << GROUP_BITS, np.int32)
+    seen: dict[tuple[int, ...], bool] = {}
+    for units, t in zip(docs, toxic):
+        d = _grams(units)
         with np.errstate(over="ignore"):
             key = tuple(int(((d.astype(np.uint64) + np.uint64(c)) * np.uint64(0x9E3779B97F4A7C15 + 2 * c) >> np.uint64(24)).min()) if len(d) else -1 for c in (1, 1001))
-        first.setdefault(key, i)
-    return np.array(sorted(first.values()))
-
-
-def _witness_groups(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Letter groups that mark toxic texts: in more of them than chance allows, and all but absent from the others."""
-    bins = 1 << GROUP_BITS
-    rows = _unlike(docs)
-    docs, toxic = [docs[i] for i in rows], toxic[rows]
+        if key not in seen:
+            seen[key] = bool(t)
+            (found if t else absent)[d] += 1  # groups of a text are distinct
+    toxic = np.array(list(seen.values()))
     if not toxic.any() or toxic.all():
         return np.zeros(0, np.int64)
-    found = np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if t]), minlength=bins)
-    absent = np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if not t]), minlength=bins)
     share = toxic.mean()
-    gain = found - 15 * absent * share / (1 - share) - np.where(absent > 0, 2, 0)
+    gain = found - (15 * share / (1 - share)) * absent.astype(np.float32) - 2 * (absent > 0)
     least = 3
     while least < 20 and int((found + absent >= least).sum()) * share ** (0.8 * least) > 1.0:
         least += 1  # fewer texts than this may share a group by chance
@@ -187,15 +185,19 @@ def _witness_groups(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine in the primal by Newton steps; returns (w, bias)."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.eye(x.shape[1])
+    n = x.shape[1]
+    ridge = np.eye(n + 1)
     ridge[-1, -1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n + 1)
     for _ in range(steps):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        xs = x[on] * (weight[on] * c)[:, None]
-        new = np.linalg.solve(ridge + xs.T @ x[on], xs.T @ y[on])
+        left, right = ridge.copy(), np.zeros(n + 1)
+        for a in range(0, len(x), 2000):
+            part = np.hstack([x[a : a + 2000], np.ones((len(x[a : a + 2000]), 1))])
+            on = 1 - y[a : a + 2000] * (part @ w) > 0
+            part, cost = part[on], weight[a : a + 2000][on] * c
+            left += part.T @ (part * cost[:, None])
+            right += part.T @ (cost * y[a : a + 2000][on])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -216,8 +218,8 @@ class Landmarks:
     def against(self, units: list[str]) -> np.ndarray:
         """Kernel of each unit with each landmark."""
         out = np.zeros((len(units), self.table.shape[1]))
-        for a in range(0, len(units), 2000):
-            unit, triple, weight = features(units[a : a + 2000])
+        for a in range(0, len(units), 200):
+            unit, triple, weight = features(units[a : a + 200])
             some = self.column[triple] < len(self.triples)
             unit, rows = unit[some], self.table[self.column[triple[some]]] * weight[some, None]
             if len(unit):
@@ -249,7 +251,7 @@ def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 240, seed: in
     none = Machine(np.zeros(TRIPLES), 0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))) if prior < 0.5 else 0.1, [])
     if not toxic.any() or toxic.all():
         return none
-    wanted = _witness_groups([_grams(d) for d in docs], toxic)
+    wanted = _witness_groups(docs, toxic)
     often = Counter(u for d, t in zip(docs, toxic) if not t for u in d)
     clean = sorted(often)
     hits = _holding(sorted({u for d, t in zip(docs, toxic) if t for u in d} - set(clean)), wanted)
@@ -257,12 +259,12 @@ def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 240, seed: in
         return none
     pick = lambda units, n: [units[i] for i in sorted(g.permutation(len(units))[:n])]
     toll = Counter(u for d, t in zip(docs, toxic) if t for u in d)
-    hits = sorted(hits, key=lambda u: (-toll[u], u))[:4000]
-    common = sorted(clean, key=lambda u: (-often[u], u))[:4000]
+    hits = sorted(hits, key=lambda u: (-toll[u], u))[:3000]
+    common = sorted(clean, key=lambda u: (-often[u], u))[:3000]
     long = [u for u in hits if len(u) > 3]
     pos = hits + _inserted(long, g)
     worth = np.array([float(toll[u]) for u in hits] + [float(toll[u]) for u in long])
-    neg = sorted({*common, *pick(clean, 8000), *pick(_holding(clean, wanted), 3000), *_inserted(common, g)})
+    neg = sorted({*common, *pick(clean, 6000), *pick(_holding(clean, wanted), 2000), *_inserted(common, g)})
     marks = hits[: landmarks // 4] + pick(hits[landmarks // 4 :], landmarks // 4) + common[: landmarks // 4]
     marks += pick(sorted(set(neg) - set(marks)), landmarks - len(marks))
     z = Landmarks(marks)
@@ -270,9 +272,9 @@ def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 240, seed: in
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_zz to the power -1/2, on its range
     rest = pick(clean, 100_000)
-    coordinates = z.against(pos) @ root
+    coordinates = (z.against(pos) @ root).astype(np.float32)
     for again in (True, False):
-        x = np.concatenate([coordinates, z.against(neg) @ root])
+        x = np.concatenate([coordinates, (z.against(neg) @ root).astype(np.float32)])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         seen = np.array([1 + np.log2(1 + often.get(u, 0)) for u in neg])
         weight = np.concatenate([400 * worth / worth.sum(), 400 * seen / seen.sum()])
@@ -281,8 +283,16 @@ def fit(docs: list[list[str]], toxic: np.ndarray, landmarks: int = 240, seed: in
         if again:
             hard = np.argsort(-machine.decide(rest))[:4000]
             neg = sorted({*neg, *(rest[i] for i in hard)})
-    best = np.array([machine.decide(d).max() if d else -3.0 for d in docs])
-    machine.slope, machine.shift = _platt(best, toxic)
+    # Calibrated on the texts, and on the toxic ones once more as if their worst unit had a letter put in.
+    best, spoilt = np.full(len(docs), -3.0), []
+    for i, d in enumerate(docs):
+        if d:
+            decision = machine.decide(d)
+            best[i] = decision.max()
+            if toxic[i]:
+                spoilt += _inserted([d[int(decision.argmax())]], g)
+    more = machine.decide(spoilt) if spoilt else np.zeros(0)
+    machine.slope, machine.shift = _platt(np.append(best, more), np.append(toxic, np.ones(len(more), bool)))
     return machine
 
 
@@ -343,8 +353,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_r
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    got = sorted(picked.mapInArrow(run, "doc_id long, toxic int, units array<string>").collect(), key=lambda r: (r.doc_id, r.units))
-    return [r.units for r in got], np.array([r.toxic > 0 for r in got], bool)
+    got = picked.mapInArrow(run, "doc_id long, toxic int, units array<string>").collect()  # bounded by toxic_rows and other_rows
+    same: dict[str, str] = {}
+    got = sorted((r.doc_id, [same.setdefault(u, u) for u in r.units], r.toxic > 0) for r in got)
+    return [u for _, u, _ in got], np.array([t for *_, t in got], bool)
 
 
 def in_fold(doc_id: Column, folds: int = 5) -> Column:
@@ -382,7 +394,7 @@ def _trained(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_rows: in
     return docs.sparkSession.sparkContext.broadcast(machine)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, other_rows: int = 4000) -> DataFrame:
     """Scores every whole text of docs (doc_id, text, ...): doc_id, held_out, score, predicted, evidence.
 
     Labels (doc_id, toxic) are learnt only from rows outside the held-out fold (crc32 of doc_id as
@@ -405,7 +417,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, o
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence string").select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, other_rows: int = 4000) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below 0.5; see score_toxicity."""
     held = _trained(docs, labels, toxic_rows, other_rows)
 
