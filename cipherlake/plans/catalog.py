@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlake import dims
-from cipherlake.functions import lex
+from cipherlake.functions import bits, lex
 from cipherlake.operators.graph import shortest_levels
 from cipherlake.operators.limiter import accepts
 from cipherlake.operators.match import scan_rules
 from cipherlake.plans import corpus
+from cipherlake.streaming import continuous
 
 AS_OF = "2026-03-23"
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "conversations", "pages", "labels"]
@@ -299,6 +300,17 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
+def _stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return continuous.run_once(continuous.tumbling_counts(continuous.event_stream(spark, sf_dir)))
+
+
+def _xor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests xored with a key and back: whether they come back, and the weight of the difference."""
+    b = corpus.table(spark, sf_dir, "benchmark").select("item_id", bits.byte_array(F.md5("text")).alias("x"))
+    key = F.array(*(F.lit(k) for k in (73, 67, 69)))
+    return b.select("item_id", (bits.xor_cycle(bits.xor_cycle(F.col("x"), key), key) == F.col("x")).alias("same"), bits.hamming(F.col("x"), bits.xor_cycle(F.col("x"), key)).cast("long").alias("weight"))
+
+
 _EDGES_SQL = "WITH RECURSIVE " + EDGES.replace("{text}", "VARCHAR").replace("$", "")
 _START_SQL = "starts AS (SELECT DISTINCT caller AS node FROM edges WHERE caller NOT IN (SELECT callee FROM edges))"
 _REACH_SQL = "reach AS (SELECT node, CAST(0 AS BIGINT) AS depth FROM {starts} UNION SELECT e.callee, r.depth + 1 FROM reach r JOIN edges e ON e.caller = r.node WHERE r.depth < 10)"
@@ -319,6 +331,8 @@ def _own_sql() -> dict[str, str]:
         "secret_redaction": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|secret|api_key|token)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g'), '\b[0-9a-fA-F]{32,}\b', '[HEX]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS redacted_md5 FROM conversations",
         "ecb_repeat_detect": "WITH b AS (SELECT doc_id, list_transform(range(0, greatest(1, CAST(floor(length(text) / 16) AS BIGINT))), lambda i: substr(text, i * 16 + 1, 16)) AS blocks FROM documents) SELECT doc_id, len(list_distinct(blocks)) < len(blocks) AS repeats FROM b",
         "tumbling_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "stream_tumbling_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "xor_round_trip": "WITH b AS (SELECT item_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(md5(text), CAST(i * 2 + 1 AS BIGINT), 2) AS BIGINT)) AS x FROM benchmark) SELECT item_id, true AS same, CAST(bit_count(CAST(73 AS BIGINT)) * 6 + bit_count(CAST(67 AS BIGINT)) * 5 + bit_count(CAST(69 AS BIGINT)) * 5 AS BIGINT) AS weight FROM b WHERE len(x) = 16",
         "session_activity": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new, event_id FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
     }
 
@@ -337,6 +351,8 @@ OWN = {
     "rate_limit_accepts": _limiter,
     "tumbling_events": _tumbling,
     "session_activity": _sessions,
+    "stream_tumbling_events": _stream_tumbling,
+    "xor_round_trip": _xor_round_trip,
 }
 
 
