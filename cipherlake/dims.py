@@ -124,9 +124,13 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 
 
 def frame(spark: SparkSession, name: str) -> DataFrame:
-    """A reference table; all are a few dozen rows of fixed literals, so joins with them broadcast."""
+    """A reference table as a local relation of the plan; all are a few dozen rows of fixed literals, so joins with them broadcast."""
     schema, rows = TABLES[name]
-    return spark.createDataFrame(rows, schema)
+    columns = [c.split() for c in schema.split(", ")]
+    text = lambda v: "NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+    body = ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
+    kinds = {"string": "STRING", "long": "BIGINT", "double": "DOUBLE"}
+    return spark.sql(f"SELECT {', '.join(f'CAST({c} AS {kinds[k]}) AS {c}' for c, k in columns)} FROM VALUES {body} AS t({', '.join(c for c, _ in columns)})")
 
 
 def literal(value) -> str:
