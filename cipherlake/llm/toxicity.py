@@ -335,8 +335,8 @@ def texts_to_units(texts: pa.Array) -> tuple[np.ndarray, list[list[str]], np.nda
     return offsets, units, codes, extra
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_rows: int) -> tuple[list[list[str]], np.ndarray]:
-    """Distinct units of whole labelled texts, at most about toxic_rows and other_rows of them, chosen by a hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_rows: int) -> DataFrame:
+    """(doc_id, toxic, units): distinct units of whole labelled texts, at most about toxic_rows and other_rows of them, chosen by a hash of doc_id."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n = {r.t: r.n for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") > 0, F.lit(min(1.0, toxic_rows / max(1, n.get(True, 0))))).otherwise(F.lit(min(1.0, other_rows / max(1, n.get(False, 0)))))
@@ -353,10 +353,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_r
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    got = picked.mapInArrow(run, "doc_id long, toxic int, units array<string>").collect()  # bounded by toxic_rows and other_rows
-    same: dict[str, str] = {}
-    got = sorted((r.doc_id, [same.setdefault(u, u) for u in r.units], r.toxic > 0) for r in got)
-    return [u for _, u, _ in got], np.array([t for *_, t in got], bool)
+    return picked.mapInArrow(run, "doc_id long, toxic int, units array<string>")
+
+
+def train(sample: DataFrame) -> Machine:
+    """Fits a machine in one task, whose memory the sample's bound bounds; the driver gets the folded table only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same: dict[str, str] = {}
+        rows = []
+        for batch in batches:
+            for i, t, units in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "units"))):
+                rows.append((i, [same.setdefault(u, u) for u in units], t > 0))
+        rows.sort()
+        m = fit([u for _, u, _ in rows], np.array([t for *_, t in rows], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([m.table.astype("<f8").tobytes()]), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.shift]), pa.array([m.landmarks], pa.list_(pa.string()))], names=["table", "bias", "slope", "shift", "landmarks"])
+
+    got = sample.repartition(1).mapInArrow(run, "table binary, bias double, slope double, shift double, landmarks array<string>").collect()
+    if not got:  # not even an empty batch came
+        return fit([], np.zeros(0, bool))
+    r = got[0]
+    return Machine(np.frombuffer(r.table, "<f8"), r.bias, r.slope, r.shift, list(r.landmarks))
 
 
 def in_fold(doc_id: Column, folds: int = 5) -> Column:
@@ -390,7 +407,7 @@ def _scored(batch: pa.RecordBatch, machine: Machine) -> tuple[np.ndarray, list[s
 
 def _trained(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_rows: int):
     """The machine, broadcast: its size is fixed."""
-    machine = fit(*training_sample(docs, labels.where(~in_fold(F.col("doc_id"))), toxic_rows, other_rows))
+    machine = train(training_sample(docs, labels.where(~in_fold(F.col("doc_id"))), toxic_rows, other_rows))
     return docs.sparkSession.sparkContext.broadcast(machine)
 
 
