@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic retrieval of benchmark items in passages, then subsequence and answer checks."""
+"""Benchmark decontamination: TF-IDF retrieval of benchmark items in passages, then subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -16,8 +16,6 @@ from cipherlake.llm.common import ascii_lower, slices, split_words, words_column
 PASSAGE = 32
 #: Benchmark items that are searched for at a time: what is broadcast is bounded by this, not by the benchmark.
 ITEMS = 2000
-#: Columns of the random test matrix; corpus directions kept.
-SKETCH = 64
 
 
 @dataclass
@@ -27,7 +25,7 @@ class Searcher:
     vocabulary: dict[str, int]
     idf: np.ndarray
     idf_other: float
-    table: np.ndarray  # terms x chunks: each chunk's vector in the latent space, taken back to terms, over its norm
+    table: np.ndarray  # terms x chunks: each chunk's TF-IDF vector over its norm
     chunk_item: np.ndarray
     items: list[tuple[int, np.ndarray, np.ndarray]]  # item_id, terms in order, terms of the answer (empty: none given)
 
@@ -94,43 +92,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
     return n, df
 
 
-def corpus_directions(docs: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, columns: int = SKETCH, seed: int = 23) -> np.ndarray:
-    """G with G G^T near A^T A, A being the TF-IDF matrix of all passages of the corpus: a one-pass randomised decomposition.
-
-    Every task adds up A^T (A O) for its passages, O a random test matrix; the sums meet by term.
-    With Z their total, Z (O^T Z)^-1 Z^T is the Nystrom form of A^T A.
-    """
-    test = np.random.default_rng(seed).standard_normal((len(vocabulary), columns)).astype(np.float32)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, test))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, test = held.value
-        total = np.zeros(test.shape, np.float64)
-        for whole in batches:
-            for batch in slices(whole, most=1 << 20):
-                offsets, terms = _terms(batch.column("text"), vocabulary)
-                _, begin, end = _passages(offsets, PASSAGE)
-                passage, term, weight = _vectors(begin, end, terms, idf)
-                weight = weight.astype(np.float32)[:, None]
-                y = _fold(passage, test[term] * weight, len(begin))
-                order = np.argsort(term, kind="stable")
-                total += _fold(term[order], y[passage[order]] * weight[order], len(test))
-        at = np.flatnonzero(total.any(1))
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, c]) for c in range(columns))], names=["term", *(f"z{c}" for c in range(columns))])
-
-    names = [f"z{c}" for c in range(columns)]
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, " + ", ".join(f"{c} double" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect()
-    z = np.zeros(test.shape)
-    for r in rows:
-        z[r.term] = r[1:]
-    core = test.astype(np.float64).T @ z
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    keep = values > 1e-9 * max(values.max(initial=0), 1e-30)
-    return z @ (vectors[:, keep] / np.sqrt(values[keep]))
-
-
-def _searcher(items: list[tuple[int, list[str], list[str]]], docs: DataFrame, rank: int) -> Searcher:
+def _searcher(items: list[tuple[int, list[str], list[str]]], docs: DataFrame) -> Searcher:
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, answer in items for w in [*words, *answer]}))}
     n, df = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 0.05
@@ -145,12 +107,7 @@ def _searcher(items: list[tuple[int, list[str], list[str]]], docs: DataFrame, ra
             chunks.append(q / np.linalg.norm(q))
             of.append(k)
     q = np.array(chunks).T
-    g = corpus_directions(docs, vocabulary, idf)
-    # The benchmark's passages are rows of the matrix too, as heavy as the corpus's main directions: else truncation would lose rare items.
-    heavy = np.sqrt((g * g).sum() / max(1, g.shape[1])) or 1.0
-    u, _, _ = np.linalg.svd(np.hstack([g, heavy * q]), full_matrices=False)
-    u = u[:, : max(rank, q.shape[1])]
-    return Searcher(vocabulary, idf, float(0.75 * np.log(n + 1) + 0.05), (u @ (u.T @ q)).astype(np.float32), np.array(of), numbered)
+    return Searcher(vocabulary, idf, float(0.75 * np.log(n + 1) + 0.05), q.astype(np.float32), np.array(of), numbered)
 
 
 def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
@@ -201,14 +158,14 @@ def _matches(s: Searcher, offsets: np.ndarray, terms: np.ndarray, cosine: float,
                     yield t, k, cos, got, int(lo - offsets[t]), int(hi - offsets[t])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, sure: float = 0.8, min_words: int = 5, rank: int = 256) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, sure: float = 0.8, min_words: int = 5) -> DataFrame:
     """Items of benchmark (item_id, text, optionally answer) in docs (doc_id, text, ...): doc_id, item_id, cosine, lcs_share, first_word, end_word.
 
-    Passages of 32 words are compared with the items' passages in a latent space; where the cosine
+    Passages of 32 words are compared with the items' passages by their TF-IDF vectors; where the cosine
     is at least `cosine`, the longest common subsequence of the item and the region around the
     passage, weighted by idf, must make up `share` of the item; below `sure`, half the weight of
     the answer (without one: of the last quarter of the item) must be there too. A row for each
-    document and item, with the best region. Frequencies and directions cover all documents.
+    document and item, with the best region. Frequencies cover all documents.
 
     Items with fewer than min_words words, null or empty ones match nothing; null and empty texts
     hold nothing; rows with equal doc_id count as one document; a null doc_id is kept as null.
@@ -241,10 +198,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.
     for r in listed.orderBy("item_id").toLocalIterator():
         block.append((r.item_id, r.words, r.answer))
         if len(block) == ITEMS:
-            found = search(_searcher(block, rows, rank))
+            found = search(_searcher(block, rows))
             out, block = found if out is None else out.unionByName(found), []
     if block:
-        found = search(_searcher(block, rows, rank))
+        found = search(_searcher(block, rows))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)

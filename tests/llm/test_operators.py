@@ -178,6 +178,21 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0 == decontaminate.find_contamination(docs, bench.limit(0)).count()
 
 
+def test_decontamination_scores_are_plain_tfidf_for_many_items(spark):
+    g = random.Random(10)
+    items = [(i, [g.choice(WORDS) + g.choice(WORDS) for _ in range(20)]) for i in range(400)]
+    texts = [(i, w[:17] + g.choice(items)[1][:3]) for i, w in items]
+    df = {w: sum(w in t for _, t in texts) for _, item in items for w in item}
+    idf = {w: np.log((len(texts) + 1) / (n + 1)) + 0.05 for w, n in df.items()}
+    vector = lambda t: {w: t.count(w) ** 0.5 * idf[w] for w in t}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    got = {r.doc_id: r.cosine for r in decontaminate.find_contamination(frame(texts, "doc_id"), frame(items, "item_id")).collect() if r.doc_id == r.item_id}
+    for (i, item), (_, t) in zip(items, texts):
+        a, b = vector(item), vector(t)
+        assert got[i] == pytest.approx(sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b), abs=1e-4)
+
+
 def test_toxicity_held_out(spark):
     g = random.Random(4)
     rows, labels = [], []
