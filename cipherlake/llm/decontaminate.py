@@ -1,4 +1,4 @@
-"""Benchmark decontamination: TF-IDF retrieval of benchmark items in passages, then subsequence and answer checks."""
+"""Benchmark decontamination: retrieval of benchmark items by the weight of their words in a passage, then subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from cipherlake.llm.common import ascii_lower, slices, split_words, words_column
 
-#: Words of a passage; passages for search begin every half of it.
-PASSAGE = 32
+#: Words of a piece of an item at most.
+PIECE = 32
+#: Words of a passage; passages begin every half of it, so any 65 words in a row lie in one.
+PASSAGE = 128
 #: Benchmark items that are searched for at a time: what is broadcast is bounded by this, not by the benchmark.
 ITEMS = 2000
 
@@ -24,9 +26,14 @@ class Searcher:
 
     vocabulary: dict[str, int]
     idf: np.ndarray
-    idf_other: float
-    table: np.ndarray  # terms x chunks: each chunk's TF-IDF vector over its norm
-    chunk_item: np.ndarray
+    pieces: np.ndarray  # rows of (piece, term, count), by piece and term
+    first: np.ndarray  # first row of each piece, and their number
+    weight: np.ndarray  # of each piece: idf of its words
+    need: np.ndarray  # of each piece: what its heavy terms must weigh in a passage that holds `share` of it
+    posted: np.ndarray  # first entry of each term in heavy, and their number
+    heavy: np.ndarray  # pieces in which a term is among the heavy ones, by term
+    heavy_weight: np.ndarray  # and its weight there
+    piece_item: np.ndarray
     items: list[tuple[int, np.ndarray, np.ndarray]]  # item_id, terms in order, terms of the answer (empty: none given)
 
 
@@ -47,22 +54,17 @@ def _passages(offsets: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, n
     return text, begin, np.minimum(begin + PASSAGE, offsets[1:][text])
 
 
-def _vectors(begin: np.ndarray, end: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, term, weight) of the sparse passage vectors: sqrt(count) * idf."""
-    size = end - begin
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    key = np.repeat(np.arange(len(begin)), size) * len(idf) + terms[at]
-    key, n = np.unique(key[terms[at] >= 0], return_counts=True)
-    return key // len(idf), key % len(idf), np.sqrt(n) * idf[key % len(idf)]
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, index) of each element of ranges that begin at first and hold size elements."""
+    of = np.repeat(np.arange(len(first)), size)
+    return of, np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(of))
 
 
-def _fold(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by an ascending index."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(index):
-        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-        out[index[first]] = np.add.reduceat(rows, first, axis=0)
-    return out
+def _counts(begin: np.ndarray, end: np.ndarray, at: np.ndarray, terms: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage * n_terms + term, count), ascending, of the words of passages that are at the places `at`."""
+    lo, hi = np.searchsorted(at, begin), np.searchsorted(at, end)
+    of, i = _spread(lo, hi - lo)
+    return np.unique(of * n_terms + terms[at[i]], return_counts=True)
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -92,22 +94,61 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
     return n, df
 
 
-def _searcher(items: list[tuple[int, list[str], list[str]]], docs: DataFrame) -> Searcher:
+def _searcher(items: list[tuple[int, list[str], list[str]]], docs: DataFrame, share: float) -> Searcher:
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, answer in items for w in [*words, *answer]}))}
     n, df = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 0.05
-    chunks, of = [], []
     numbered = [(i, np.array([vocabulary[w] for w in words], np.int64), np.array([vocabulary[w] for w in answer], np.int64)) for i, words, answer in items]
+    rows, weights, need, heavy, of = [], [], [], [], []
     for k, (_, terms, _) in enumerate(numbered):
-        _, begin, end = _passages(np.array([0, len(terms)]), PASSAGE // 2)
-        for b, e in zip(begin, end):
-            term, count = np.unique(terms[b:e], return_counts=True)
-            q = np.zeros(len(vocabulary))
-            q[term] = np.sqrt(count) * idf[term]
-            chunks.append(q / np.linalg.norm(q))
+        for piece in np.array_split(terms, -(-len(terms) // PIECE)):
+            term, count = np.unique(piece, return_counts=True)
+            w = count * idf[term]
+            # Terms by falling weight until the rest weigh half of `share`: a passage with `share` of the piece has the other half in these.
+            order = np.argsort(-w, kind="stable")
+            rest = w.sum() - np.cumsum(w[order])
+            most = 1 + int(np.argmax(rest <= share / 2 * w.sum()))
+            heavy += [(int(term[j]), len(of), float(w[j])) for j in order[:most]]
+            need.append(share * w.sum() - max(0.0, float(rest[most - 1])))
+            rows.append(np.column_stack([np.full(len(term), len(of)), term, count]))
+            weights.append(w.sum())
             of.append(k)
-    q = np.array(chunks).T
-    return Searcher(vocabulary, idf, float(0.75 * np.log(n + 1) + 0.05), q.astype(np.float32), np.array(of), numbered)
+    heavy.sort()
+    posted = np.searchsorted(np.array([h[0] for h in heavy]), np.arange(len(idf) + 1))
+    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return Searcher(vocabulary, idf, np.concatenate(rows), first, np.array(weights), np.array(need), posted, np.array([h[1] for h in heavy]), np.array([h[2] for h in heavy]), np.array(of), numbered)
+
+
+def _candidates(s: Searcher, begin: np.ndarray, end: np.ndarray, terms: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, piece, cosine over the benchmark's words) of all passages whose words make up `share` of a piece, order aside."""
+    n_terms, n_pieces = len(s.idf), len(s.weight)
+    postings = np.diff(s.posted)
+    inside = np.flatnonzero(terms >= 0)
+    key, _ = _counts(begin, end, inside[postings[terms[inside]] > 0], terms, n_terms)
+    passage, term = key // n_terms, key % n_terms
+    per = max(1, (1 << 21) // n_pieces)
+    found = []
+    for a in range(0, len(begin), per):
+        lo, hi = np.searchsorted(passage, [a, a + per])
+        of, i = _spread(s.posted[term[lo:hi]], postings[term[lo:hi]])
+        n = min(per, len(begin) - a)
+        got = np.bincount((passage[lo:hi][of] - a) * n_pieces + s.heavy[i], s.heavy_weight[i], n * n_pieces).reshape(n, n_pieces)
+        p, c = np.nonzero(got >= s.need - 1e-6)
+        found.append((p + a, c))
+    p, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    if not len(p):
+        return p, c, np.zeros(0)
+    some, p_at = np.unique(p, return_inverse=True)
+    key, n = _counts(begin[some], end[some], inside, terms, n_terms)
+    norm2 = np.bincount(key // n_terms, n * s.idf[key % n_terms] ** 2, len(some))
+    pair, row = _spread(s.first[c], np.diff(s.first)[c])
+    wanted = p_at[pair] * n_terms + s.pieces[row, 1]
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    held, mine, idf = np.where(key[at] == wanted, n[at], 0), s.pieces[row, 2], s.idf[s.pieces[row, 1]]
+    overlap = np.bincount(pair, np.minimum(held, mine) * idf, len(p))
+    cosine = np.bincount(pair, np.sqrt(held * mine) * idf**2, len(p)) / np.sqrt(np.bincount(pair, mine * idf**2, len(p)) * norm2[p_at])
+    keep = overlap >= share * s.weight[c] - 1e-6
+    return p[keep], c[keep], cosine[keep]
 
 
 def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
@@ -121,51 +162,43 @@ def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
     return float(best[-1])
 
 
-def _matches(s: Searcher, offsets: np.ndarray, terms: np.ndarray, cosine: float, share: float, sure: float) -> Iterator[tuple[int, int, float, float, int, int]]:
+def _matches(s: Searcher, offsets: np.ndarray, terms: np.ndarray, share: float, sure: float) -> Iterator[tuple[int, int, float, float, int, int]]:
     """(text, item, cosine, share of the item, first word, end word) of the items found in the texts."""
     text, begin, end = _passages(offsets, PASSAGE // 2)
-    inside = np.where(terms >= 0, s.idf[terms], 0.0) ** 2
-    total = np.concatenate([[0], np.cumsum(np.where(terms >= 0, inside, s.idf_other**2))])
-    known = np.concatenate([[0], np.cumsum(inside)])
-    norm2 = total[end] - total[begin]
-    # The cosine can't exceed the share of the norm that lies in the vocabulary.
-    some = np.flatnonzero(known[end] - known[begin] >= cosine**2 * norm2)
-    for a in range(0, len(some), 4096):
-        part = some[a : a + 4096]
-        passage, term, weight = _vectors(begin[part], end[part], terms, s.idf)
-        score = _fold(passage, s.table[term] * weight.astype(np.float32)[:, None], len(part)) / np.sqrt(np.maximum(norm2[part], 1e-9))[:, None]
-        hit, chunk = np.nonzero(score >= cosine)
-        regions: dict[tuple[int, int], list] = {}
-        for h, c in zip(hit.tolist(), chunk.tolist()):
-            p, k = part[h], int(s.chunk_item[c])
-            n, t = len(s.items[k][1]), int(text[p])
-            lo, hi = max(offsets[t], begin[p] - n), min(offsets[t + 1], end[p] + n)
-            spans = regions.setdefault((t, k), [])
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1], spans[-1][2] = max(hi, spans[-1][1]), max(spans[-1][2], float(score[h, c]))
-            else:
-                spans.append([lo, hi, float(score[h, c])])
-        for (t, k), spans in regions.items():
-            _, words, answer = s.items[k]
-            weight = s.idf[words]
-            for lo, hi, cos in spans:
-                got = common_weight(words, terms[lo:hi], weight) / weight.sum()
-                if got < share:
-                    continue
-                last = answer if len(answer) else words[-max(3, len(words) // 4) :]
-                w = s.idf[last]
-                if got >= sure or common_weight(last, terms[lo:hi], w) >= 0.5 * w.sum():
-                    yield t, k, cos, got, int(lo - offsets[t]), int(hi - offsets[t])
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, sure: float = 0.8, min_words: int = 5) -> DataFrame:
+    regions: dict[tuple[int, int], list] = {}
+    for p, c, score in zip(*(x.tolist() for x in _candidates(s, begin, end, terms, share))):
+        k, t = int(s.piece_item[c]), int(text[p])
+        n = len(s.items[k][1])
+        lo, hi = max(offsets[t], begin[p] - n), min(offsets[t + 1], end[p] + n)
+        spans = regions.setdefault((t, k), [])
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1], spans[-1][2] = max(hi, spans[-1][1]), max(spans[-1][2], score)
+        else:
+            spans.append([lo, hi, score])
+    for (t, k), spans in regions.items():
+        _, words, answer = s.items[k]
+        weight = s.idf[words]
+        for lo, hi, cos in spans:
+            got = common_weight(words, terms[lo:hi], weight) / weight.sum()
+            if got < share:
+                continue
+            last = answer if len(answer) else words[-max(3, len(words) // 4) :]
+            w = s.idf[last]
+            if got >= sure or common_weight(last, terms[lo:hi], w) >= 0.5 * w.sum():
+                yield t, k, cos, got, int(lo - offsets[t]), int(hi - offsets[t])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, sure: float = 0.8, min_words: int = 5) -> DataFrame:
     """Items of benchmark (item_id, text, optionally answer) in docs (doc_id, text, ...): doc_id, item_id, cosine, lcs_share, first_word, end_word.
 
-    Passages of 32 words are compared with the items' passages by their TF-IDF vectors; where the cosine
-    is at least `cosine`, the longest common subsequence of the item and the region around the
-    passage, weighted by idf, must make up `share` of the item; below `sure`, half the weight of
-    the answer (without one: of the last quarter of the item) must be there too. A row for each
-    document and item, with the best region. Frequencies cover all documents.
+    Items are cut into pieces of at most PIECE words, documents into passages of PASSAGE words, half
+    overlapping. A passage whose words, order aside, make up `share` of a piece's weight (idf over all
+    documents) is a candidate: where the item reaches `share`, one of its pieces does, so none that
+    lies within 65 words is missed, however long the item or the corpus. There the longest common
+    subsequence of the item and the region around the passage must make up `share` of the item;
+    below `sure`, half the weight of the answer (without one: of the last quarter of the item) must
+    be there too. A row for each document and item, with the best region; cosine is that of the
+    passage and the piece by TF-IDF, over the benchmark's words only.
 
     Items with fewer than min_words words, null or empty ones match nothing; null and empty texts
     hold nothing; rows with equal doc_id count as one document; a null doc_id is kept as null.
@@ -187,7 +220,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.
             s = held.value
             for whole in batches:
                 for batch in slices(whole, most=2 << 20):
-                    found = list(_matches(s, *_terms(batch.column("text"), s.vocabulary), cosine, share, sure))
+                    found = list(_matches(s, *_terms(batch.column("text"), s.vocabulary), share, sure))
                     ids = batch.column("doc_id").to_pylist()
                     cols = [[ids[f[0]] for f in found], [s.items[f[1]][0] for f in found], *([f[c] for f in found] for c in (2, 3, 4, 5))]
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
@@ -198,10 +231,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.
     for r in listed.orderBy("item_id").toLocalIterator():
         block.append((r.item_id, r.words, r.answer))
         if len(block) == ITEMS:
-            found = search(_searcher(block, rows))
+            found = search(_searcher(block, rows, share))
             out, block = found if out is None else out.unionByName(found), []
     if block:
-        found = search(_searcher(block, rows))
+        found = search(_searcher(block, rows, share))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)

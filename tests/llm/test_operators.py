@@ -193,6 +193,21 @@ def test_decontamination_scores_are_plain_tfidf_for_many_items(spark):
         assert got[i] == pytest.approx(sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b), abs=1e-4)
 
 
+def test_decontamination_finds_short_and_common_items(spark):
+    g = random.Random(12)
+    pool = [f"common{i}" for i in range(60)]
+    items = [(i, [g.choice(pool) for _ in range(n)]) for i, n in enumerate([5, 5, 6, 8, 16, 40, 90] * 3)]
+    filler = lambda n: [f"filler{g.randrange(10**6)}" for _ in range(n)]
+    texts = [(i, filler(100) + item + filler(100)) for i, item in items]
+    texts += [(100 + i, filler(70) + [x for w in item for x in (w, *filler(1))] + filler(70)) for i, item in items]
+    texts += [(200 + i, filler(20) + g.sample(pool, 15) + filler(20)) for i in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_contamination(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string"), bench).collect()}
+    for i, item in items:
+        for d in (i, 100 + i):
+            assert got[d, i].lcs_share == pytest.approx(1) and dict(texts)[d][got[d, i].first_word : got[d, i].end_word].count(item[0]) > 0
+
+
 def test_toxicity_held_out(spark):
     g = random.Random(4)
     rows, labels = [], []
