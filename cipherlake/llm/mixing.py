@@ -95,7 +95,7 @@ def row_hash(seed: int = 17) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text"))
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, fills: int = 4, size: Column | None = None, members: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, times, h (row_hash).
 
     size is the number of words (or the given column); members the array of sources that a row
@@ -104,12 +104,13 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     targets are target_tokens of `share` times all sizes, at most `repeats` times a source's size.
     Rows with equal members form a pattern; the flow says how many tokens each pattern gives. Every
     full pass takes each row of the pattern once more; the rest of the last pass goes to rows in the
-    order of a seeded hash of doc_id and text for as long as they fit, then up to `fills` times to the
-    largest row left that still fits. taken = size * times; no row exceeds repeats * size. source_size and target are those of
-    the row's first member.
+    order of a seeded hash of doc_id and text: each row is taken that fits what is still open, and
+    one that doesn't is passed over, so in the end no row left fits. taken = size * times; no row
+    exceeds repeats * size. source_size and target are those of the row's first member.
 
-    The driver holds one row a pattern, not a document. Rows of a hot pattern are ordered by hash
-    buckets, and ranked one by one only inside the one bucket where the pass ends. Empty and null
+    The driver holds one row a pattern and round, not a document; a round ends at a row that is
+    passed over. Rows of a hot pattern are ordered by hash buckets, and ranked one by one only
+    inside the one bucket where the round ends. Empty and null
     texts have size 0 and are never taken. Repeated rows are rows of their own. Reruns agree. An
     empty table gives no rows; further columns are ignored.
     """
@@ -136,30 +137,27 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     plan = [(list(g), *(divmod(sum(f.values()), n) if n else (0, 0)), n, sizes[g[0]], float(targets[g[0]])) for (g, n), f in zip(groups, flows)]
     spark = docs.sparkSession
     table = spark.createDataFrame(plan, "members array<string>, passes long, rest long, pattern_size long, source_size long, target double")
-    # Where the last pass ends: the bucket in which the running sum of bucket sizes reaches the rest.
     key = F.to_json(F.struct("members"), {"ignoreNullFields": "false"})
-    table, rows = table.withColumn("pattern", key).drop("members"), rows.withColumn("pattern", key)
-    per = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
-    w = W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    edge = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(table, "pattern").where("before < rest AND rest <= before + n").select("pattern", F.col("bucket").alias("edge"), "before")
-    rows = rows.join(F.broadcast(table.join(edge, "pattern", "left")) if len(plan) < 10_000 else table.join(edge, "pattern", "left"), "pattern")
-    inside = rows.where("bucket = edge").withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(W.partitionBy("pattern").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = inside.withColumn("extra", (F.col("upto") + F.col("size") <= F.col("rest")).cast("long"))
-    others = rows.where("edge IS NULL OR bucket <> edge").withColumn("extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(0)))
-    out = staged(inside.drop("upto").unionByName(others).select("doc_id", "source", "size", "source_size", "target", "pattern", "rid", "rest", "passes", "extra", "h"), "taken")
-    # What is still open goes to the largest row left that fits, a few times over: the driver holds a number and a few rows a pattern.
-    gap = {r.pattern: r.gap for r in out.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap")).collect()}
-    added: list[int] = []
-    for _ in range(fills):
-        open_ = spark.createDataFrame([(k, v) for k, v in gap.items() if v > 0] or [("", 0)], "pattern string, gap long")
-        left = out.where((F.col("extra") == 0) & (F.col("size") > 0) & ~F.col("rid").isin(added or [-1])).select("pattern", "size", "rid")
-        fits = left.join(F.broadcast(open_) if len(gap) < 10_000 else open_, "pattern").where("size <= gap").groupBy("pattern").agg(F.max(F.struct("size", "rid")).alias("x")).collect()
-        for r in fits:
-            added.append(r.x.rid)
-            gap[r.pattern] -= r.x.size
-        if not fits:
-            break
-    out = out.join(F.broadcast(spark.createDataFrame([(r,) for r in added] or [(-1,)], "rid long")).withColumn("one", F.lit(1)), "rid", "left").withColumn("extra", F.col("extra") + F.coalesce("one", F.lit(0)))
+    small = (lambda df: F.broadcast(df)) if len(plan) < 10_000 else (lambda df: df)
+    table, rows = table.withColumn("pattern", key).drop("members"), rows.withColumn("pattern", key).withColumn("at", F.struct("bucket", "h", "doc_id", "rid"))
+    # The last pass in rounds: of the rows behind the last cut that fit the gap, all up to the first that fits no more are taken; it is the next cut.
+    at_type = "struct<bucket: long, h: long, doc_id: long, rid: long>"
+    open_ = {r.pattern: (r.rest, None) for r in table.where("rest > 0").collect()}
+    rounds: list[tuple] = []
+    while open_:
+        now = spark.createDataFrame([(p, gap, cut) for p, (gap, cut) in open_.items()], f"pattern string, gap long, cut {at_type}")
+        left = rows.join(small(now), "pattern").where("size > 0 AND size <= gap AND (cut IS NULL OR at > cut)").select("pattern", "bucket", "at", "size", "gap")
+        w = W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        per = left.groupBy("pattern", "bucket", "gap").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        edge = per.where("before <= gap AND before + n > gap").select("pattern", "bucket", "before")
+        inside = left.join(small(edge), ["pattern", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("pattern").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+        ends = {r.pattern: r.x for r in inside.where("upto > gap").groupBy("pattern").agg(F.min(F.struct("at", (F.col("upto") - F.col("size")).alias("used"))).alias("x")).collect()}
+        rounds += [(p, gap, tuple(ends[p]["at"]) if p in ends else None) for p, (gap, _) in open_.items()]
+        open_ = {p: (open_[p][0] - x.used, tuple(x["at"])) for p, x in ends.items() if open_[p][0] > x.used}
+    # Gaps only shrink and cuts only move on: a row is taken if it lies before the cut of a round whose gap it fits.
+    ended = spark.createDataFrame(rounds, f"pattern string, gap long, cut {at_type}").groupBy("pattern").agg(F.collect_list(F.struct("gap", "cut")).alias("rounds"))
+    fits = F.exists("rounds", lambda r: (F.col("size") <= r["gap"]) & (r["cut"].isNull() | (F.col("at") < r["cut"])))
+    out = rows.join(small(table), "pattern").join(small(ended), "pattern", "left").withColumn("extra", F.coalesce(fits, F.lit(False)).cast("long"))
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "h")
 

@@ -115,6 +115,21 @@ def test_mix_meets_targets(docs):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs).collect()))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_mix_goes_on_after_a_document_that_does_not_fit(spark, seed):
+    g = random.Random(seed)
+    sizes = [30_000] * 4 + [g.randint(5_000, 9_000) for _ in range(20)] + [g.randint(20, 40) for _ in range(500)]
+    docs = spark.createDataFrame([(i if i % 50 else None, f"t{i}", "s", n) for i, n in enumerate(sizes)], "doc_id long, text string, source string, n long")
+    rows = mixing.mix_sources(docs, share=0.3, seed=seed, size=F.col("n")).collect()
+    gap, want = round(0.3 * sum(sizes)), set()
+    for r in sorted(rows, key=lambda r: (r.h % mixing.BUCKETS, r.h)):  # plain Python: every row in turn that fits
+        if r["size"] <= gap:
+            gap -= r["size"]
+            want.add(r.h)
+    assert {r.h for r in rows if r.times} == want and all(r.taken == r["size"] * r.times for r in rows)
+    assert gap < min([r["size"] for r in rows if not r.times])
+
+
 def test_min_cost_flow_prefers_first_passes():
     flow = mixing.min_cost_flow([(("a",), 10), (("a", "b"), 10), (("b",), 2)], {"a": 15, "b": 14}, 2)
     assert sum(f.get("a", 0) for f in flow) == 15 and sum(f.get("b", 0) for f in flow) == 14
