@@ -58,8 +58,26 @@ def fingerprint(path: Column, line: Column, algorithm: Column, category: Column)
     return F.concat_ws(":", path, line.cast("string"), algorithm, category)
 
 
+#: The reference's secret patterns, in its order; a key block goes up to its end line where there is one.
+SECRETS = [
+    r"-----BEGIN[^-]*-----(?:[\s\S]*?-----END[^-]*-----)?",
+    r"""(?i)(password|passwd|pwd)\s*[:=]\s*["'][^"']+["']""",
+    r"""(?i)(secret|api[_-]?key|access[_-]?token|auth[_-]?token)\s*[:=]\s*["'][^"']+["']""",
+    r"""(?i)(aws_secret_access_key|aws_access_key_id)\s*[:=]\s*["'][^"']+["']""",
+    "ghp_[A-Za-z0-9]{30,}",
+    "sk-[A-Za-z0-9]{30,}",
+    "xox[baprs]-[A-Za-z0-9-]{10,}",
+]
+
+
 def redact(text: Column) -> Column:
-    """Secrets replaced by markers: key blocks, assignments, long hexadecimal and base64 runs, addresses."""
-    out = F.regexp_replace(text, r"(?i)(password|secret|api_key|token)\s*[:=]\s*\S+", "$1=[REDACTED]")
+    """Secrets replaced by markers: the reference's patterns, then bare assignments, long hexadecimal and base64 runs, addresses."""
+    out = text
+    for pattern in SECRETS:
+        out = F.regexp_replace(out, pattern, "[REDACTED-SECRET]")
+    out = F.regexp_replace(out, r"(?i)(password|secret|api_key|token)\s*[:=]\s*\S+", "$1=[REDACTED]")
     out = F.regexp_replace(out, r"\b[0-9a-fA-F]{32,}\b", "[HEX]")
+    # Mixed case and a digit: not a long word, path or number.
+    run = "[A-Za-z0-9+/]"
+    out = F.regexp_replace(out, rf"(?<!{run})(?={run}*[a-z])(?={run}*[A-Z])(?={run}*[0-9]){run}{{40,}}={{0,2}}", "[BASE64]")
     return F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
