@@ -16,15 +16,19 @@ class PieceEncoder:
     """Encodes texts exactly as the tokenizer does, each distinct piece once.
 
     Valid for tokenizers whose pre-tokens never hold white space and whose normaliser works
-    within white-space-free pieces (NFC, white-space replacement and lower-casing do); this is
-    checked for texts with anything unusual by encoding those as a whole. The cache of pieces is
-    bounded: beyond `most` entries it starts anew.
+    within white-space-free pieces (NFC, white-space replacement and lower-casing do); texts with
+    special-token strings or white space beyond ASCII are encoded whole. A vocabulary whose pieces
+    can't be encoded alone (one that joins a space to the next word, say) is refused. The cache of
+    pieces is bounded: beyond `most` entries it becomes the old one, from which pieces are taken over as they occur.
     """
 
+    #: Encoded whole and in pieces when an encoder is made; the ids must agree.
+    PROBE = "The cat's 12 hats, \u00fcber-Stra\u00dfe. x1 (a) \u4e2d\u6587 e\u0301! \u0130. End"
+
     #: Texts with these are encoded whole: special-token strings, and white space that is not ASCII.
     ODD = r"<\||[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 
-    def __init__(self, path: str, specials_as_text: bool = False, most: int = 900_000):
+    def __init__(self, path: str, specials_as_text: bool = False, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,22 +36,29 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = specials_as_text
         self.most = most
         self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
+        self.latin = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]").fullmatch
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         ends = np.zeros(1 + max(words.values(), default=0), bool)
         for w, i in words.items():
             ends[i] = w.endswith("</w>")
         self.ends_word = ends if ends.any() else None
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if not np.array_equal(self.whole(self.PROBE), np.concatenate([self.whole(p) for p in self.PROBE.split()])):
+            raise ValueError(f"pieces between white space can't be encoded alone with {path}")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. A piece of letters and one closing mark is the piece of letters, then the mark."""
+        """Ids of new pieces. A piece that ends in a Latin letter and a closing mark is the piece without it, then the mark.
+
+        Other letters are left alone: in lower case some end in a combining mark, which joins the closing one.
+        """
         cache, todo, ends = self.cache, {}, []
         for p in pieces:
             q = p.lower() if p.isascii() else p
-            if len(q) > 1 and q[-1] in ".,;:!?" and q[-2].isalpha():
+            if len(q) > 1 and q[-1] in ".,;:!?" and self.latin(q[-2]):
                 ends.append((p, q[:-1], q[-1]))
                 q = q[:-1]
                 if (m := ends[-1][2]) not in cache:
@@ -55,7 +66,10 @@ class PieceEncoder:
             elif q != p:
                 ends.append((p, q, ""))
             if q not in cache:
-                todo[q] = None
+                if q in self.old:
+                    cache[q] = self.old[q]
+                else:
+                    todo[q] = None
         # A piece of Latin lower-case letters is one pre-token, whose last id alone ends a word: many are encoded as one text.
         plain = [p for p in todo if self.plain(p)] if self.ends_word is not None else []
         for a in range(0, len(plain), 8192):
@@ -86,11 +100,13 @@ class PieceEncoder:
         coded = lists.flatten().dictionary_encode()
         pieces, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
         if len(self.cache) > self.most:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         self.cache[""] = b""
         missing = [p for p in pieces if p not in self.cache]
         if missing:
-            self._learn(missing)
+            old = self.old
+            self.cache.update((p, old[p]) for p in missing if p in old)
+            self._learn([p for p in missing if p not in old])
         parts = [self.cache[p] for p in pieces]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
