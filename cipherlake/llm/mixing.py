@@ -90,13 +90,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(seed: int = 17) -> Column:
-    """The seeded hash of a row by which documents are chosen."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text"))
+#: Up to so many patterns the plan's one row a pattern is broadcast, beyond it is joined by shuffles, with the same result.
+BROADCAST_ROWS = 10_000
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None) -> DataFrame:
-    """A row for each row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, times, h (row_hash).
+def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A row for each row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, times, h (its seeded hash).
 
     size is the number of words (or the given column); members the array of sources that a row
     belongs to (its source alone by default; null is a source of its own, last in order, and so is
@@ -114,10 +113,16 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     texts have size 0 and are never taken. Repeated rows are rows of their own. Reruns agree. An
     empty table gives no rows; further columns are ignored.
     """
+    out = _mix(docs, False, share, cycle, repeats, seed, size, members, broadcast_rows)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "h")
+
+
+def _mix(docs: DataFrame, carry: bool, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of mix_sources; with carry each also holds the whole row of docs, as the struct `row`."""
     members = members if members is not None else F.array("source")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), members.cast("array<string>").alias("members"), (size if size is not None else word_count(F.col("text"))).alias("size"),
-        row_hash(seed).alias("h"),
+        F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text")).alias("h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     )
     one_null = F.array(F.lit(None).cast("string"))
     rows = rows.withColumn("members", F.when(F.size("members") > 0, F.array_sort(F.array_distinct("members"))).otherwise(one_null)).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
@@ -138,7 +143,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     spark = docs.sparkSession
     table = spark.createDataFrame(plan, "members array<string>, passes long, rest long, pattern_size long, source_size long, target double")
     key = F.to_json(F.struct("members"), {"ignoreNullFields": "false"})
-    small = (lambda df: F.broadcast(df)) if len(plan) < 10_000 else (lambda df: df)
+    small = (lambda df: F.broadcast(df)) if len(plan) <= broadcast_rows else (lambda df: df)
     table, rows = table.withColumn("pattern", key).drop("members"), rows.withColumn("pattern", key).withColumn("at", F.struct("bucket", "h", "doc_id", "rid"))
     # The last pass in rounds: of the rows behind the last cut that fit the gap, all up to the first that fits no more are taken; it is the next cut.
     at_type = "struct<bucket: long, h: long, doc_id: long, rid: long>"
@@ -159,12 +164,15 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     fits = F.exists("rounds", lambda r: (F.col("size") <= r["gap"]) & (r["cut"].isNull() | (F.col("at") < r["cut"])))
     out = rows.join(small(table), "pattern").join(small(ended), "pattern", "left").withColumn("extra", F.coalesce(fits, F.lit(False)).cast("long"))
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "h")
+    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), "h", *(["row"] if carry else []))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns; rows that repeat a document are taken alike."""
-    times = mix_sources(docs, **options).groupBy("h").agg(F.max("times").alias("n")).where("n > 0")
-    key, each = "_mix_row", "_mix_pass"
-    out = docs.withColumn(key, row_hash(options.get("seed", 17))).join(times.withColumnRenamed("h", key).withColumnRenamed("n", each), key)
-    return out.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(each)))).select(docs.columns)
+    """The rows of docs as often as the mix takes them, with all their columns: the words written are those of mix_sources.
+
+    Each row carries its own columns through the mix, so rows that repeat a document are taken each
+    by its own count. Rows with null or empty texts are never taken; a null doc_id or source is a
+    value like others; an empty table stays empty.
+    """
+    out = _mix(docs, True, **options).where("times > 0").withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))))
+    return out.select("row.*")
