@@ -1,20 +1,45 @@
-"""Cutting lineage with tables in the shared folder of the cluster."""
+"""Staged tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found if "://" in found or found.startswith("file:") else "file://" + found
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the folder in spark.checkpoint.dir (a temporary one where it is unset, as in tests) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """Cuts the lineage: df written as Parquet to the shared folder and read back, so a lost executor costs no recomputation."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t.staged_at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote under the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
