@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherlake.sources.staging import discard, fresh_path, remove_path, shared_dir, staged  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Word pattern: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,30 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
-
+def read_parts(spark: SparkSession, size: int) -> int:
+    """Partitions in which to read `size` bytes of files: one for each spark.sql.files.maxPartitionBytes, one a core at least.
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    For readers whose rows only name what to read: left to adaptive execution, few rows become few tasks.
+    """
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower().removesuffix("b")
+    each = int(text[:-1]) << {"k": 10, "m": 20, "g": 30}[text[-1]] if text[-1] in "kmg" else int(text)
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df written as Parquet to the shared folder and read back, so a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def released(run: Callable) -> Callable:
+    """run, which maps an iterator of batches, giving its memory back to the system when it ends: workers live on between tasks."""
 
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this library wrote under the shared folder."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return wrapped
 
 
 def ascii_lower(text: Column) -> Column:
