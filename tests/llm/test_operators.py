@@ -223,6 +223,63 @@ def test_decontamination_finds_short_and_common_items(spark):
             assert got[d, i].lcs_share == pytest.approx(1) and dict(texts)[d][got[d, i].first_word : got[d, i].end_word].count(item[0]) > 0
 
 
+def reworded(g, pairs=40, items=24):
+    """Documents in which the two words of a pair stand in like passages; items, and rewordings of them by the other words."""
+    used = lambda i: [f"left{i}", f"right{i}"][g.randrange(2)]
+    docs = [" ".join(w for _ in range(12) for w in (f"ctx{i}a", used(i), f"ctx{i}b", used(i))) for i in range(pairs) for _ in range(12)]
+    out, again = [], []
+    for k in range(items):
+        topics = g.sample(range(pairs), 16)
+        answer = [f"answer{k}x{j}" for j in range(3)]
+        out.append(" ".join([f"left{i}" for i in topics] + answer))
+        swap = set(g.sample(topics, 10))
+        again.append(" ".join([f"filler{g.randrange(10**6)}" for _ in range(20)] + [f"{'right' if i in swap else 'left'}{i}" for i in topics] + answer))
+    unlike = [" ".join(f"{g.choice(['left', 'right'])}{i}" for i in g.sample(range(pairs), 30)) for _ in range(60)]
+    return docs, out, again, unlike
+
+
+def test_decontamination_finds_rewordings_that_words_alone_miss(spark):
+    docs, items, again, unlike = reworded(random.Random(21))
+    rows = list(enumerate(again)) + [(1000 + i, t) for i, t in enumerate(docs)] + [(5000 + i, t) for i, t in enumerate(unlike)]
+    frame = lambda r, key: spark.createDataFrame(r, f"{key} long, text string")
+    bench = frame(list(enumerate(items)), "item_id")
+    plain = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(frame(rows, "doc_id"), bench, near=2.0).collect()}
+    found = decontaminate.find_contamination(frame(rows, "doc_id"), bench).collect()
+    hits = {(r.doc_id, r.item_id) for r in found}
+    assert not plain and len(hits & {(i, i) for i in range(len(items))}) >= 0.85 * len(items)  # 21 of 24
+    assert hits <= {(i, i) for i in range(len(items))}
+    assert all(r.latent >= decontaminate.NEAR and r.lcs_share < 0.6 <= r.soft_share for r in found)
+
+
+def test_latent_vectors_against_a_full_decomposition(spark):
+    g = np.random.default_rng(5)
+    texts = [g.choice(np.arange(40) + 40 * (i % 3), 60) for i in range(90)]
+    rows = spark.createDataFrame([(i, bytearray(t.astype("<u4").tobytes())) for i, t in enumerate(texts)], "doc_id long, codes binary")
+    idf = np.linspace(0.5, 2, 120)
+    vectors, values = decontaminate.latent_vectors(rows, np.arange(120), idf, rank=6)
+    x = []
+    for t in texts:
+        for part in (t[:48], t[48:]):
+            v = np.bincount(part, minlength=120) * idf
+            x.append(v / np.linalg.norm(v))
+    _, want, vt = np.linalg.svd(np.array(x), full_matrices=False)
+    assert np.allclose(values[:3], want[:3], rtol=0.08)  # one pass, flat noise below
+    assert np.linalg.norm(vt[:3] @ vectors[:, :3]) ** 2 > 2.8  # the three leading directions span the same space
+
+
+def test_decontamination_repeats_ties_long_texts_and_clashing_columns(spark):
+    g = random.Random(31)
+    item = [f"w{i}" for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")
+    long = " ".join([f"f{g.randrange(10**6)}" for _ in range(30_000)] + item + ["end"] * 2000)
+    rows = [(1, long), (1, long), (2, " ".join(item)), (None, " ".join(item)), (3, None), (4, ""), (5, "clean words only here, nothing else"), (None, "clean")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit(7), "codes": F.lit("x"), "latent": F.lit(0.5), "_text": F.lit(1)})
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_contamination(d, bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 2), (2, 1), (2, 2), (None, 1), (None, 2)], key=str)
+    left = decontaminate.decontaminate(d, bench)
+    assert left.columns == d.columns and sorted((r.doc_id for r in left.collect()), key=str) == [3, 4, 5, None]
+
+
 def test_toxicity_held_out(spark):
     g = random.Random(4)
     rows, labels = [], []
