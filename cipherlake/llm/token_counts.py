@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import fresh_path, slices, staged
+from cipherlake.llm.common import fresh_path, read_parts, released, slices, staged
 from cipherlake.llm.storage import AtomicFile, make_dir, open_file
 from cipherlake.llm.tokenize import append_end, encoder
 
@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
 
     make_dir(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(run, "file string, row long, doc_id long, width int"), "rows")
+    return staged(rows.mapInArrow(released(run), "file string, row long, doc_id long, width int"), "rows")
 
 
 def scan_flat(files: DataFrame, folder: str, end_id: int, block: int = BLOCK) -> DataFrame:
@@ -70,9 +70,10 @@ def scan_flat(files: DataFrame, folder: str, end_id: int, block: int = BLOCK) ->
                 first, last = (int(at[0]), int(at[-1])) if len(at) else (None, None)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([nth], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([np.diff(at) - 1], pa.list_(pa.int64()))], names=["file", "block", "n", "first", "last", "inner"])
 
-    listed = files.select("file", "width").distinct().mapInArrow(sizes, "file string, width int, bytes long").where("bytes > 0")
+    listed = staged(files.select("file", "width").distinct().mapInArrow(sizes, "file string, width int, bytes long").where("bytes > 0"), "files")
+    parts = read_parts(files.sparkSession, listed.agg(F.sum("bytes")).first()[0] or 0)
     blocks = listed.select("file", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block))).alias("block"))
-    found = blocks.repartition("file", "block").mapInArrow(scan, "file string, block long, n long, first long, last long, inner array<long>")
+    found = blocks.repartition(parts, "file", "block").mapInArrow(scan, "file string, block long, n long, first long, last long, inner array<long>")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     stitched = found.select("file", "n", "inner", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("open")).where("n > 0")
     lengths = F.concat(F.array(F.col("first") - F.col("open") - 1), F.col("inner"))
@@ -83,8 +84,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     """Writes docs (doc_id, text, ...) to flat files and counts each document's ids by scanning them: doc_id, n_tokens (without the end id).
 
     Null and empty texts have 0 ids. Repeated rows get a row each; a null doc_id is kept; an empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns, of whatever name, are ignored; texts of any length are
+    stitched from their blocks.
     """
     folder = folder or fresh_path(docs.sparkSession, "flat")
     rows = write_flat(docs, folder, tokenizer, end_id)
-    return rows.select("file", "row", "doc_id").join(scan_flat(rows, folder, end_id, block), ["file", "row"]).select("doc_id", "n_tokens")
+    # Both sides grow with the documents, and the size of exploded lengths is underrated: never a broadcast.
+    return rows.select("file", "row", "doc_id").join(scan_flat(rows, folder, end_id, block).hint("merge"), ["file", "row"]).select("doc_id", "n_tokens")

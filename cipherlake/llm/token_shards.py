@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cipherlake.llm import mphf
-from cipherlake.llm.common import fresh_path, slices, staged
+from cipherlake.llm.common import fresh_path, read_parts, released, slices, staged
 from cipherlake.llm.storage import AtomicFile, make_dir, open_file, read_file, write_file
 from cipherlake.llm.tokenize import append_end, encoder
 
 #: Shard header: magic, bytes of an id (2 where the vocabulary allows, else 4), end id.
 HEADER = "<8sII"
 MAGIC = b"IDSHARD1"
-#: Stands for a null doc_id in the index; a document with this very id would share its entry, told apart by the null flag.
-NULL_KEY = -(2**63) + 12345
+#: Bytes of a shard that one task reads in a row.
+SPAN = 8 << 20
 
 
 def _file(folder: str, kind: str, i: int) -> str:
@@ -56,17 +55,20 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
 
     make_dir(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return staged(rows.mapInArrow(run, "doc_id long, shard int, offset long, n_tokens long"), "positions")
+    # Ranges are cut inside equal ids too, so many rows without an id or with the same one are no hot partition.
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(rows.mapInArrow(released(run), "doc_id long, shard int, offset long, n_tokens long"), "positions")
 
 
 def write_index(positions: DataFrame, folder: str) -> int:
-    """Writes one index file for each bucket of about mphf.BUCKET keys; returns the number of buckets."""
+    """Writes one index file for each bucket of about mphf.BUCKET keys; returns the number of buckets. Rows without a doc_id have no key."""
+    positions = positions.where("doc_id IS NOT NULL")
     buckets = max(1, -(-positions.count() // mphf.BUCKET))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(pc.fill_null(batch.column("doc_id"), NULL_KEY))
+            keys = np.asarray(batch.column("doc_id"))
             yield pa.RecordBatch.from_arrays([pa.array(mphf.bucket_of(keys, buckets)), pa.array(keys), *(batch.column(c) for c in ("shard", "offset", "n_tokens"))], names=["bucket", "key", "shard", "offset", "n_tokens"])
 
     def build(g: pa.Table) -> pa.Table:
@@ -86,7 +88,7 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = np.asarray(pc.fill_null(batch.column("doc_id"), NULL_KEY))
+            k = np.asarray(batch.column("doc_id"))
             yield pa.RecordBatch.from_arrays([pa.array(mphf.bucket_of(k, buckets)), batch.column("doc_id")], names=["bucket", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +102,22 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
                 if bucket[a] != held:
                     held, index = bucket[a], mphf.Index(read_file(_file(folder, "index", int(bucket[a]))))
                 ids = batch.column("doc_id").slice(a, b - a)
-                at, found = index.find(np.asarray(pc.fill_null(ids, NULL_KEY)))
+                at, found = index.find(np.asarray(ids))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(found[c]) for c in ("shard", "offset", "n_tokens"))], names=["doc_id", "shard", "offset", "n_tokens"])
 
-    keys = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(placed, "bucket long, doc_id long")
-    return keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, shard int, offset long, n_tokens long")
+    keys = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().mapInArrow(placed, "bucket long, doc_id long")
+    parts = read_parts(keys.sparkSession, buckets * mphf.BUCKET * 32)  # about 32 bytes a key in an index file
+    return keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, shard int, offset long, n_tokens long")
 
 
 def read_ids(places: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """Reads the ids of (doc_id, shard, offset, n_tokens) rows from the shards: adds ids_crc32, and ids if wanted.
 
-    Each task opens a shard once and reads it in ascending offsets.
+    A task reads spans of SPAN ids of some shards, each in ascending offsets; the number of tasks
+    follows from the bytes to read.
     """
+    spark = places.sparkSession
+    parts = read_parts(spark, 4 * (places.agg(F.sum("n_tokens")).first()[0] or 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, f, width = None, None, 2
@@ -138,7 +144,8 @@ def read_ids(places: DataFrame, folder: str, with_ids: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), names=["doc_id", "shard", "offset", "n_tokens", "ids_crc32"] + (["ids"] if with_ids else []))
 
     schema = "doc_id long, shard int, offset long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return places.select("doc_id", "shard", "offset", "n_tokens").repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    span = F.floor(F.col("offset") / SPAN)
+    return places.select("doc_id", "shard", "offset", "n_tokens").repartition(parts, F.col("shard"), span).sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
@@ -146,15 +153,17 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
 
     start is the number of ids of all documents before it in ascending doc_id order (nulls first,
     repeated ids in the order of a hash of their text). Null and empty texts hold the end id
-    alone. Repeated rows and ids each keep their own row. An empty table gives no rows; further
-    columns are ignored. Files are written beside their place and moved there, so a lost
+    alone. Repeated rows and ids each keep their own row. A null doc_id is no key: such rows are
+    read by their positions, all others through the index. An empty table gives no rows; further
+    columns, of whatever name, are ignored; very long texts are written whole. Files are written beside their place and moved there, so a lost
     executor's tasks can run again.
     """
     spark: SparkSession = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     positions = write_shards(docs, folder, tokenizer, end_id)
     buckets = write_index(positions, folder)
-    read = read_ids(lookup(docs, folder, buckets), folder)
+    found = lookup(docs, folder, buckets).unionByName(positions.where("doc_id IS NULL").select("doc_id", "shard", "offset", "n_tokens"))
+    read = read_ids(staged(found, "found"), folder)
     # One row a shard, summed before the only window without a key.
     totals = positions.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).withColumn("base", F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
     return read.join(totals, "shard").select("doc_id", (F.coalesce("base", F.lit(0)) + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
