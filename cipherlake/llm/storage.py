@@ -54,6 +54,11 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+def file_size(path: str) -> int:
+    system, at = open_fs(_normal(path))
+    return system.get_file_info(at).size
+
+
 def open_file(path: str):
     """A file for random access."""
     system, at = open_fs(_normal(path))

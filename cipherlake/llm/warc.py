@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import fresh_path, staged
-from cipherlake.llm.storage import AtomicFile, make_dir, open_file, read_file, write_file
+from cipherlake.llm.common import fresh_path, read_parts, released, staged
+from cipherlake.llm.storage import AtomicFile, file_size, make_dir, open_file, read_file, write_file
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Keys from which the merge ranges are chosen; a bound on what the driver gathers.
@@ -206,14 +206,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, captured:
         write_file(f"{folder}/sparse-{run:06d}", struct.pack("<q", f.size) + sparse)
         yield pa.RecordBatch.from_arrays([pa.array([run], pa.int32()), pa.array([len(entries)], pa.int64()), pa.array([[e[0] for e, _ in marks]], pa.list_(pa.string()))], names=["run", "n", "keys"])
 
-    return staged(rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "stamp", "digest", "refers_to").mapInArrow(write, "run int, n long, keys array<string>"), "runs")
+    # A fixed order in each task: a second attempt writes the same archive, run and index.
+    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "stamp", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url")
+    return staged(rows.mapInArrow(released(write), "run int, n long, keys array<string>"), "runs")
 
 
 def merge_runs(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """K-way loser-tree merge of the runs by (URL key, timestamp): (range, seq, surt, stamp, page_id, file, offset, length) in global order of (range, seq).
 
     Key ranges are cut at quantiles of at most SAMPLE keys of the runs' sparse indexes; each merge
-    task owns a range of up to fan_in runs and streams them. All captures of a key stay in a range.
+    task owns a range of up to fan_in runs and streams them block by block, at every level. Each
+    run's sparse index is read once, for all ranges. All captures of a key stay in a range.
     """
     spark = runs.sparkSession
     ids = [r.run for r in runs.select("run").orderBy("run").collect()]  # one small row a run
@@ -223,29 +226,33 @@ def merge_runs(runs: DataFrame, folder: str, ranges: int | None = None, fan_in:
     sample = sorted({r.key for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // SAMPLE)))) == 0).limit(SAMPLE).collect()})
     cuts = [sample[i] for i in sorted({len(sample) * i // parts for i in range(1, parts)} - {0})] if sample else []
 
-    def slice_of(path_run: int, p: int) -> tuple[int, int]:
-        """Bytes of a first-level run that hold the range p, found in its sparse index (whole blocks; ends are filtered)."""
-        data = read_file(f"{folder}/sparse-{path_run:06d}")
-        (size,) = struct.unpack_from("<q", data)
-        marks = list(_unpack(data[8:]))
-        names, at = [m[0] for m in marks], [m[5] for m in marks]
-        lo = 0 if p == 0 else max(0, bisect.bisect_left(names, cuts[p - 1]) - 1)
-        hi = len(at) if p == len(cuts) else bisect.bisect_left(names, cuts[p])
-        return at[lo] if at else 0, at[hi] if hi < len(at) else size
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of each run that hold each range, from its sparse index (whole blocks; ends are filtered later)."""
+        for batch in batches:
+            for r in batch.column("run").to_pylist():
+                data = read_file(f"{folder}/sparse-{r:06d}")
+                (size,) = struct.unpack_from("<q", data)
+                marks = list(_unpack(data[8:]))
+                names, at = [m[0] for m in marks], [m[5] for m in marks]
+                lo = [0 if p == 0 else max(0, bisect.bisect_left(names, cuts[p - 1]) - 1) for p in range(len(cuts) + 1)]
+                hi = [len(at) if p == len(cuts) else bisect.bisect_left(names, cuts[p]) for p in range(len(cuts) + 1)]
+                start, end = [at[x] if at else 0 for x in lo], [at[x] if x < len(at) else size for x in hi]
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(lo), pa.int32()), pa.array(range(len(lo)), pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["run", "range", "start", "end"])
 
     def inside(e: tuple, p: int) -> bool:
         return (p == 0 or e[0] >= cuts[p - 1]) and (p == len(cuts) or e[0] < cuts[p])
 
-    def sources(level: int, members: list[int], p: int) -> list[Iterator[tuple]]:
-        if level == 0:
-            return [(_order(e) for e in _stream(f"{folder}/run-{r:06d}", *slice_of(r, p)) if inside(e, p)) for r in members]
-        return [map(_order, _unpack(read_file(f"{folder}/merge-{level:02d}-{r:06d}-{p:06d}"))) for r in members]
+    def source(level: int, r: int, p: int, start: int, end: int) -> Iterator[tuple]:
+        if level:
+            path = f"{folder}/merge-{level:02d}-{r:06d}-{p:06d}"
+            return (_order(e) for e in _stream(path, 0, file_size(path)))
+        return (_order(e) for e in _stream(f"{folder}/run-{r:06d}", start, end) if inside(e, p))
 
-    def merge(level: int, groups: dict[int, list[int]], last: bool):
+    def merge(level: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for group, p in zip(batch.column("group").to_pylist(), batch.column("range").to_pylist()):
-                    merged = map(_restore, LoserTree(sources(level, groups[group], p)))
+                for group, p, members in zip(*(batch.column(c).to_pylist() for c in ("group", "range", "runs"))):
+                    merged = map(_restore, LoserTree([source(level, m["run"], p, m["start"], m["end"]) for m in members]))
                     if not last:
                         f = AtomicFile(f"{folder}/merge-{level + 1:02d}-{group:06d}-{p:06d}")
                         for e in merged:
@@ -264,15 +271,20 @@ def merge_runs(runs: DataFrame, folder: str, ranges: int | None = None, fan_in:
 
         return run
 
+    slices = staged(runs.select("run").repartition(read_parts(spark, 0)).mapInArrow(parts_of, "run int, range int, start long, end long"), "slices")
     level = 0
     while True:
-        groups = {g: ids[a : a + fan_in] for g, a in enumerate(range(0, len(ids), fan_in))} or {0: []}
-        last = len(groups) == 1
-        tasks = spark.createDataFrame([(g, p) for g in groups for p in range(len(cuts) + 1)], "group int, range int").repartition(len(groups) * (len(cuts) + 1))
-        out = staged(tasks.mapInArrow(merge(level, groups, last), f"range int, seq long, {ENTRY}"), "merged")
+        last = len(ids) <= fan_in
+        group = {r: i // fan_in for i, r in enumerate(ids)}
+        of = spark.createDataFrame(list(group.items()) or [], "run int, group int")  # a row a run
+        # At most fan_in runs a group: what a task gets is bounded.
+        tasks = slices.join(of, "run").groupBy("group", "range").agg(F.array_sort(F.collect_list(F.struct("run", "start", "end"))).alias("runs"))
+        tasks = tasks.repartition(max(1, len(set(group.values())) * (len(cuts) + 1)), "group", "range")
+        out = staged(tasks.mapInArrow(merge(level, last), f"range int, seq long, {ENTRY}"), "merged")
         if last:
             return out
-        ids, level = list(groups), level + 1
+        ids, level = sorted(set(group.values())), level + 1
+        slices = spark.createDataFrame([(g, p) for g in ids for p in range(len(cuts) + 1)], "run int, range int").withColumns({"start": F.lit(0).cast("long"), "end": F.lit(0).cast("long")})
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -300,9 +312,10 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "url", "stamp", "payload_bytes", "payload_digest", "record_type", "refers_to", "range", "seq", "payload"][: len(kinds)])
 
     schema = "page_id long, url string, stamp string, payload_bytes long, payload_digest string, record_type string, refers_to long, range int, seq long" + (", payload binary" if with_payload else "")
-    # Neighbouring offsets of an archive stay together; archives of any size are dealt in parts.
+    # Neighbouring offsets of an archive stay together; archives of any size are dealt in parts, by the bytes to read.
     part = F.col("offset") - F.pmod("offset", F.lit(8 << 20))
-    return index.select("range", "seq", "stamp", "file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    parts = read_parts(index.sparkSession, index.agg(F.sum("length")).first()[0] or 0)
+    return index.select("range", "seq", "stamp", "file", "offset", "length").repartition(parts, F.col("file"), part).sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -312,7 +325,8 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None
     range and seq, whose order is that of the capture histories (URL key, timestamp, page_id).
     Null html is an empty payload; a null page_id or url is kept, and such a page is always a
     response. Repeated rows keep a record each (rows with the smallest page_id of a payload are
-    all responses). An empty table gives no rows; further columns are ignored.
+    all responses). An empty table gives no rows; further columns, of whatever name, are ignored;
+    html of any length is one record.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     index = merge_runs(write_archives(pages, folder, min_bytes), folder)
