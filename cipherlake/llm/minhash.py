@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import mix, shingle_sets, slices, staged
+from cipherlake.llm.common import discard, mix, released, shingle_sets, slices, staged
 from cipherlake.llm.components import connected_components
 
 #: Rows of a bucket that are compared in one task at a time.
@@ -56,7 +56,7 @@ def signatures(docs: DataFrame, rows: int, bands: int, k: int = 5, seed: int = 1
                 names=["doc_id", "n", "set_hi", "set_lo", "left", "right", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_hi long, set_lo long, left array<long>, right array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, n long, set_hi long, set_lo long, left array<long>, right array<long>, sketch binary")
 
 
 def _least_matches(hashes: int, percent: int) -> int:
@@ -110,7 +110,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
                         found_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct()
+    return heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(released(run), "a long, b long").distinct()
 
 
 def fine_sketches(docs: DataFrame, sids: DataFrame, hashes: int, k: int, seed: int) -> DataFrame:
@@ -164,18 +164,23 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, least: int, k: int, seed: int, fine: int = 512) -> DataFrame:
     """Likely pairs inside buckets whose members lie in different components, compared in blocks of BLOCK by BLOCK rows.
 
-    A pair is looked at in the first of its common buckets only, and put out if both the table
+    Rows of a bucket's largest component meet the other rows only, never each other, so a bucket of
+    N rows with R outside that component makes N * R / BLOCK copies at most. A pair is looked at in the first of its common buckets only, and put out if both the table
     minhashes and `fine` further ones leave the link possible (four standard deviations).
     """
     now = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size")
+    each = now.groupBy("key", "component").agg(F.count("*").alias("c"))
+    open_ = each.groupBy("key").agg(F.count("*").alias("components"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top")).where("components > 1").select("key", "size", F.col("top.c").alias("most"), F.col("top.component").alias("largest"))
     rows = staged(now.join(open_, "key"), "open")
     of = sets.join(rows.select("sid").distinct(), "sid")
     extra = staged(of.join(fine_sketches(docs, of.select("sid", "set_hi", "set_lo"), fine, k, seed), "sid").select("sid", "n", "sketch", "left", "right", "fine"), "fine")
     rows = rows.join(extra, "sid")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    # A row of block i goes to the block pairs (min(i, j), max(i, j)) for every j.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks of the rows outside the largest component come first, then those of its own. A row of block i goes to the block
+    # pairs (min(i, j), max(i, j)) for every j, one of the largest component for j outside it only.
+    rows = rows.withColumn("outside", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).withColumn("blocks", F.col("outside") + F.ceil(F.col("most") / BLOCK).cast("int"))
+    inside = F.col("component") == F.col("largest")
+    rows = rows.withColumn("mine", F.when(inside, F.col("outside") + F.pmod(F.xxhash64("sid"), F.col("blocks") - F.col("outside"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("outside"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("outside")).otherwise(F.col("blocks")) - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "sid", "component", "n", "i", "j", "sketch", "left", "right", "fine")
     least_fine = _least_matches(fine, percent)
 
@@ -200,7 +205,7 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: Data
                 out = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = 3, bands: int = 9, seed: int = 11) -> DataFrame:
@@ -236,6 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int =
     more = staged(_confirmed(staged(_crossing(members.select("key", "i", "j", "sid"), labels, sets, docs, percent, least, k, seed), "pairs"), docs, sets, percent, k), "links")
     if not more.isEmpty():
         labels = staged(connected_components(labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
+    discard(members, links, more)
     of = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("set_hi", "set_lo", F.coalesce("component", "sid").alias("component_id"))
     # Several sets can share a doc_id only if ids repeat; sids are minima of disjoint sets otherwise.
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "set_hi", "set_lo").join(of.withColumnRenamed("component_id", "found"), ["set_hi", "set_lo"], "left")
