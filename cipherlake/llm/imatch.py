@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import staged
+from cipherlake.llm.common import discard, staged
 
-#: Terms are told apart by so many bits of their hash, so the lexicon is a bit array of fixed size at any scale.
-TERM_BITS = 20
+#: Bits of the lexicon's filter for each term in it, and bits set for a term.
+FILTER_BITS, FILTER_HASHES = 32, 3
 #: Documents whose ids share all but so many low bits are ordered in one window; a bucket holds 1,024 ids at most.
 RANGE_BITS = 10
 #: Up to so many ordered keys a single window is used; above, keys are grouped first.
@@ -21,28 +23,43 @@ EMPTY = 42
 
 
 def term_ids(text: Column) -> Column:
-    """Distinct term numbers of a text: its lower-cased words, hashed to TERM_BITS bits."""
-    mask = F.lit((1 << TERM_BITS) - 1)
-    number = lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int")
-    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), number)), number(F.lit("")))
+    """Distinct terms of a text: 64-bit hashes of its lower-cased words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _places(term: Column, bits: int) -> list[Column]:
+    """The places of a term in a filter of 2**bits bits: disjoint parts of its hash."""
+    return [F.call_function("shiftright", term, F.lit(20 * i)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for i in range(FILTER_HASHES)]
 
 
-def lexicon(docs: DataFrame, low: float, high: float) -> Column:
-    """The terms whose document share lies in [low, high], that is with -ln(high) <= idf <= -ln(low), as an array of 64-bit words.
+def lexicon(docs: DataFrame, low: float, high: float) -> Callable[[Column], Column]:
+    """Whether a term's document share lies in [low, high], that is -ln(high) <= idf <= -ln(low), as a function of the term.
 
-    Shares count every document. The array has 2**TERM_BITS bits whatever the corpus, so it goes
-    into the plan as a constant.
+    Shares are counted for every whole term over every document. As at most (mean distinct terms of
+    a document) / low terms reach the share low, the lexicon has a bound that doesn't grow with the
+    corpus; it goes into the plan as a constant filter of FILTER_BITS to 2 * FILTER_BITS bits a term,
+    2**24 in all at most. A term outside the band passes by chance with a probability below one in a
+    thousand while the lexicon has up to 500,000 terms, and then passes in every document alike.
     """
     n = docs.count()
     df = docs.select(F.explode(term_ids(F.col("text"))).alias("t")).groupBy("t").count().where((F.col("count") >= F.lit(low * n)) & (F.col("count") <= F.lit(high * n)))
-    words = df.groupBy(F.shiftright("t", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t") % 64)).alias("w")).collect()
-    flat = [0] * (1 << (TERM_BITS - 6))
+    band = staged(df.select("t"), "lexicon")
+    bits = max(10, min(24, (FILTER_BITS * max(1, band.count())).bit_length()))
+    words = band.select(F.explode(F.array(*_places(F.col("t"), bits))).alias("p")).groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("w")).collect()
+    discard(band)
+    flat = [0] * (1 << (bits - 6))
     for r in words:
         flat[r.i] = r.w
-    return F.split(F.lit(",".join(map(str, flat))), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(map(str, flat))), ",").cast("array<bigint>")
+
+    def inside(term: Column) -> Column:
+        found = [F.getbit(F.get(table, F.shiftright(p, 6)), p % 64) == 1 for p in _places(term, bits)]
+        return found[0] & found[1] & found[2]
+
+    return inside
 
 
-def fingerprint(text: Column, lex: Column) -> Column:
+def fingerprint(text: Column, lex: Callable[[Column], Column]) -> Column:
     """struct(level, fine, coarse): hashes of the sorted distinct terms of 2**SUBSET_BITS random sub-lexicons at two sampling rates.
 
     A term's hash puts it into one of the sub-lexicons, or with growing level into none: at level c
@@ -66,8 +83,7 @@ def fingerprint(text: Column, lex: Column) -> Column:
         picked = bind(level, lambda c: F.struct(c.alias("level"), F.array_sort(F.filter(F.transform(a, lambda t: F.xxhash64(t, F.lit(7))), lambda h: shift(h, F.lit(SUBSET_BITS)).bitwiseAND(mask(c)) == 0)).alias("h")))
         return bind(picked, lambda s: F.struct(s["level"].alias("level"), hashes(s["h"]).alias("coarse"), hashes(F.filter(s["h"], lambda h: shift(h, s["level"] + SUBSET_BITS).bitwiseAND(F.lit(1)) == 0)).alias("fine")))
 
-    inside = lambda a: F.filter(a, lambda t: F.getbit(F.get(lex, F.shiftright(t, 6)), t % 64) == 1)
-    both = bind(terms, lambda a: F.struct(a.alias("all"), inside(a).alias("band")))
+    both = bind(terms, lambda a: F.struct(a.alias("all"), F.filter(a, lex).alias("band")))
     return bind(bind(both, lambda s: F.when(F.size(s["band"]) >= 4, s["band"]).otherwise(s["all"])), of_terms)
 
 
@@ -107,10 +123,12 @@ def successors(keys: DataFrame, one_window: int = ONE_WINDOW) -> DataFrame:
 def with_next(rows: DataFrame, columns: list[str], one_window: int = ONE_WINDOW) -> DataFrame:
     """Adds next_<c> of each column: its value in the next row in ascending doc_id order (nulls first, ties by a hash of the text), after the last the first.
 
-    Rows meet in windows of neighbouring ids; the first row of each window is also put, marked, at
-    the end of the window before it.
+    Rows meet in windows of neighbouring ids, those without an id in windows of neighbouring hashes
+    of the text, so that many of them are no hot window; the first row of each window is also put,
+    marked, at the end of the window before it.
     """
-    rows = rows.withColumn("bucket", F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), RANGE_BITS)).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-(1 << 62)) + F.shiftright("tie", 44)).otherwise(F.shiftright("doc_id", RANGE_BITS)))
     buckets = staged(rows.select(F.col("bucket").alias("key")).distinct(), "buckets")
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("tie"))
     firsts = rows.groupBy("bucket").agg(F.min_by(F.struct(*columns), order).alias("f"))
@@ -130,7 +148,8 @@ def imatch_fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.25)
 
     Null counts as empty. Two texts without words have equal, empty fingerprints (likeness 1).
     Equal texts have equal fingerprints; repeated rows keep a row each. A single document is its
-    own next. An empty table gives no rows; further columns are ignored.
+    own next. An empty table gives no rows; further columns, of whatever name, are ignored; very
+    long texts are hashed whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lex = lexicon(docs, low, high)
