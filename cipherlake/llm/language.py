@@ -122,7 +122,7 @@ def _share(counts: Column, below: Column | None, strength: float, n: int) -> Col
     return F.transform(F.arrays_zip(counts.alias("c"), base.alias("b")), lambda x: (x["c"] + strength * x["b"]) / (F.aggregate(counts, F.lit(0.0), lambda a, v: a + v) + strength))
 
 
-def identify_languages(rows: DataFrame, model: tuple[list[str], np.ndarray], strength: float = 20.0) -> DataFrame:
+def identify_languages(rows: DataFrame, model: tuple[list[str], np.ndarray], strength: float = 20.0, keys: list[str] | None = None) -> DataFrame:
     """Language of each row of rows (id columns, url, html, text): ids, lang, score, text_lang, declared, host, domain, suffix.
 
     html (where not null) is judged by its visible text, else text. The posterior adds up the
@@ -132,11 +132,16 @@ def identify_languages(rows: DataFrame, model: tuple[list[str], np.ndarray], str
     add-one smoothing; host priors smoothed towards the domain's, those towards the suffix's, those
     towards all rows', each by `strength` rows. Missing evidence is left out; a row with no text,
     no declaration and no address gets the overall prior. Repeated rows get a row each; an empty
-    table gives no rows. Ties go to the first language in code point order.
+    table gives no rows. Ties go to the first language in code point order. Null ids, urls and
+    texts are kept as they are; very long texts are counted whole. The id columns are `keys`, all by
+    default; columns with the names of results are not ids and are left out. The address suffix
+    is the parent of the host's prior; its own likelihood counts where the host has no prior, so
+    that it is not counted twice.
     """
     langs, table = model
     n = len(langs)
-    ids = [c for c in rows.columns if c not in ("url", "html", "text")]
+    ids = [c for c in (keys if keys is not None else rows.columns) if c not in ("url", "html", "text", "lang", "score", "text_lang", "declared", "host", "domain", "suffix", "ll", "post", "top")]
+    rows = rows.select(*(F.col(f"`{c}`") for c in ids), *(F.col(c).cast("string").alias(c) for c in ("url", "html", "text")))
     if not n:
         return rows.select(*ids, *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("score", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"), ("domain", "string"), ("suffix", "string"))))
     names = F.array(*(F.lit(x) for x in langs))
