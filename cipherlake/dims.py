@@ -67,19 +67,52 @@ SENSITIVITY = {"public": 0.1, "internal": 0.4, "confidential": 0.7, "restricted"
 EXPOSURE = {"isolated": 0.1, "internal": 0.3, "internet": 0.8, "critical_infra": 1.0}
 #: Algorithms that Shor's and Grover's methods break or weaken.
 SHOR = ["RSA", "ECDSA", "ECDH", "DH", "DSA", "EdDSA", "Ed25519", "Ed448", "X25519", "X448", "RSA/ECDSA", "ECDSA/DSA", "ECDH/DH", "DH/ECDH"]
-#: Strict framework: deadline key and status of each algorithm; deadlines; the two other frameworks.
+# Deadlines of CNSA 2.0, and the frameworks' rows (framework, algorithm, status, deadline key or year).
 DEADLINES = [("software_signing", "2030-12-31"), ("web_services", "2033-12-31"), ("networking", "2030-12-31"), ("all_nss", "2033-12-31")]
 COMPLIANCE = [
-    *(("strict", a, "NON-COMPLIANT", "software_signing") for a in ("RSA", "DSA", "AES-128", "SHA-1", "MD5", "3DES", "RC4", "Blowfish")),
-    ("strict", "ECDSA", "NON-COMPLIANT", "all_nss"), ("strict", "Ed25519", "NON-COMPLIANT", "all_nss"), ("strict", "SHA-256", "DEPRECATED", "all_nss"),
-    ("strict", "ECDH", "NON-COMPLIANT", "networking"), ("strict", "DH", "NON-COMPLIANT", "networking"), ("strict", "AES-256", "COMPLIANT", None),
-    *(("federal", a, "DEPRECATED", None) for a in ("RSA", "ECDSA", "ECDH", "DH", "Ed25519", "AES-128")),
-    *(("federal", a, "NON-COMPLIANT", None) for a in ("DSA", "SHA-1", "3DES", "Blowfish", "MD5", "RC4")),
-    ("federal", "AES-256", "COMPLIANT", None), ("federal", "SHA-256", "COMPLIANT", None),
-    ("card", "RSA", "DEPRECATED", None), ("card", "DH", "DEPRECATED", None),
-    *(("card", a, "NON-COMPLIANT", None) for a in ("DSA", "SHA-1", "3DES", "Blowfish", "MD5", "RC4")),
-    *(("card", a, "COMPLIANT", None) for a in ("ECDSA", "ECDH", "Ed25519", "AES-128", "AES-256", "SHA-256")),
-]
+    ("CNSA 2.0", "RSA", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "ECDSA", "NON-COMPLIANT", "all_nss"),
+    ("CNSA 2.0", "ECDH", "NON-COMPLIANT", "networking"),
+    ("CNSA 2.0", "Ed25519", "NON-COMPLIANT", "all_nss"),
+    ("CNSA 2.0", "DH", "NON-COMPLIANT", "networking"),
+    ("CNSA 2.0", "DSA", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "AES-128", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "AES-256", "COMPLIANT", None),
+    ("CNSA 2.0", "SHA-1", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "SHA-256", "DEPRECATED", "all_nss"),
+    ("CNSA 2.0", "MD5", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "3DES", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "RC4", "NON-COMPLIANT", "software_signing"),
+    ("CNSA 2.0", "Blowfish", "NON-COMPLIANT", "software_signing"),
+    ("NIST IR 8547", "RSA", "DEPRECATED", "2030"),
+    ("NIST IR 8547", "ECDSA", "DEPRECATED", "2030"),
+    ("NIST IR 8547", "ECDH", "DEPRECATED", "2030"),
+    ("NIST IR 8547", "Ed25519", "DEPRECATED", "2035"),
+    ("NIST IR 8547", "DH", "DEPRECATED", "2030"),
+    ("NIST IR 8547", "DSA", "NON-COMPLIANT", "2023"),
+    ("NIST IR 8547", "AES-128", "DEPRECATED", "2035"),
+    ("NIST IR 8547", "AES-256", "COMPLIANT", None),
+    ("NIST IR 8547", "SHA-1", "NON-COMPLIANT", "2023"),
+    ("NIST IR 8547", "SHA-256", "COMPLIANT", None),
+    ("NIST IR 8547", "MD5", "NON-COMPLIANT", "2010"),
+    ("NIST IR 8547", "3DES", "NON-COMPLIANT", "2023"),
+    ("NIST IR 8547", "RC4", "NON-COMPLIANT", "2015"),
+    ("NIST IR 8547", "Blowfish", "NON-COMPLIANT", "2023"),
+    ("PCI DSS 4.0", "RSA", "DEPRECATED", "2030"),
+    ("PCI DSS 4.0", "ECDSA", "COMPLIANT", None),
+    ("PCI DSS 4.0", "ECDH", "COMPLIANT", None),
+    ("PCI DSS 4.0", "Ed25519", "COMPLIANT", None),
+    ("PCI DSS 4.0", "DH", "DEPRECATED", "2025"),
+    ("PCI DSS 4.0", "DSA", "NON-COMPLIANT", "2023"),
+    ("PCI DSS 4.0", "AES-128", "COMPLIANT", None),
+    ("PCI DSS 4.0", "AES-256", "COMPLIANT", None),
+    ("PCI DSS 4.0", "SHA-1", "NON-COMPLIANT", "2023"),
+    ("PCI DSS 4.0", "SHA-256", "COMPLIANT", None),
+    ("PCI DSS 4.0", "MD5", "NON-COMPLIANT", "2010"),
+    ("PCI DSS 4.0", "3DES", "NON-COMPLIANT", "2023"),
+    ("PCI DSS 4.0", "RC4", "NON-COMPLIANT", "2015"),
+    ("PCI DSS 4.0", "Blowfish", "NON-COMPLIANT", "2023"),
+]
 #: Migration effort (algorithm, hours, kind).
 EFFORT = [("MD5", 0.5, "DROP_IN"), ("SHA-1", 0.5, "DROP_IN"), ("AES-128", 1.0, "DROP_IN"), ("3DES", 2.0, "API_CHANGE"), ("RC4", 2.0, "API_CHANGE"), ("Blowfish", 2.0, "API_CHANGE"), ("Ed25519", 5.0, "ARCHITECTURAL"), ("ECDSA", 6.0, "ARCHITECTURAL"), ("ECDH", 6.0, "ARCHITECTURAL"), ("DSA", 6.0, "ARCHITECTURAL"), ("RSA", 8.0, "ARCHITECTURAL"), ("DH", 8.0, "ARCHITECTURAL")]
 #: Text substitutions that fix a line: extension, algorithm, pattern, replacement.
@@ -88,10 +121,36 @@ FIXES = [
     (".java", "MD5", r"MessageDigest\.getInstance\s*\(\s*\"MD5\"\s*\)", 'MessageDigest.getInstance("SHA-256")'), (".java", "SHA-1", r"MessageDigest\.getInstance\s*\(\s*\"SHA-1\"\s*\)", 'MessageDigest.getInstance("SHA-256")'),
     (".go", "3DES", r"crypto/des", "crypto/aes"), (".go", "3DES", r"des\.NewCipher", "aes.NewCipher"),
 ]
-#: Packages with cryptography: ecosystem, package, risk.
+# Packages with cryptography (ecosystem, normalised package, risk); the maven key is a group's prefix.
 PACKAGES = [
-    ("pip", "cryptography", "HIGH"), ("pip", "pycryptodome", "HIGH"), ("pip", "pycryptodomex", "HIGH"), ("pip", "pyopenssl", "HIGH"), ("pip", "paramiko", "HIGH"), ("pip", "rsa", "CRITICAL"), ("pip", "ecdsa", "CRITICAL"), ("pip", "pynacl", "HIGH"), ("pip", "jwcrypto", "HIGH"), ("pip", "pyjwt", "HIGH"), ("pip", "certifi", "INFO"), ("pip", "requests", "INFO"), ("pip", "boto3", "MEDIUM"), ("pip", "google_auth", "MEDIUM"),
-    ("npm", "node_rsa", "CRITICAL"), ("npm", "elliptic", "CRITICAL"), ("npm", "node_forge", "HIGH"), ("npm", "jsonwebtoken", "HIGH"), ("npm", "jose", "HIGH"),
+    ("pip", "cryptography", "HIGH"), ("pip", "pycryptodome", "HIGH"), ("pip", "pycryptodomex", "HIGH"), ("pip", "pyopenssl", "HIGH"), ("pip", "paramiko", "HIGH"), ("pip", "pyca/bcrypt", "MEDIUM"), ("pip", "rsa", "CRITICAL"), ("pip", "ecdsa", "CRITICAL"), ("pip", "pynacl", "HIGH"), ("pip", "jwcrypto", "HIGH"), ("pip", "pyjwt", "HIGH"), ("pip", "tls", "MEDIUM"), ("pip", "certifi", "INFO"), ("pip", "requests", "INFO"), ("pip", "boto3", "MEDIUM"), ("pip", "azure_identity", "MEDIUM"), ("pip", "google_auth", "MEDIUM"),
+    ("npm", "node_rsa", "CRITICAL"), ("npm", "elliptic", "CRITICAL"), ("npm", "node_forge", "HIGH"), ("npm", "jsonwebtoken", "HIGH"), ("npm", "jose", "HIGH"), ("npm", "bcrypt", "INFO"), ("npm", "crypto_js", "MEDIUM"), ("npm", "ssh2", "HIGH"), ("npm", "tls", "MEDIUM"),
+    ("maven", "org_bouncycastle", "HIGH"), ("maven", "com_google_crypto_tink", "MEDIUM"), ("maven", "javax_crypto", "HIGH"), ("maven", "io_jsonwebtoken", "HIGH"), ("maven", "org_apache_shiro", "MEDIUM"), ("maven", "com_nimbusds", "HIGH"),
+    ("go", "crypto/rsa", "CRITICAL"), ("go", "crypto/ecdsa", "CRITICAL"), ("go", "crypto/elliptic", "CRITICAL"), ("go", "github_com/cloudflare/circl", "INFO"), ("go", "golang_org/x/crypto", "HIGH"),
+    ("cargo", "rsa", "CRITICAL"), ("cargo", "p256", "CRITICAL"), ("cargo", "k256", "CRITICAL"), ("cargo", "ed25519_dalek", "HIGH"), ("cargo", "ring", "HIGH"), ("cargo", "rustls", "MEDIUM"), ("cargo", "pqcrypto", "INFO"),
+]
+# Manifest and lock files (name, format, ecosystem, whether its packages are transitive).
+MANIFESTS = [
+    ("requirements.txt", "requirements", "pip", False), ("requirements-dev.txt", "requirements", "pip", False), ("requirements_dev.txt", "requirements", "pip", False), ("pyproject.toml", "pyproject", "pip", False), ("Pipfile", "requirements", "pip", False), ("package.json", "package_json", "npm", False), ("pom.xml", "pom", "maven", False), ("go.mod", "go_mod", "go", False), ("Cargo.toml", "cargo_toml", "cargo", False),
+    ("Pipfile.lock", "pipfile_lock", "pip", True), ("poetry.lock", "poetry_lock", "pip", True), ("package-lock.json", "package_lock", "npm", True), ("yarn.lock", "yarn_lock", "npm", True), ("Cargo.lock", "cargo_lock", "cargo", True), ("go.sum", "go_sum", "go", True),
+]
+# Algorithms of packages, for bills of materials (normalised package, algorithms), and the state of each algorithm.
+PACKAGE_ALGORITHMS = [
+    ("cryptography", "RSA,ECDSA,ECDH,Ed25519,AES,DH,DSA"), ("pycryptodome", "RSA,ECDSA,AES,DES,3DES,Blowfish,RC4"), ("pycryptodomex", "RSA,ECDSA,AES,DES,3DES,Blowfish,RC4"), ("pyopenssl", "RSA,ECDSA,DH"), ("paramiko", "RSA,ECDSA,Ed25519"), ("pynacl", "Ed25519,X25519"), ("pyjwt", "RSA,ECDSA"), ("python_jose", "RSA,ECDSA"), ("rsa", "RSA"), ("ecdsa", "ECDSA"),
+    ("node_rsa", "RSA"), ("node_forge", "RSA,ECDSA,AES,3DES,DES"), ("jsonwebtoken", "RSA,ECDSA"), ("jose", "RSA,ECDSA"), ("elliptic", "ECDSA,ECDH"), ("tweetnacl", "Ed25519,X25519"), ("org_bouncycastle", "RSA,ECDSA,DH,DSA,AES,3DES"), ("com_auth0:java_jwt", "RSA,ECDSA"), ("golang_org/x/crypto", "Ed25519,X25519,ECDSA"), ("p256", "ECDSA"), ("ed25519_dalek", "Ed25519"), ("x25519_dalek", "X25519"),
+]
+ALGORITHM_STATES = [
+    ("RSA", "vulnerable"), ("ECDSA", "vulnerable"), ("ECDH", "vulnerable"), ("Ed25519", "vulnerable"), ("Ed448", "vulnerable"), ("X25519", "vulnerable"), ("X448", "vulnerable"), ("DH", "vulnerable"), ("DSA", "vulnerable"),
+    ("AES-128", "weakened"), ("AES-256", "safe"), ("SHA-1", "weakened"), ("SHA-256", "safe"), ("MD5", "broken"), ("3DES", "broken"), ("RC4", "broken"), ("Blowfish", "weakened"), ("DES", "broken"),
+]
+# What Shor's and Grover's methods break or weaken for the readiness grade, and the gates (gate, condition, check, threshold).
+READY_SHOR = ["RSA", "ECDSA", "ECDH", "Ed25519", "DH", "DSA", "RSA/ECDSA", "ECDH/DH", "ECDSA/DSA", "DH/ECDH"]
+READY_GROVER = ["AES-128", "SHA-1", "MD5", "3DES", "RC4", "Blowfish", "SHA-1/MD5", "Weak cipher", "Old TLS"]
+GATES = [
+    ("pqc-ready", "no_shor", "count_shor", "0"), ("pqc-ready", "grade_c", "grade_above", "D"), ("pqc-ready", "no_overdue", "cnsa_overdue", "0"),
+    ("no-critical", "no_crit", "severity_count", "CRITICAL:0"),
+    ("cnsa-compliant", "no_overdue", "cnsa_overdue", "0"), ("cnsa-compliant", "no_non_compliant", "cnsa_violations", "0"),
+    ("migration-safe", "grade_f", "grade_above", "F"), ("migration-safe", "qars_80", "qars_below", "80"),
 ]
 
 #: Our own lines of code, from which the derived corpus is dealt (language, ordinal, text).
@@ -116,6 +175,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "shor": ("algorithm string", [(a,) for a in SHOR]),
     "deadlines": ("deadline_key string, deadline string", DEADLINES),
     "compliance": ("framework string, algorithm string, status string, deadline_key string", COMPLIANCE),
+    "package_algorithms": ("package string, algorithms string", PACKAGE_ALGORITHMS),
+    "algorithm_states": ("algorithm string, state string", ALGORITHM_STATES),
+    "gates": ("gate string, condition string, kind string, threshold string", GATES),
+    "ready_shor": ("algorithm string", [(a,) for a in READY_SHOR]),
+    "ready_grover": ("algorithm string", [(a,) for a in READY_GROVER]),
     "effort": ("algorithm string, hours double, kind string", EFFORT),
     "packages": ("ecosystem string, package string, risk string", PACKAGES),
     "languages": ("lang_no long, language string, ext string", LANGUAGES),

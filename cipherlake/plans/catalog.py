@@ -14,56 +14,12 @@ from cipherlake.functions import bits, lex
 from cipherlake.operators.graph import shortest_levels
 from cipherlake.operators.limiter import accepts
 from cipherlake.operators.match import scan_rules
-from cipherlake.plans import corpus
+from cipherlake.plans import corpus, dependencies, scoring
+from cipherlake.plans.frames import ORACLE_FRAMES
 from cipherlake.streaming import continuous
 
-AS_OF = "2026-03-23"
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "conversations", "pages", "labels"]
 
-_STR = lex.STRING.replace("'", "''")
-
-
-def _patterns_cte() -> str:
-    rows = ", ".join(f"({i}, {', '.join(map(dims.literal, p))})" for i, p in enumerate(dims.PATTERNS))
-    return f"patterns AS (SELECT * FROM (VALUES {rows}) AS t(ord, language, pattern, algorithm, severity, category))"
-
-
-def _rules_cte() -> str:
-    rows = ", ".join(f"({i}, {', '.join(map(dims.literal, r))})" for i, r in enumerate(dims.RULES))
-    return f"rules AS (SELECT * FROM (VALUES {rows}) AS t(rule_ord, rule_id, severity, category, algorithm, pattern, languages))"
-
-
-_HASH = ", ".join(map(dims.literal, lex.HASH_COMMENT))
-_SLASH = ", ".join(map(dims.literal, lex.SLASH_COMMENT))
-#: Base frames for the oracle: name -> (frames it needs, common table expressions).
-ORACLE_FRAMES: dict[str, tuple[list[str], str]] = {
-    "lines": (
-        ["languages", "templates"],
-        f"""lines AS (
-  WITH numbered AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(corpus.ORDER)}) AS line FROM lineitem),
-  counts AS (SELECT DISTINCT language, n_templates FROM templates)
-  SELECT o.o_custkey % 50 AS project, n.l_orderkey AS file, n.line, g.language, g.ext,
-    'p' || CAST(o.o_custkey % 50 AS VARCHAR) || '/' || CASE WHEN n.l_orderkey % 5 = 0 THEN 'tests/' ELSE 'src/' END || 'f' || CAST(n.l_orderkey AS VARCHAR) || g.ext AS path, t.text, n.l_returnflag AS flag
-  FROM numbered n JOIN orders o ON o.o_orderkey = n.l_orderkey JOIN languages g ON g.lang_no = n.l_orderkey % 8 JOIN counts c ON c.language = g.language
-  JOIN templates t ON t.language = g.language AND t.template_no = (n.l_partkey * 31 + n.l_suppkey) % c.n_templates)""",
-    ),
-    "findings": (
-        ["lines"],
-        _patterns_cte()
-        + f""", findings AS (
-  WITH block AS (SELECT *, CASE WHEN language IN ({_SLASH}) THEN array_to_string(list_transform(regexp_extract_all(text, '{_STR}|/\\*[\\s\\S]*?\\*/|[^"''/]+|[\\s\\S]', 0), lambda t: CASE WHEN t LIKE '/*%' AND length(t) >= 4 THEN regexp_replace(t, '[^\\n]', '', 'g') ELSE t END), '') ELSE text END AS c FROM lines),
-  code AS (SELECT *, CASE WHEN language IN ({_HASH}) THEN regexp_replace(c, '({_STR})|#[^\\n]*', '\\1', 'g') WHEN language IN ({_SLASH}) THEN regexp_replace(c, '({_STR})|//[^\\n]*', '\\1', 'g') ELSE c END AS code FROM block),
-  hit AS (SELECT k.project, k.file, k.path, k.line, k.language, k.ext, p.ord, p.algorithm, p.severity, p.category, k.text, k.flag, regexp_extract(k.text, '(?i)#\\s*pqc-ignore\\s*\\[([^\\]]*)\\]', 1) AS listed FROM code k JOIN patterns p ON p.language = k.language AND regexp_matches(k.code, '(?i)' || p.pattern))
-  SELECT project, file, path, line, language, ext, ord, algorithm, severity, category, flag, substr(trim(text), 1, 120) AS snippet,
-    regexp_matches(text, '(?i)#\\s*pqc-ignore') AND (listed = '' OR list_contains(list_transform(string_split(upper(listed), ','), lambda x: trim(x)), upper(algorithm))) AS suppressed FROM hit)""",
-    ),
-    "rule_findings": (
-        ["lines"],
-        _rules_cte() + ", rule_findings AS (SELECT k.project, k.file, k.line, k.language, r.rule_id, r.severity, r.category, r.algorithm FROM lines k JOIN rules r ON list_contains(string_split(r.languages, ','), lower(k.language)) AND regexp_matches(k.text, r.pattern) WHERE length(k.text) <= 2000)",
-    ),
-}
-
-
 def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in dims.TABLES:
         return dims.frame(spark, name)
@@ -82,28 +38,11 @@ HISTORY = "history AS (SELECT o_orderkey AS scan_id, o_custkey % 50 AS project,
 DEPS = "deps AS (SELECT p_partkey, p_brand AS manifest, CASE WHEN p_partkey % 2 = 0 THEN 'pip' ELSE 'npm' END AS ecosystem, CASE p_partkey % 11 WHEN 0 THEN 'PyCryptodome' WHEN 1 THEN 'node-rsa' WHEN 2 THEN 'requests' WHEN 3 THEN 'my-elliptic' WHEN 4 THEN 'rsa' WHEN 5 THEN 'jose' WHEN 6 THEN 'google.auth' WHEN 7 THEN 'left-pad' WHEN 8 THEN 'ecdsa' WHEN 9 THEN 'node-forge' ELSE 'numpy' END AS package, CAST(p_size AS VARCHAR) AS version, p_partkey % 3 = 0 AS is_transitive FROM $part)"
 DEPS_SPARK = DEPS.replace("AS VARCHAR", "AS STRING")
 DEP_HITS = "hits AS (SELECT d.*, k.package AS known, k.risk FROM deps d JOIN $packages k ON k.ecosystem = d.ecosystem AND (replace(replace(lower(d.package), '-', '_'), '.', '_') = k.package OR replace(replace(lower(d.package), '-', '_'), '.', '_') LIKE '%\\_' || k.package ESCAPE '\\'))".replace("LIKE '%\\_' || k.package ESCAPE '\\'", "LIKE concat('%~_', k.package) ESCAPE '~'")
-EDGES = "edges AS (SELECT DISTINCT concat('n', CAST(l_linenumber AS {text}), '_', CAST(l_suppkey % 10 AS {text})) AS caller, concat('n', CAST(l_linenumber + 1 AS {text}), '_', CAST(l_partkey % 10 AS {text})) AS callee FROM $lineitem WHERE l_linenumber <= 5 AND (l_partkey + l_suppkey) % 7 = 0)"
-GRADE = "CASE WHEN {s} >= 95 THEN 'A+' WHEN {s} >= 85 THEN 'A' WHEN {s} >= 75 THEN 'B' WHEN {s} >= 60 THEN 'C' WHEN {s} >= 40 THEN 'D' ELSE 'F' END"
-READY = (
-    OPEN
-    + """, per AS (SELECT f.project, count(*) AS n, sum(CASE WHEN s.algorithm IS NOT NULL THEN 1 ELSE 0 END) AS shor,
-    max(CASE WHEN f.algorithm IN ('MD5', 'RC4') THEN 1 ELSE 0 END) AS worst, max(CASE WHEN f.algorithm = 'MD5' THEN 1 ELSE 0 END) AS md5, max(CASE WHEN f.algorithm = 'RC4' THEN 1 ELSE 0 END) AS rc4, max(CASE WHEN f.algorithm = '3DES' THEN 1 ELSE 0 END) AS des3,
-    sum(CASE WHEN f.algorithm = 'RSA' AND f.snippet LIKE '%2048%' THEN 10 ELSE 0 END) + sum(CASE WHEN f.snippet LIKE '%ECB%' THEN 15 ELSE 0 END) AS key_loss
-    FROM open_ f LEFT JOIN $shor s ON s.algorithm = f.algorithm GROUP BY f.project),
-  late AS (SELECT project, 5 * count(*) AS violations FROM (SELECT DISTINCT f.project, f.algorithm FROM open_ f JOIN $compliance c ON c.algorithm = f.algorithm AND c.framework = 'strict' AND c.status = 'NON-COMPLIANT') x GROUP BY project),
-  parts AS (SELECT p.project, p.shor, p.worst, CASE WHEN p.shor = 0 THEN greatest(0.0, 70.0 - 3.0 * p.n) ELSE greatest(0.0, 40.0 - 40.0 * p.shor / p.n - 2.0 * (p.n - p.shor)) END AS algorithm_score,
-    greatest(0.0, 100.0 - p.key_loss - 20.0 * p.md5 - 20.0 * p.rc4 - 10.0 * p.des3) AS key_score, greatest(0.0, 100.0 - coalesce(l.violations, 0)) AS compliance_score FROM per p LEFT JOIN late l ON l.project = p.project),
-  scored AS (SELECT *, least(CAST(0.4 AS DOUBLE) * algorithm_score + CAST(0.3 AS DOUBLE) * key_score + CAST(0.3 AS DOUBLE) * compliance_score, CASE WHEN shor > 0 OR worst = 1 THEN 74.0 ELSE 100.0 END) AS score FROM parts)"""
-)
-QARS = (
-    OPEN
-    + """, firsts AS (SELECT project, algorithm, count(*) AS n, min_by(snippet, CAST(file * 1000000 + line * 100 + ord AS BIGINT)) AS first_snippet FROM open_ GROUP BY project, algorithm),
-  keyed AS (SELECT f.*, CAST(nullif(regexp_extract(first_snippet, 'key_size ?= ?([0-9]+)', 1), '') AS BIGINT) AS size FROM firsts f),
-  risk AS (SELECT k.project, k.algorithm, k.n, least(CAST(1.0 AS DOUBLE), CAST(0.5 AS DOUBLE) * coalesce(b.base, CAST(0.5 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * CASE WHEN k.size IS NULL THEN CAST(0.7 AS DOUBLE) ELSE coalesce(z.factor, CAST(0.5 AS DOUBLE)) END + CAST(0.15 AS DOUBLE) * CAST(0.4 AS DOUBLE) + CAST(0.15 AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS risk
-    FROM keyed k LEFT JOIN $base_risk b ON b.algorithm = k.algorithm LEFT JOIN $size_risk z ON z.size = k.size)"""
-)
+EDGES = "edges AS (SELECT DISTINCT concat('n', CAST(l_linenumber AS {text}), '_', CAST(l_suppkey % 10 AS {text})) AS caller, concat('n', CAST(l_linenumber + 1 AS {text}), '_', CAST(l_partkey % 10 AS {text})) AS callee FROM $lineitem)"
 FP = "concat_ws(':', path, CAST(line AS {text}), algorithm, category)"
-BASE = OPEN + f", cur AS (SELECT {FP} AS fp, max(snippet) AS snippet FROM open_ WHERE file % 3 <> 0 GROUP BY {FP}), base AS (SELECT {FP} AS fp, project FROM open_ WHERE flag <> 'N')"
+#: The baseline: findings of flag R as they are, those of flag A a thousand lines below (fixed since), none of flag N (new).
+OLD = FP.replace("line AS", "line + CASE WHEN flag = 'A' THEN 1000 ELSE 0 END AS")
+BASE = OPEN + f", cur AS (SELECT {FP} AS fp, max_by(snippet, ord) AS snippet FROM open_ GROUP BY {FP}), base AS (SELECT {OLD} AS fp, project FROM open_ WHERE flag <> 'N')"
 BITS = "bits AS (SELECT event_id AS i, (event_id * 7 + 3) % 11 % 2 AS alice_bit, (event_id * 13 + 5) % 7 % 2 AS alice_basis, (event_id * 17 + 1) % 5 % 2 AS bob_basis, user_id FROM $events), sifted AS (SELECT i, alice_bit, CASE WHEN (i * 31) % 29 = 0 THEN 1 - alice_bit ELSE alice_bit END AS bob_bit, row_number() OVER (PARTITION BY i % 50 ORDER BY i) AS k, count(*) OVER (PARTITION BY i % 50) AS n, i % 50 AS run FROM bits WHERE alice_basis = bob_basis)"
 
 #: name -> SQL: common table expressions, then ";;", then the select. $name is a base frame, {text} the engine's string type.
@@ -123,17 +62,8 @@ SHARED: dict[str, str] = {
     "baseline_new": BASE + ";; SELECT c.fp, c.snippet FROM cur c LEFT JOIN (SELECT DISTINCT fp FROM base) b ON b.fp = c.fp WHERE b.fp IS NULL",
     "baseline_existing": BASE + ";; SELECT c.fp, c.snippet FROM cur c JOIN (SELECT DISTINCT fp FROM base) b ON b.fp = c.fp",
     "baseline_fixed": BASE + ";; SELECT b.fp, b.project FROM base b LEFT JOIN cur c ON c.fp = b.fp WHERE c.fp IS NULL",
-    # scoring
-    "qars_by_algorithm": QARS + ";; SELECT project, algorithm, n, floor(risk * 1000000 + 0.5) / 1000000 AS risk FROM risk",
-    "qars_overall": QARS + ", overall AS (SELECT project, least(CAST(100.0 AS DOUBLE), sum(risk * n) / sum(n) * CAST(1.15 AS DOUBLE) * 100) AS q FROM risk GROUP BY project);; SELECT project, floor(q * 1000 + 0.5) / 1000 AS qars, CASE WHEN q >= 80 THEN 'F' WHEN q >= 60 THEN 'D' WHEN q >= 40 THEN 'C' WHEN q >= 20 THEN 'B' ELSE 'A' END AS grade FROM overall",
-    "highest_risk_algo": QARS + ", ranked AS (SELECT project, algorithm, row_number() OVER (PARTITION BY project ORDER BY floor(risk * 1000000 + 0.5) DESC, algorithm) AS k FROM risk);; SELECT project, algorithm FROM ranked WHERE k = 1",
-    "readiness_grade": READY + ";; SELECT project, floor(score * 10 + 0.5) / 10 AS score, " + GRADE.format(s="score") + " AS grade FROM scored",
-    "gate_results": READY + ", crit AS (SELECT project, count(*) AS criticals FROM open_ WHERE severity = 'CRITICAL' GROUP BY project);; SELECT s.project, s.shor = 0 AND s.score >= 60 AS pqc_ready, coalesce(c.criticals, 0) = 0 AS no_critical, s.compliance_score = 100 AS strict_compliant, s.score >= 40 AS migration_safe FROM scored s LEFT JOIN crit c ON c.project = s.project",
     "mosca": ";; SELECT p_partkey, p_size AS shelf, p_partkey % 8 AS migration, p_partkey % 20 AS threat, p_size + p_partkey % 8 > p_partkey % 20 AS urgent, p_partkey % 20 - (p_size + p_partkey % 8) AS margin FROM $part",
-    # compliance, migration, fixes
-    "compliance_rows": OPEN + ", c AS (SELECT algorithm, count(*) AS n FROM open_ GROUP BY algorithm);; SELECT m.framework, m.algorithm, m.status, c.n, coalesce(d.deadline, '') AS deadline FROM c JOIN $compliance m ON m.algorithm = c.algorithm LEFT JOIN $deadlines d ON d.deadline_key = m.deadline_key",
-    "framework_verdict": OPEN + ", a AS (SELECT DISTINCT project, algorithm FROM open_);; SELECT a.project, m.framework, CASE WHEN sum(CASE WHEN m.status = 'NON-COMPLIANT' THEN 1 ELSE 0 END) > 0 THEN 'FAIL' WHEN sum(CASE WHEN m.status = 'DEPRECATED' THEN 1 ELSE 0 END) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM a JOIN $compliance m ON m.algorithm = a.algorithm GROUP BY a.project, m.framework",
-    "deadline_countdown": ", days AS (SELECT m.algorithm, d.deadline, CAST({days} AS BIGINT) AS days FROM $compliance m JOIN $deadlines d ON d.deadline_key = m.deadline_key WHERE m.framework = 'strict' AND m.status <> 'COMPLIANT');; SELECT algorithm, deadline, days, CASE WHEN days < 0 THEN 'OVERDUE' WHEN days < 365 THEN 'URGENT' WHEN days < 1095 THEN 'APPROACHING' ELSE 'DISTANT' END AS urgency FROM days".lstrip(", "),
+    # migration
     "migration_estimate": OPEN + ", c AS (SELECT project, algorithm, count(*) AS n FROM open_ GROUP BY project, algorithm);; SELECT c.project, c.algorithm, c.n, coalesce(e.kind, 'API_CHANGE') AS kind, coalesce(e.hours, CAST(3.0 AS DOUBLE)) * c.n AS hours FROM c LEFT JOIN $effort e ON e.algorithm = c.algorithm",
     "migration_totals": OPEN + ", h AS (SELECT f.project, sum(coalesce(e.hours, CAST(3.0 AS DOUBLE))) AS hours FROM open_ f LEFT JOIN $effort e ON e.algorithm = f.algorithm GROUP BY f.project);; SELECT project, hours, floor(hours * 3 + 0.5) / 10 AS testing, floor(hours * 2 + 0.5) / 10 AS review, floor(hours + 0.5) / 10 AS deployment, CAST(floor(hours * CAST(1.6 AS DOUBLE) * 150 + 0.5) AS BIGINT) AS cost FROM h",
     "estimates_by_hours": OPEN + ", h AS (SELECT f.algorithm, sum(coalesce(e.hours, CAST(3.0 AS DOUBLE))) AS hours FROM open_ f LEFT JOIN $effort e ON e.algorithm = f.algorithm GROUP BY f.algorithm);; SELECT algorithm, hours, row_number() OVER (ORDER BY hours DESC, algorithm) AS place FROM h",
@@ -173,8 +103,8 @@ SHARED: dict[str, str] = {
     "precision_recall": ", p AS (SELECT file, line, max(CASE WHEN NOT suppressed THEN 1 ELSE 0 END) AS found FROM $findings GROUP BY file, line), t AS (SELECT k.file, k.line, CASE WHEN k.text LIKE '%rsa%' OR k.text LIKE '%RSA%' THEN 1 ELSE 0 END AS expected, coalesce(p.found, 0) AS found FROM $lines k LEFT JOIN p ON p.file = k.file AND p.line = k.line), s AS (SELECT CAST(sum(expected * found) AS BIGINT) AS tp, CAST(sum((1 - expected) * found) AS BIGINT) AS fp, CAST(sum(expected * (1 - found)) AS BIGINT) AS fn FROM t);; SELECT tp, fp, fn, floor(10000 * CAST(tp AS DOUBLE) / (tp + fp) + 0.5) / 10000 AS precision_, floor(10000 * CAST(tp AS DOUBLE) / (tp + fn) + 0.5) / 10000 AS recall FROM s".lstrip(", "),
 }
 
-_SPARK = {"text": "STRING", "deps": DEPS_SPARK, "days": f"datediff(to_date(d.deadline), to_date('{AS_OF}'))", "sha256": "sha2(text, 256)", "sha1": "sha1(text)", "des": r"text RLIKE '(^|[ .,;:])[Dd][Ee][Ss]([ .,;:]|$)'"}
-_DUCK = {"text": "VARCHAR", "deps": DEPS, "days": f"date_diff('day', DATE '{AS_OF}', CAST(d.deadline AS DATE))", "sha256": "sha256(text)", "sha1": "sha1(text)", "des": r"regexp_matches(text, '(^|[ .,;:])[Dd][Ee][Ss]([ .,;:]|$)')"}
+_SPARK = {"text": "STRING", "deps": DEPS_SPARK, "sha256": "sha2(text, 256)", "sha1": "sha1(text)", "des": r"text RLIKE '(^|[ .,;:])[Dd][Ee][Ss]([ .,;:]|$)'"}
+_DUCK = {"text": "VARCHAR", "deps": DEPS, "sha256": "sha256(text)", "sha1": "sha1(text)", "des": r"regexp_matches(text, '(^|[ .,;:])[Dd][Ee][Ss]([ .,;:]|$)')"}
 
 
 def _fill(sql: str, words: dict[str, str]) -> str:
@@ -356,9 +286,19 @@ OWN = {
 }
 
 
+#: Modules with queries and SQL of their own.
+MODULES = [dependencies, scoring]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_run, n) for n in SHARED} | OWN
+    out = {n: partial(_run, n) for n in SHARED} | OWN
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _oracle(n) for n in SHARED} | _own_sql()
+    out = {n: _oracle(n) for n in SHARED} | _own_sql()
+    for m in MODULES:
+        out |= m.SQL
+    return out
