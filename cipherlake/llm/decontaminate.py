@@ -30,11 +30,11 @@ PIECE = 32
 #: Words of a lexical passage; they begin every half of it, so any 65 words in a row lie in one.
 PASSAGE = 128
 #: Words of a latent passage, and of the step between their beginnings.
-LATENT, STEP = 48, 16
+LATENT, STEP = 48, 24
 #: Rank of the latent space, random directions beyond it, hash buckets of words outside the benchmark, rows of the benchmark's words at most.
-RANK, EXTRA, BUCKETS, OWN = 48, 16, 1 << 13, 1 << 14
+RANK, EXTRA, BUCKETS, OWN = 48, 12, 1 << 13, 1 << 14
 #: Least cosine of a latent candidate, least exact share of a rewording, least cosine of words that stand for each other.
-NEAR, EXACT, SYNONYM = 0.5, 0.35, 0.7
+NEAR, EXACT, SYNONYM = 0.45, 0.35, 0.7
 #: Benchmark items that are searched for at a time: what is broadcast is bounded by this, not by the benchmark.
 ITEMS = 2000
 
@@ -190,14 +190,16 @@ def latent_vectors(numbers: DataFrame, row: np.ndarray, idf: np.ndarray, rank: i
                 at, of, value = at[order], of[order], value[order]
                 begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 end = np.append(begin[1:], len(at))
-                often = np.zeros(len(at), bool)
-                for a, b in zip(begin[end - begin > 64].tolist(), end[end - begin > 64].tolist()):
+                many = end - begin
+                for a, b in zip(begin[many > 16].tolist(), end[many > 16].tolist()):
                     total[at[a]] += value[a:b] @ y[of[a:b]]
-                    often[a:b] = True
-                rest = np.flatnonzero(~often)
-                if len(rest):
-                    begin = np.flatnonzero(np.concatenate([[True], at[rest][1:] != at[rest][:-1]]))
-                    total[at[rest][begin]] += np.add.reduceat(value[rest, None] * y[of[rest]], begin, axis=0)
+                for low, high in ((0, 2), (2, 6), (6, 16)):  # short ones side by side, filled up with zeros
+                    pick = np.flatnonzero((many > low) & (many <= high))
+                    part = np.zeros((len(pick), wide), np.float32)
+                    for k in range(high):
+                        j = np.minimum(begin[pick] + k, len(at) - 1)
+                        part += np.where(k < many[pick], value[j], 0)[:, None] * y[of[j]]
+                    total[at[begin[pick]]] += part
                 some = True
         if some:
             blocks = range(-(-size // ROWS))
@@ -312,38 +314,51 @@ def latent_candidates(s: Searcher, offsets: np.ndarray, codes: np.ndarray, near:
     Those that hold less than EXACT of the piece's words, order aside, are left out at once: the
     common subsequence could not reach that share.
     """
-    n_words = s.held.max() + 1 if s.held.size else 1
-    n_words = max(int(n_words), int(s.local.max()) + 1)
+    n_words = int(s.local.max()) + 1
     text, begin, end = _passages(offsets, STEP, STEP)  # blocks; a passage is the sum of some successive ones
     found, ahead = [], LATENT // STEP
     per = max(32, min((1 << 21) // max(len(s.latent), 1), (1 << 23) // n_words))
     first, rest = s.held[:, :8], s.held_weight[:, 8:].sum(1)
     least = EXACT * s.weight - 1e-4
+    there = np.zeros((per + ahead, n_words), bool)  # words of each block; the last row stays empty
     for a in range(0, len(begin) if s.project.shape[1] else 0, per):
         b = min(len(begin), a + per + ahead - 1)
         words = codes[begin[a] : end[b - 1]]
-        z = np.add.reduceat(s.project[s.row[words]], begin[a:b] - begin[a], axis=0)
-        there = np.zeros((b - a, n_words), bool)
-        there[np.repeat(np.arange(b - a), end[a:b] - begin[a:b]), s.local[words]] = True
-        there[:, -1] = False  # words of no item
+        local = s.local[words]
+        own = np.flatnonzero(local < n_words - 1)  # the others are words of no item
+        of = np.repeat(np.arange(b - a), end[a:b] - begin[a:b])[own], local[own]
+        there[of] = True
+        z, at, size = np.zeros((b - a, s.project.shape[1]), np.float32), begin[a:b] - begin[a], end[a:b] - begin[a:b]
+        for k in range(STEP):
+            i = np.flatnonzero(size > k)
+            z[i] += s.project[s.row[words[at[i] + k]]]
         n = min(per, b - a)
-        whole, last, holds = z[:n].copy(), end[a : a + n].copy(), there[:n].copy()
+        whole, last, blocks = z[:n].copy(), end[a : a + n].copy(), [np.arange(n)]
         for k in range(1, ahead):
             i = np.flatnonzero(np.arange(n) + k < b - a)
             i = i[text[a + i + k] == text[a + i]]
             whole[i] += z[i + k]
-            holds[i] |= there[i + k]
             last[i] = end[a + i + k]
+            blocks.append(np.full(n, per + ahead - 1))
+            blocks[-1][i] = i + k
+
+        def holds(q: np.ndarray, of: np.ndarray) -> np.ndarray:
+            out = there[q[:, None], of]
+            for rows in blocks[1:]:
+                out |= there[rows[q][:, None], of]
+            return out
+
         whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
         cosine = whole @ s.latent.T
         p, c = np.nonzero(cosine >= near)
         for x in range(0, len(p), 1 << 17):
             q, d = p[x : x + (1 << 17)], c[x : x + (1 << 17)]
-            keep = (holds[q[:, None], first[d]] * s.held_weight[d, :8]).sum(1) + rest[d] >= least[d]
+            keep = (holds(q, first[d]) * s.held_weight[d, :8]).sum(1) + rest[d] >= least[d]
             q, d = q[keep], d[keep]
-            keep = (holds[q[:, None], s.held[d]] * s.held_weight[d]).sum(1) >= least[d]
+            keep = (holds(q, s.held[d]) * s.held_weight[d]).sum(1) >= least[d]
             q, d = q[keep], d[keep]
             found.append((text[a + q], begin[a + q], last[q], d, cosine[q, d]))
+        there[of] = False
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
 
 
