@@ -28,7 +28,7 @@ class PieceEncoder:
     #: Texts with these are encoded whole: special-token strings, and white space that is not ASCII.
     ODD = r"<\||[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 
-    def __init__(self, path: str, specials_as_text: bool = False, most: int = 200_000):
+    def __init__(self, path: str, specials_as_text: bool = False, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
