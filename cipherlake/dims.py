@@ -115,12 +115,16 @@ COMPLIANCE = [
 ]
 #: Migration effort (algorithm, hours, kind).
 EFFORT = [("MD5", 0.5, "DROP_IN"), ("SHA-1", 0.5, "DROP_IN"), ("AES-128", 1.0, "DROP_IN"), ("3DES", 2.0, "API_CHANGE"), ("RC4", 2.0, "API_CHANGE"), ("Blowfish", 2.0, "API_CHANGE"), ("Ed25519", 5.0, "ARCHITECTURAL"), ("ECDSA", 6.0, "ARCHITECTURAL"), ("ECDH", 6.0, "ARCHITECTURAL"), ("DSA", 6.0, "ARCHITECTURAL"), ("RSA", 8.0, "ARCHITECTURAL"), ("DH", 8.0, "ARCHITECTURAL")]
-#: Text substitutions that fix a line: extension, algorithm, pattern, replacement.
+# Text substitutions that fix a line (extension, algorithm, pattern, replacement); the first of an extension and algorithm that changes the text wins.
 FIXES = [
-    (".py", "MD5", r"hashlib\.md5\b", "hashlib.sha256"), (".py", "SHA-1", r"hashlib\.sha1\b", "hashlib.sha256"), (".py", "3DES", r"DES\.new\(", "AES.new("), (".py", "3DES", r"DES3\.new\(", "AES.new("), (".py", "Blowfish", r"Blowfish\.new\(", "AES.new("),
-    (".java", "MD5", r"MessageDigest\.getInstance\s*\(\s*\"MD5\"\s*\)", 'MessageDigest.getInstance("SHA-256")'), (".java", "SHA-1", r"MessageDigest\.getInstance\s*\(\s*\"SHA-1\"\s*\)", 'MessageDigest.getInstance("SHA-256")'),
-    (".go", "3DES", r"crypto/des", "crypto/aes"), (".go", "3DES", r"des\.NewCipher", "aes.NewCipher"),
+    (".py", "MD5", r"hashlib\.md5\b", "hashlib.sha256"), (".py", "MD5", r"hashlib\.new\(['\"]md5['\"]\)", "hashlib.new('sha256')"), (".py", "SHA-1", r"hashlib\.sha1\b", "hashlib.sha256"), (".py", "SHA-1", r"hashlib\.new\(['\"]sha1['\"]\)", "hashlib.new('sha256')"), (".py", "3DES", r"from Crypto\.Cipher import DES\b", "from Crypto.Cipher import AES"), (".py", "3DES", r"from Crypto\.Cipher import DES3", "from Crypto.Cipher import AES"), (".py", "3DES", r"DES\.new\(", "AES.new("), (".py", "3DES", r"DES3\.new\(", "AES.new("), (".py", "Blowfish", r"from Crypto\.Cipher import Blowfish", "from Crypto.Cipher import AES"), (".py", "Blowfish", r"Blowfish\.new\(", "AES.new("), (".py", "RC4", r"from Crypto\.Cipher import ARC4", "from Crypto.Cipher import AES"),
+    (".java", "MD5", r"MessageDigest\.getInstance\s*\(\s*\"MD5\"\s*\)", 'MessageDigest.getInstance("SHA-256")'), (".java", "SHA-1", r"MessageDigest\.getInstance\s*\(\s*\"SHA-1\"\s*\)", 'MessageDigest.getInstance("SHA-256")'), (".java", "3DES", r"Cipher\.getInstance\s*\(\s*\"DES[^\"]*\"\s*\)", 'Cipher.getInstance("AES/GCM/NoPadding")'), (".java", "3DES", r"Cipher\.getInstance\s*\(\s*\"DESede[^\"]*\"\s*\)", 'Cipher.getInstance("AES/GCM/NoPadding")'), (".java", "AES-ECB", r"Cipher\.getInstance\s*\(\s*\"AES/ECB/[^\"]*\"\s*\)", 'Cipher.getInstance("AES/GCM/NoPadding")'),
+    (".go", "3DES", r"crypto/des", "crypto/aes"), (".go", "3DES", r"des\.NewCipher", "aes.NewCipher"), (".go", "MD5", r"crypto/md5", "crypto/sha256"), (".go", "MD5", r"md5\.New\(\)", "sha256.New()"), (".go", "SHA-1", r"crypto/sha1", "crypto/sha256"), (".go", "SHA-1", r"sha1\.New\(\)", "sha256.New()"),
+    (".conf", "Old TLS", r"ssl_protocols\s+.*TLSv1\b[^.23]", "ssl_protocols TLSv1.2 TLSv1.3;"), (".conf", "SSLv3", r"SSLProtocol\s+.*SSLv3", "SSLProtocol all -SSLv3 -TLSv1 -TLSv1.1"), (".conf", "RC4", r"ssl_ciphers.*RC4", "ssl_ciphers ECDHE-ECDSA-AES256-GCM-SHA384:ECDHE-RSA-AES256-GCM-SHA384;"),
 ]
+# Rules of SARIF output, properties of bills of materials (algorithm, primitive, family) and classical security bits.
+CBOM = [("RSA", "pke", "RSA"), ("ECDSA", "signature", "EC"), ("ECDH", "ke", "EC"), ("Ed25519", "signature", "EC"), ("DH", "ke", "DH"), ("DSA", "signature", "DSA"), ("AES-128", "blockcipher", "AES"), ("SHA-1", "hash", "SHA"), ("MD5", "hash", "MD"), ("3DES", "blockcipher", "DES"), ("RC4", "streamcipher", "RC4"), ("Blowfish", "blockcipher", "Blowfish")]
+CLASSICAL_BITS = [("RSA", 112), ("ECDSA", 128), ("ECDH", 128), ("Ed25519", 128), ("DH", 112), ("DSA", 112), ("AES-128", 128), ("SHA-1", 80), ("MD5", 64), ("3DES", 112), ("RC4", 0), ("Blowfish", 64)]
 # Packages with cryptography (ecosystem, normalised package, risk); the maven key is a group's prefix.
 PACKAGES = [
     ("pip", "cryptography", "HIGH"), ("pip", "pycryptodome", "HIGH"), ("pip", "pycryptodomex", "HIGH"), ("pip", "pyopenssl", "HIGH"), ("pip", "paramiko", "HIGH"), ("pip", "pyca/bcrypt", "MEDIUM"), ("pip", "rsa", "CRITICAL"), ("pip", "ecdsa", "CRITICAL"), ("pip", "pynacl", "HIGH"), ("pip", "jwcrypto", "HIGH"), ("pip", "pyjwt", "HIGH"), ("pip", "tls", "MEDIUM"), ("pip", "certifi", "INFO"), ("pip", "requests", "INFO"), ("pip", "boto3", "MEDIUM"), ("pip", "azure_identity", "MEDIUM"), ("pip", "google_auth", "MEDIUM"),
@@ -175,6 +179,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "shor": ("algorithm string", [(a,) for a in SHOR]),
     "deadlines": ("deadline_key string, deadline string", DEADLINES),
     "compliance": ("framework string, algorithm string, status string, deadline_key string", COMPLIANCE),
+    "cbom": ("algorithm string, primitive string, family string", CBOM),
+    "classical_bits": ("algorithm string, bits long", CLASSICAL_BITS),
     "package_algorithms": ("package string, algorithms string", PACKAGE_ALGORITHMS),
     "algorithm_states": ("algorithm string, state string", ALGORITHM_STATES),
     "gates": ("gate string, condition string, kind string, threshold string", GATES),

@@ -22,6 +22,40 @@ def strip_block_comments(text: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("/*") & (F.length(t) >= 4), F.regexp_replace(t, r"[^\n]", "")).otherwise(t)), "")
 
 
+def _line_ends(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\n]", "")
+
+
+def blank_triple_strings(text: Column) -> Column:
+    """Takes out triple-quoted strings with their prefix letters; their line ends stay. A triple quote inside another string doesn't open one."""
+    triple = r"(?:\b[rRbBuUfF]{1,2})?(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')"
+    tokens = F.regexp_extract_all(text, F.lit(triple + "|" + STRING + r"|[A-Za-z0-9_]+|[\s\S]"), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^[rRbBuUfF]{0,2}(?:\"\"\"|''')") & (F.length(t) >= 6), _line_ends(t)).otherwise(t)), "")
+
+
+def strip_ruby_blocks(text: Column) -> Column:
+    """Takes out =begin ... =end at line starts; their line ends stay."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?m)^=begin\b[\s\S]*?^=end\b[^\n]*|[^\n]*\n|[^\n]+"), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("=begin"), _line_ends(t)).otherwise(t)), "")
+
+
+def strip_markup_comments(text: Column) -> Column:
+    """Takes out <!-- ... -->; their line ends stay."""
+    tokens = F.regexp_extract_all(text, F.lit(r"<!--[\s\S]*?-->|[^<]+|<"), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("<!--") & t.endswith("-->"), _line_ends(t)).otherwise(t)), "")
+
+
+def strip_blocks(text: Column, language: Column) -> Column:
+    """Block comments of the language's family taken out, line ends kept; unknown languages stay as they are."""
+    return (
+        F.when(language == "Python", blank_triple_strings(text))
+        .when(language == "Ruby", strip_ruby_blocks(text))
+        .when(language.isin("Config", "HTML", "XML"), strip_markup_comments(text))
+        .when(language.isin(SLASH_COMMENT), strip_block_comments(text))
+        .otherwise(text)
+    )
+
+
 def code_only(text: Column, language: Column) -> Column:
     """Text without comments, by the language's family; unknown languages stay as they are."""
     return (
@@ -54,6 +88,14 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(special.get(c, c if c.isalnum() or c in "_/" else "\\" + c) for c in glob) + "$"
 
 
+def relative_path(path: Column, root: Column) -> Column:
+    """The path below root; outside it, or without one, the path's last three parts."""
+    prefix = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    parts = F.split(path, "/")
+    tail = F.array_join(F.slice(parts, F.greatest(F.lit(-3), -F.size(parts)), 3), "/")
+    return F.when(path.startswith(prefix), F.substring(path, F.length(prefix) + 1, F.length(path))).otherwise(tail)
+
+
 def fingerprint(path: Column, line: Column, algorithm: Column, category: Column) -> Column:
     return F.concat_ws(":", path, line.cast("string"), algorithm, category)
 
@@ -70,11 +112,16 @@ SECRETS = [
 ]
 
 
+def redact_secrets(text: Column) -> Column:
+    """The reference's secrets replaced by its marker, in its order; what else looks like one stays (see redact)."""
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "[REDACTED-SECRET]")
+    return text
+
+
 def redact(text: Column) -> Column:
     """Secrets replaced by markers: the reference's patterns, then bare assignments, long hexadecimal and base64 runs, addresses."""
-    out = text
-    for pattern in SECRETS:
-        out = F.regexp_replace(out, pattern, "[REDACTED-SECRET]")
+    out = redact_secrets(text)
     out = F.regexp_replace(out, r"(?i)(password|secret|api_key|token)\s*[:=]\s*\S+", "$1=[REDACTED]")
     out = F.regexp_replace(out, r"\b[0-9a-fA-F]{32,}\b", "[HEX]")
     # Mixed case and a digit: not a long word, path or number.

@@ -23,3 +23,50 @@ def shortest_levels(edges: DataFrame, starts: DataFrame, max_depth: int = 10) ->
             break
         reached = reached.unionByName(frontier)
     return reached
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(node, depth, path) of the nodes within max_depth calls of a start; path is the lexicographically smallest of the shortest ones, joined by >.
+
+    Breadth-first levels as in shortest_levels: the smallest path to a node extends the smallest path
+    to a node before it, so a level keeps one path a node whatever the number of paths.
+    """
+    edges = staged(edges, "edges")
+    reached = frontier = staged(starts.select("node").distinct().withColumns({"depth": F.lit(0).cast("long"), "path": F.col("node")}), "level")
+    for depth in range(1, max_depth + 1):
+        ahead = frontier.join(edges, frontier.node == edges.caller).groupBy(F.col("callee").alias("to")).agg(F.min(F.concat("path", F.lit(">"), "callee")).alias("path"))
+        ahead = ahead.join(reached.select("node"), F.col("to") == F.col("node"), "left_anti").select(F.col("to").alias("node"), F.lit(depth).cast("long").alias("depth"), "path")
+        frontier = staged(ahead, "level")
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("caller").alias("node")).union(edges.select("callee")).distinct()
+
+
+def entry_points(edges: DataFrame, names: list[str]) -> DataFrame:
+    """Nodes that nothing calls, and those with one of the names in theirs."""
+    free = nodes(edges).join(edges.select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
+    by_name = nodes(edges).where(F.lower("node").rlike("|".join(n.replace(".", "\\.") for n in names)))
+    return free.union(by_name).distinct()
+
+
+def sinks(edges: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """(node, algorithm) of the nodes whose name holds a pattern; the first pattern wins."""
+    found = F.coalesce(*(F.when(F.col("node").contains(p), F.lit(a)) for p, a in patterns))
+    return nodes(edges).withColumn("algorithm", found).where("algorithm IS NOT NULL")
+
+
+def sinks_with_findings(edges: DataFrame, patterns: list[tuple[str, str]], findings: DataFrame) -> DataFrame:
+    """(node, algorithm, file, line): sinks by name, and all nodes of a module with a finding of a known algorithm, whose last finding goes before the name.
+
+    findings(module, algorithm, file, line, ord) name the module that they lie in.
+    """
+    known = sorted({a for _, a in patterns})
+    last = findings.where(F.col("algorithm").isin(known)).groupBy("module").agg(F.max_by(F.struct("algorithm", "file", "line"), F.struct("file", "line", "ord")).alias("f"))
+    of = nodes(edges).withColumn("module", F.split("node", "\\.")[0]).join(last, "module").select("node", "f")
+    named = sinks(edges, patterns).withColumnRenamed("algorithm", "named")
+    return named.join(of, "node", "full").select("node", F.coalesce("f.algorithm", "named").alias("algorithm"), "f.file", "f.line")

@@ -14,7 +14,7 @@ from cipherlake.functions import bits, lex
 from cipherlake.operators.graph import shortest_levels
 from cipherlake.operators.limiter import accepts
 from cipherlake.operators.match import scan_rules
-from cipherlake.plans import corpus, dependencies, scoring
+from cipherlake.plans import code, corpus, dependencies, protocols, reports, scans, scoring, texts
 from cipherlake.plans.frames import ORACLE_FRAMES
 from cipherlake.streaming import continuous
 
@@ -176,7 +176,7 @@ def _bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     sinks = edges.select(F.col("callee").alias("node")).distinct().join(edges.select(F.col("caller").alias("node")).distinct(), "node", "left_anti")
-    return sinks.join(shortest_levels(edges, _starts(edges).where(F.col("node").endswith("0")), 10).select("node"), "node", "left_anti")
+    return sinks.join(shortest_levels(edges, _starts(edges).where(F.col("node").endswith("0")), 2).select("node"), "node", "left_anti")
 
 
 def _graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,29 +192,6 @@ def _fix_tier1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "line", "ord", "snippet", fixed.alias("fixed")).where("fixed IS NOT NULL")
 
 
-def _english_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printable characters per text, letters and spaces counting more."""
-    t = F.col("text")
-    n = lambda p: F.regexp_count(t, F.lit(p))
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", (2 * n("[a-zA-Z ]") + n(r"[0-9.,;:!?-]")).cast("long").alias("score"))
-
-
-def _hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hamming distance in bits of the digests of successive benchmark items."""
-    b = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long").alias("x"))
-    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y")), "item_id").select("item_id", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long").alias("bits"))
-
-
-def _redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(lex.redact(F.col("text"))).alias("redacted_md5"))
-
-
-def _ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with a repeated block of 16 characters at block positions."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length("text") / 16).cast("int") - 1)), lambda i: F.substring(F.col("text"), i * 16 + 1, F.lit(16)))
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", (F.size(F.array_distinct(blocks)) < F.size(blocks)).alias("repeats"))
-
-
 def _limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
     return accepts(calls, 2, 86_400).groupBy("key").agg(F.count("*").alias("calls"), F.sum(F.col("accepted").cast("long")).alias("accepted"))
@@ -234,13 +211,6 @@ def _stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuous.run_once(continuous.tumbling_counts(continuous.event_stream(spark, sf_dir)))
 
 
-def _xor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests xored with a key and back: whether they come back, and the weight of the difference."""
-    b = corpus.table(spark, sf_dir, "benchmark").select("item_id", bits.byte_array(F.md5("text")).alias("x"))
-    key = F.array(*(F.lit(k) for k in (73, 67, 69)))
-    return b.select("item_id", (bits.xor_cycle(bits.xor_cycle(F.col("x"), key), key) == F.col("x")).alias("same"), bits.hamming(F.col("x"), bits.xor_cycle(F.col("x"), key)).cast("long").alias("weight"))
-
-
 _EDGES_SQL = "WITH RECURSIVE " + EDGES.replace("{text}", "VARCHAR").replace("$", "")
 _START_SQL = "starts AS (SELECT DISTINCT caller AS node FROM edges WHERE caller NOT IN (SELECT callee FROM edges))"
 _REACH_SQL = "reach AS (SELECT node, CAST(0 AS BIGINT) AS depth FROM {starts} UNION SELECT e.callee, r.depth + 1 FROM reach r JOIN edges e ON e.caller = r.node WHERE r.depth < 10)"
@@ -253,16 +223,16 @@ def _own_sql() -> dict[str, str]:
         "strip_strings": f"WITH {lines} SELECT language, regexp_replace(regexp_replace(text, '\"[^\"\\\\\\n]*(?:\\\\.[^\"\\\\\\n]*)*\"', '\"\"', 'g'), '''[^''\\\\\\n]*(?:\\\\.[^''\\\\\\n]*)*''', '''''', 'g') AS blanked, count(*) AS n FROM lines GROUP BY 1, 2",
         "callgraph_entry_points": f"{_EDGES_SQL}, {_START_SQL} SELECT node FROM starts",
         "callgraph_bfs": f"{_EDGES_SQL}, {_START_SQL}, {_REACH_SQL.replace('{starts}', 'starts')} SELECT node, min(depth) AS depth FROM reach GROUP BY node",
-        "callgraph_orphans": f"{_EDGES_SQL}, {_START_SQL}, chosen AS (SELECT node FROM starts WHERE node LIKE '%0'), {_REACH_SQL.replace('{starts}', 'chosen')} SELECT DISTINCT callee AS node FROM edges WHERE callee NOT IN (SELECT caller FROM edges) AND callee NOT IN (SELECT node FROM reach)",
+        "callgraph_orphans": f"{_EDGES_SQL}, {_START_SQL}, chosen AS (SELECT node FROM starts WHERE node LIKE '%0'), {_REACH_SQL.replace('{starts}', 'chosen').replace('r.depth < 10', 'r.depth < 2')} SELECT DISTINCT callee AS node FROM edges WHERE callee NOT IN (SELECT caller FROM edges) AND callee NOT IN (SELECT node FROM reach)",
         "callgraph_totals": f"{_EDGES_SQL} SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM (SELECT caller FROM edges UNION SELECT callee FROM edges)) AS nodes",
         "fix_tier1": f"WITH {lines}, {ORACLE_FRAMES['findings'][1]}, f AS (SELECT file, line, ord, snippet, {fix} AS fixed FROM findings WHERE NOT suppressed) SELECT file, line, ord, snippet, fixed FROM f WHERE fixed IS NOT NULL",
-        "english_score": "SELECT doc_id, CAST(2 * len(regexp_extract_all(text, '[a-zA-Z ]')) + len(regexp_extract_all(text, '[0-9.,;:!?-]')) AS BIGINT) AS score FROM documents",
-        "hamming_pairs": "WITH b AS (SELECT item_id, CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT) AS x FROM benchmark) SELECT a.item_id, CAST(bit_count(xor(a.x, c.x)) AS BIGINT) AS bits FROM b a JOIN b c ON c.item_id = a.item_id + 1",
-        "secret_redaction": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|secret|api_key|token)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g'), '\b[0-9a-fA-F]{32,}\b', '[HEX]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS redacted_md5 FROM conversations",
-        "ecb_repeat_detect": "WITH b AS (SELECT doc_id, list_transform(range(0, greatest(1, CAST(floor(length(text) / 16) AS BIGINT))), lambda i: substr(text, i * 16 + 1, 16)) AS blocks FROM documents) SELECT doc_id, len(list_distinct(blocks)) < len(blocks) AS repeats FROM b",
+        "rate_limit_accepts": """WITH RECURSIVE e AS (SELECT user_id AS key, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS k FROM events),
+            r AS (SELECT key, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS kept, false AS ok FROM (SELECT DISTINCT key FROM e) d
+              UNION ALL SELECT r.key, e.k, CASE WHEN len(list_filter(r.kept, lambda x: x >= e.t - 86400)) < 2 THEN list_append(list_filter(r.kept, lambda x: x >= e.t - 86400), e.t) ELSE list_filter(r.kept, lambda x: x >= e.t - 86400) END,
+                len(list_filter(r.kept, lambda x: x >= e.t - 86400)) < 2 FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+            SELECT key, count(*) AS calls, count(*) FILTER (ok) AS accepted FROM r WHERE k > 0 GROUP BY key""",
         "tumbling_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "stream_tumbling_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-        "xor_round_trip": "WITH b AS (SELECT item_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(md5(text), CAST(i * 2 + 1 AS BIGINT), 2) AS BIGINT)) AS x FROM benchmark) SELECT item_id, true AS same, CAST(bit_count(CAST(73 AS BIGINT)) * 6 + bit_count(CAST(67 AS BIGINT)) * 5 + bit_count(CAST(69 AS BIGINT)) * 5 AS BIGINT) AS weight FROM b WHERE len(x) = 16",
         "session_activity": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new, event_id FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
     }
 
@@ -274,20 +244,15 @@ OWN = {
     "callgraph_orphans": _orphans,
     "callgraph_totals": _graph_totals,
     "fix_tier1": _fix_tier1,
-    "english_score": _english_score,
-    "hamming_pairs": _hamming,
-    "secret_redaction": _redaction,
-    "ecb_repeat_detect": _ecb,
     "rate_limit_accepts": _limiter,
     "tumbling_events": _tumbling,
     "session_activity": _sessions,
     "stream_tumbling_events": _stream_tumbling,
-    "xor_round_trip": _xor_round_trip,
 }
 
 
 #: Modules with queries and SQL of their own.
-MODULES = [dependencies, scoring]
+MODULES = [dependencies, scoring, code, texts, reports, scans, protocols]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,10 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """lineitem with a line number in each order; equal rows are interchangeable."""
+    return items.withColumn("line", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long"))
+
+
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, file, line, language, ext, path, text, flag): a file an order, a line a lineitem row."""
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    lines = items.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long").alias("line"))
+    lines = numbered(items).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "line")
     langs, texts = dims.frame(spark, "languages"), dims.frame(spark, "templates")
     counts = texts.select("language", "n_templates").distinct()
     lines = lines.withColumn("lang_no", F.col("l_orderkey") % 8).join(F.broadcast(langs.join(counts, "language")), "lang_no")

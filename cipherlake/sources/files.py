@@ -10,11 +10,12 @@ from cipherlake import dims
 from cipherlake.functions import lex
 
 
-def walk(spark: SparkSession, root: str, max_files: int | None = 10_000, ignore: list[str] | None = None) -> DataFrame:
+def walk(spark: SparkSession, root: str, max_files: int | None = None, ignore: list[str] | None = None) -> DataFrame:
     """(path, ext, language, content) of the source files below root.
 
     Folders that are never scanned and ignored globs are left out before content is read; files of
-    unknown extension are not counted. max_files is the scan's own limit: the first in path order.
+    unknown extension are not counted. max_files is the scan's own limit, off by default: the first in
+    path order, chosen before any content is read. Bytes that are not UTF-8 are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     files = files.where(~F.col("path").rlike("/(" + "|".join(d.replace(".", "\\.") for d in dims.SKIP_DIRS) + ")/"))
@@ -24,13 +25,14 @@ def walk(spark: SparkSession, root: str, max_files: int | None = 10_000, ignore:
     known = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{e}', '{n}')" for e, n in dims.EXTENSIONS) + " AS t(ext, language)")
     files = files.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))).join(F.broadcast(known), "ext")
     if max_files is not None:
-        files = files.orderBy("path").limit(max_files)
-    return files.select("path", "ext", "language", F.decode("content", "UTF-8").alias("content"))
+        chosen = files.select("path").orderBy("path").limit(max_files)
+        files = files.join(chosen, "path", "left_semi")
+    return files.select("path", "ext", "language", F.translate(F.decode("content", "UTF-8"), "\ufffd", "").alias("content"))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, ext, language, line, text): split on line feeds only; block comments are stripped over the whole file first, so text is what is matched against."""
-    stripped = F.when(F.col("language").isin(lex.SLASH_COMMENT), lex.strip_block_comments(F.col("content"))).otherwise(F.col("content"))
+    stripped = lex.strip_blocks(F.col("content"), F.col("language"))
     return files.select("path", "ext", "language", F.posexplode(F.split(stripped, "\n")).alias("at", "text")).select("path", "ext", "language", (F.col("at") + 1).cast("long").alias("line"), "text")
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlake.operators.match import scan_lines
+from cipherlake.sources.staging import fresh_path
 
 
 def scan_stream(lines: DataFrame) -> DataFrame:
@@ -27,9 +26,15 @@ def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def tumbling_findings(lines: DataFrame, width: str = "30 days", late: str = "60 days") -> DataFrame:
+    """(day, algorithm, n): findings of a stream of (language, text, ts, ...) lines in tumbling windows."""
+    found = scan_lines(lines).where("NOT suppressed").withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "algorithm").agg(F.count("*").alias("n"))
+    return found.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "algorithm", "n")
+
+
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Processes what is there now and returns the memory sink's table."""
-    name = f"sink_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Processes what is there now and returns the result, written to the shared folder batch by batch, not held by the driver."""
+    path = fresh_path(stream.sparkSession, "sink")
+    query = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)).outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
