@@ -32,9 +32,9 @@ PASSAGE = 128
 #: Words of a latent passage, and of the step between their beginnings.
 LATENT, STEP = 48, 24
 #: Rank of the latent space, random directions beyond it, hash buckets of words outside the benchmark, rows of the benchmark's words at most.
-RANK, EXTRA, BUCKETS, OWN = 48, 12, 1 << 13, 1 << 14
+RANK, EXTRA, BUCKETS, OWN = 48, 16, 1 << 13, 1 << 14
 #: Least cosine of a latent candidate, least exact share of a rewording, least cosine of words that stand for each other.
-NEAR, EXACT, SYNONYM = 0.45, 0.35, 0.7
+NEAR, EXACT, SYNONYM = 0.4, 0.35, 0.7
 #: Benchmark items that are searched for at a time: what is broadcast is bounded by this, not by the benchmark.
 ITEMS = 2000
 
@@ -79,18 +79,28 @@ def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int64), np.frombuffer(b"".join(data), "<u4").astype(np.int64)
 
 
-def coded(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, codes): the word numbers of each whole text as unsigned 32-bit integers, written to the shared folder once for all passes."""
-    held = docs.sparkSession.sparkContext.broadcast(words)
+def coded(docs: DataFrame, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, codes): the word numbers of each whole text as unsigned 32-bit integers; (df): for each task its documents with each number, and their count).
+
+    Both are written to the shared folder once, for all passes.
+    """
+    held, size = docs.sparkSession.sparkContext.broadcast(words), len(words) + BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1, np.int64)
+        names = ["doc_id", "codes", "df"]
         for whole in batches:
             for batch in slices(whole):
                 offsets, codes = _codes(batch.column("text"), held.value)
+                of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                total[:size] += np.bincount(np.unique(of * size + codes) % size, minlength=size)
+                total[size] += batch.num_rows
                 data = codes.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[4 * a : 4 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())], names=["doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[4 * a : 4 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return staged(docs.mapInArrow(released(run), "doc_id long, codes binary"), "codes")
+    out = staged(docs.mapInArrow(released(run), "doc_id long, codes binary, df binary"), "codes")
+    return out.where("codes IS NOT NULL").select("doc_id", "codes"), out.where("df IS NOT NULL").select("df")
 
 
 def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,26 +118,21 @@ def _passages(offsets: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np
     return text, begin, np.minimum(begin + size, offsets[1:][text])
 
 
-def document_frequencies(numbers: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """(number of documents, documents with each number), over all documents."""
+def document_frequencies(counts: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """(number of documents, documents with each number), over all documents, from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(size, np.int64), 0
-        for whole in batches:
-            for batch in slices(whole, "codes"):
-                offsets, codes = _numbered(batch)
-                total += np.bincount(np.unique(np.repeat(np.arange(batch.num_rows), np.diff(offsets)) * size + codes) % size, minlength=size)
-                rows += batch.num_rows
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for data in batch.column("df"):
+                total += np.frombuffer(data.as_buffer(), "<i8")
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    df, n = np.zeros(size, np.int64), 0
-    for r in numbers.mapInArrow(released(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a number
-        if r.term < 0:
-            n = r.n
-        else:
-            df[r.term] = r.n
-    return n, df
+    df = np.zeros(size + 1, np.int64)
+    for r in counts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a number
+        df[r.term] = r.n
+    return int(df[size]), df[:size]
 
 
 #: Rows of the latent table that travel together.
@@ -456,8 +461,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6
         return spark.createDataFrame([], schema)
     words = np.sort(np.fromiter(hashed, np.uint64, len(hashed)))
     size = len(words) + BUCKETS
-    numbers = coded(rows, words)
-    n, df = document_frequencies(numbers, size)
+    numbers, counts = coded(rows, words)
+    n, df = document_frequencies(counts, size)
     idf = np.log((n + 1) / (df + 1)) + 0.05
     own = min(len(words), OWN)
     row = np.concatenate([np.arange(len(words)) if own == len(words) else (words % np.uint64(OWN)).astype(np.int64), own + np.arange(BUCKETS)])
