@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cipherlake import dims
 from cipherlake.operators.match import scan_lines
+from cipherlake.sources.staging import staged
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -34,6 +36,23 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("project", F.col("l_orderkey").alias("file"), "line", "language", "ext", path.alias("path"), "text", F.col("l_returnflag").alias("flag"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Where the findings of a table folder were written by this application: reports read what one scan wrote.
+_SCANNED: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, file, path, line, language, ext, ord, algorithm, severity, category, snippet, suppressed, flag) of every matching pattern."""
     return scan_lines(source_lines(spark, sf_dir))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of scan(), scanned and written once an application and read by every report after that."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _SCANNED:
+        path, schema = _SCANNED[key]
+        at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.read.schema(schema).parquet(path)
+    out = staged(scan(spark, sf_dir), "findings")
+    _SCANNED[key] = (out.staged_at, out.schema)
+    return out
