@@ -10,6 +10,11 @@ from cipherlake import dims
 from cipherlake.functions import lex
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as text; what is not UTF-8 is left out."""
+    return F.translate(F.make_valid_utf8(content.cast("string")), "\ufffd", "")
+
+
 def walk(spark: SparkSession, root: str, max_files: int | None = None, ignore: list[str] | None = None) -> DataFrame:
     """(path, ext, language, content) of the source files below root.
 
@@ -27,7 +32,7 @@ def walk(spark: SparkSession, root: str, max_files: int | None = None, ignore: l
     if max_files is not None:
         chosen = files.select("path").orderBy("path").limit(max_files)
         files = files.join(chosen, "path", "left_semi")
-    return files.select("path", "ext", "language", F.translate(F.decode("content", "UTF-8"), "\ufffd", "").alias("content"))
+    return files.select("path", "ext", "language", text_of(F.col("content")).alias("content"))
 
 
 def lines_of(files: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     names = "|".join(m[0].replace(".", "\\.") for m in dims.MANIFESTS)
     skipped = "|".join(d.replace(".", "\\.") for d in dims.SKIP_DIRS)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(f"/({names})$") & ~F.col("path").rlike(f"/({skipped})/"))
-    return found.select("path", F.decode("content", "UTF-8").alias("content"))
+    return found.select("path", files.text_of(F.col("content")).alias("content"))
 
 
 def crypto_dependencies(found: DataFrame) -> DataFrame:
