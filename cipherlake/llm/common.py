@@ -79,9 +79,29 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     return offsets, coded.dictionary, np.asarray(coded.indices, dtype=np.int64)
 
 
+#: A random odd number for each of the first bytes of a word.
+_BYTE = np.random.default_rng(97).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    """64-bit hash of each word: the sum of its bytes, each times the number of its place, mixed with its length; longer words than the table one by one."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    held = words.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    begin, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    out, some = np.zeros(n, np.uint64), np.flatnonzero(size)
+    with np.errstate(over="ignore"):
+        if len(some):
+            at = np.minimum(np.arange(len(data)) - np.repeat(begin, size), len(_BYTE) - 1)
+            out[some] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _BYTE[at], begin[some])
+        out = mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(size > len(_BYTE)).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

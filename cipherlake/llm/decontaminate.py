@@ -92,8 +92,12 @@ def coded(docs: DataFrame, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
         for whole in batches:
             for batch in slices(whole):
                 offsets, codes = _codes(batch.column("text"), held.value)
-                of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                total[:size] += np.bincount(np.unique(of * size + codes) % size, minlength=size)
+                per = max(1, (1 << 23) // size)
+                for a in range(0, batch.num_rows, per):  # which numbers a text holds, a few texts at a time
+                    b = min(batch.num_rows, a + per)
+                    holds = np.zeros((b - a, size), bool)
+                    holds[np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), codes[offsets[a] : offsets[b]]] = True
+                    total[:size] += holds.sum(0)
                 total[size] += batch.num_rows
                 data = codes.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[4 * a : 4 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=names)
