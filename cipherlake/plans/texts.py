@@ -14,7 +14,7 @@ KEY = [73, 67, 69]
 
 
 def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", ciphers.english_score(ciphers.text_bytes(F.col("text"))).alias("score"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", ciphers.english_score(F.col("text")).alias("score"))
 
 
 def _hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ SQL: dict[str, str] = {
         FROM part JOIN pw w ON w.e = p_partkey JOIN ord r ON r.m = p_partkey % 60 * 2 + 3""",
     "factors": """WITH comp AS (SELECT DISTINCT a * b AS n FROM (SELECT unnest(range(2, 200)) AS a) x, (SELECT unnest(range(2, 12000)) AS b) y WHERE a <= b AND a * b <= 20000),
         primes AS (SELECT p FROM (SELECT unnest(range(2, 20001)) AS p) x WHERE p NOT IN (SELECT n FROM comp)),
-        f AS (SELECT p_partkey AS n, p FROM part JOIN primes ON p_partkey % p = 0 JOIN (SELECT unnest(range(1, 16)) AS e) z ON p_partkey % CAST(pow(p, e) AS HUGEINT) = 0 WHERE p_partkey > 0),
+        f AS (SELECT p_partkey AS n, p FROM part JOIN primes ON p_partkey % p = 0 JOIN (SELECT unnest(range(1, 16)) AS e) z ON CASE WHEN pow(p, e) <= p_partkey THEN p_partkey % CAST(pow(p, e) AS BIGINT) = 0 ELSE false END WHERE p_partkey > 0),
         g AS (SELECT n, string_agg(CAST(p AS VARCHAR), '*' ORDER BY p) AS factors FROM f GROUP BY n)
         SELECT p_partkey AS n, CASE WHEN p_partkey > 0 THEN coalesce(g.factors, '') END AS factors, CASE WHEN p_partkey > 0 THEN true END AS whole FROM part LEFT JOIN g ON g.n = p_partkey""",
 }
