@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import ascii_lower, hash_words, released, slices, split_words, staged, words_column
+from cipherlake.llm.common import ascii_lower, discard, hash_words, released, slices, split_words, staged, words_column
 
 #: Words of a piece of an item at most.
 PIECE = 32
@@ -79,10 +79,10 @@ def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int64), np.frombuffer(b"".join(data), "<u4").astype(np.int64)
 
 
-def coded(docs: DataFrame, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def coded(docs: DataFrame, words: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((doc_id, codes): the word numbers of each whole text as unsigned 32-bit integers; (df): for each task its documents with each number, and their count).
 
-    Both are written to the shared folder once, for all passes.
+    Both are parts of one table, the third element, which is written to the shared folder once, for all passes.
     """
     held, size = docs.sparkSession.sparkContext.broadcast(words), len(words) + BUCKETS
 
@@ -104,7 +104,7 @@ def coded(docs: DataFrame, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     out = staged(docs.mapInArrow(released(run), "doc_id long, codes binary, df binary"), "codes")
-    return out.where("codes IS NOT NULL").select("doc_id", "codes"), out.where("df IS NOT NULL").select("df")
+    return out.where("codes IS NOT NULL").select("doc_id", "codes"), out.where("df IS NOT NULL").select("df"), out
 
 
 def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -465,7 +465,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6
         return spark.createDataFrame([], schema)
     words = np.sort(np.fromiter(hashed, np.uint64, len(hashed)))
     size = len(words) + BUCKETS
-    numbers, counts = coded(rows, words)
+    numbers, counts, written = coded(rows, words)
     n, df = document_frequencies(counts, size)
     idf = np.log((n + 1) / (df + 1)) + 0.05
     own = min(len(words), OWN)
@@ -501,7 +501,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6
         found = search(block)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("soft_share", "lcs_share", "latent", "cosine", (-F.col("first_word")).alias("first"), "end_word")).alias("x")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.cosine", "x.latent", "x.lcs_share", "x.soft_share", (-F.col("x.first")).alias("first_word"), "x.end_word")
+    found = staged(out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.cosine", "x.latent", "x.lcs_share", "x.soft_share", (-F.col("x.first")).alias("first_word"), "x.end_word"), "contamination")
+    discard(written, listed)  # the rows found are few; the numbers of all texts are not
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
