@@ -12,8 +12,11 @@ from cipherlake.llm.decontaminate import find_contamination
 from cipherlake.llm.imatch import imatch_fingerprints
 from cipherlake.llm.language import identify_languages, text_model
 from cipherlake.llm.licenses import scan_licenses
+from cipherlake.llm.merkle import manifest
 from cipherlake.llm.minhash import near_duplicates
 from cipherlake.llm.mixing import mix_sources
+from cipherlake.llm.simhash import simhash_duplicates
+from cipherlake.llm.spelling import spelling_variants
 from cipherlake.llm.token_counts import count_tokens
 from cipherlake.llm.token_shards import write_and_read
 from cipherlake.llm.toxicity import score_toxicity
@@ -72,6 +75,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), radius=4, k=4)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -84,4 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_simhash_near_dedup": op12_simhash_near_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
