@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -120,16 +121,41 @@ class Postings:
                 self.lists.setdefault(key, []).append(i)
 
     @staticmethod
-    def grams(word: str) -> list[tuple[str, int]]:
+    def grams(word: str) -> Iterator[tuple[str, int]]:
         padded = "\x00" * (Q - 1) + word + "\x00" * (Q - 1)
-        return [(padded[p : p + Q], p) for p in range(len(word) + Q - 1)]
+        return ((padded[p : p + Q], p) for p in range(len(word) + Q - 1))
 
     def near(self, word: str) -> list[int]:
-        """Numbers of the words one edit away: heap merge of the postings within the position limit, count filter, verification."""
-        same = len(word) == self.size
-        lists = [found for g, p in self.grams(word) for q in ((p,) if same else (p, p - 1)) if (found := self.lists.get((g, q)))]
+        """Numbers of the words one edit away.
+
+        A word that shares `least` of the grams shares one of any (all - least + 1) of them: the shortest lists are merged by a
+        heap, and what they hold is looked up in the longer ones until the count filter is met; then it is verified.
+        """
+        shifts = (0,) if len(word) == self.size else (0, 1)
         least = len(word) + Q - 1 - Q
-        return [i for i, run in groupby(heapq.merge(*lists)) if sum(1 for _ in run) >= least and one_edit(self.words[i], word)]
+        missing, shared = len(word) + Q - 1 - least, []
+        for g, p in self.grams(word):
+            lists = [found for d in shifts if (found := self.lists.get((g, p - d)))]
+            if lists:
+                shared.append(lists)
+            elif missing:
+                missing -= 1
+            else:
+                return []
+        shared.sort(key=lambda lists: sum(map(len, lists)))
+        split = len(shared) - least + 1
+        long = [found for lists in shared[split:] for found in lists]
+        out = []
+        for i, run in groupby(heapq.merge(*(found for lists in shared[:split] for found in lists))):
+            count = sum(1 for _ in run)
+            for found in long:
+                if count >= least:
+                    break
+                at = bisect_left(found, i)
+                count += at < len(found) and found[at] == i
+            if count >= least and one_edit(self.words[i], word):
+                out.append(i)
+        return out
 
 
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
