@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import staged
+from cipherlake.llm.common import discard, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         after = staged(small, "cc")
         same = after.join(edges, ["u", "v"], "left_semi").count()
         done = same == after.count() == edges.count()
+        discard(edges)
         edges = after
         if done:
             break

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -373,13 +373,16 @@ def latent_candidates(s: Searcher, offsets: np.ndarray, codes: np.ndarray, near:
 
 def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
     """Largest weight of a common subsequence of a and b; weight is that of each element of a."""
-    return aligned_weight(a[:, None] == b[None, :], weight)
+    return aligned_weight((b == x for x in a), weight, len(b))
 
 
-def aligned_weight(same: np.ndarray, weight: np.ndarray) -> float:
-    """Largest weight of a common subsequence where element i of one and j of the other agree by same[i, j], from 0 to 1."""
-    best = np.zeros(same.shape[1] + 1)
-    for x, w in zip(same, weight):
+def aligned_weight(rows: Iterable[np.ndarray], weight: np.ndarray, width: int) -> float:
+    """Largest weight of a common subsequence where element i of one and j of the other agree by the j-th number of row i, from 0 to 1.
+
+    Rows are taken one at a time, so an item and a region of any length need memory for one row only.
+    """
+    best = np.zeros(width + 1)
+    for x, w in zip(rows, weight):
         step = best.copy()
         hit = np.flatnonzero(x)
         step[hit + 1] = np.maximum(step[hit + 1], best[hit] + w * x[hit])
@@ -387,10 +390,13 @@ def aligned_weight(same: np.ndarray, weight: np.ndarray) -> float:
     return float(best[-1])
 
 
-def _alike(s: Searcher, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How far words stand for each other: 1 if equal, their cosine in the latent space from SYNONYM on, else 0."""
-    cosine = s.unit[s.row[a]] @ s.unit[s.row[b]].T
-    return np.where(a[:, None] == b[None, :], 1.0, np.where(cosine >= SYNONYM, cosine, 0.0))
+def _alike(s: Searcher, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """For each word of a, how far those of b stand for it: 1 if equal, their cosine in the latent space from SYNONYM on, else 0."""
+    distinct, place = np.unique(b, return_inverse=True)
+    of = s.unit[s.row[distinct]].T
+    for word in a:
+        cosine = s.unit[s.row[word]] @ of
+        yield np.where(distinct == word, 1.0, np.where(cosine >= SYNONYM, cosine, 0.0))[place]
 
 
 def _matches(s: Searcher, offsets: np.ndarray, codes: np.ndarray, share: float, sure: float, near: float) -> Iterator[tuple]:
@@ -424,7 +430,7 @@ def _matches(s: Searcher, offsets: np.ndarray, codes: np.ndarray, share: float,
             if got >= sure or got >= share and common_weight(last, there, w) >= 0.5 * w.sum():
                 yield t, k, cos, lat if lat >= 0 else None, got, got, int(lo - offsets[t]), int(hi - offsets[t])
             elif lat >= near and got >= EXACT:  # the answer in its own words, the rest may be reworded
-                soft = aligned_weight(_alike(s, words, there), weight) / weight.sum()
+                soft = aligned_weight(_alike(s, words, there), weight, len(there)) / weight.sum()
                 if soft >= share and common_weight(last, there, w) >= 0.5 * w.sum():
                     yield t, k, cos, lat, got, soft, int(lo - offsets[t]), int(hi - offsets[t])
 

@@ -90,16 +90,29 @@ def parse_expression(text: str) -> list | str | None:
 
 
 def evaluate(tree: list | str) -> tuple[set[str], float]:
-    """(labels, weight) of an expression: or takes the freest branch's weight, and the strictest, with an exception a fifth less."""
-    if isinstance(tree, str):
-        label = family(tree)
-        return {label}, WEIGHT.get(label, 0.5)
-    kind, a, b = tree
-    left, x = evaluate(a)
-    if kind == "with":
-        return left, 0.8 * x
-    right, y = evaluate(b)
-    return left | right, min(x, y) if kind == "or" else max(x, y)
+    """(labels, weight) of an expression: or takes the freest branch's weight, and the strictest, with an exception a fifth less.
+
+    Works on a stack of its own: a chain of operators is a tree as deep as it is long.
+    """
+    labels: set[str] = set()
+    values: list[float] = []
+    todo: list = [tree]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, tuple):  # an operator whose operands are done
+            kind = at[0]
+            if kind == "with":
+                values[-1] *= 0.8
+            else:
+                y, x = values.pop(), values.pop()
+                values.append(min(x, y) if kind == "or" else max(x, y))
+        elif isinstance(at, str):
+            label = family(at)
+            labels.add(label)
+            values.append(WEIGHT.get(label, 0.5))
+        else:
+            todo += [(at[0],), *([] if at[0] == "with" else [at[2]]), at[1]]
+    return labels, values[0]
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -137,9 +150,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 out = {k: [] for k in ("n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions")}
                 for i, t in enumerate(flat):
                     places, base, own, tagged, shown, weights = [], set(), set(), False, [], {}
+                    spaces = upto = 0
                     for end, (phrase, label, is_base) in found.iter(t):
                         if is_base:
-                            places.append(t.count(" ", 0, end - len(phrase)) - 1)
+                            spaces += t.count(" ", upto, end + 1)
+                            upto = end + 1
+                            places.append(spaces - 2 - phrase.count(" "))
                             base.add(label)
                         elif label:
                             own.add(label)

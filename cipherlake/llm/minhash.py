@@ -209,6 +209,11 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: Data
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = 3, bands: int = 9, seed: int = 11) -> DataFrame:
+    """The rows of `labelled`: doc_id, n_shingles, component_id, kept."""
+    return labelled(docs, percent, k, rows, bands, seed)[0]
+
+
+def labelled(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = 3, bands: int = 9, seed: int = 11) -> tuple[DataFrame, list[DataFrame]]:
     """For each row of docs (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word
@@ -226,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int =
     doc_id get component_id null and kept true. Repeated rows get the same result each; where two
     rows share a doc_id, kept holds for both if either text is in the component of that id.
     An empty table gives no rows; further columns are ignored. Expected miss of a single pair at
-    the threshold s: about 2 * (1 - s**rows)**bands.
+    the threshold s: about 2 * (1 - s**rows)**bands. The second value lists the staged tables from which the rows are read.
     """
     sig = staged(signatures(docs, rows, bands, k, seed), "sig")
     sets = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "n", "left", "right", "sketch")).alias("s"))
@@ -246,10 +251,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rows: int =
     # Several sets can share a doc_id only if ids repeat; sids are minima of disjoint sets otherwise.
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "set_hi", "set_lo").join(of.withColumnRenamed("component_id", "found"), ["set_hi", "set_lo"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), [sig, sets, labels]
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that near_duplicates does not keep; all columns stay, rows with a null doc_id too."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
+    found, used = labelled(docs, **options)
+    gone = staged(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    discard(*used)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from cipherlake.llm.common import WORD, staged
 
 #: Hash buckets in which a pattern's documents are ordered; only the bucket at the edge is ranked by document.
 BUCKETS = 4096
+#: Rows of a pattern whose counts are chosen anew where the seeded order misses the pattern's words, and steps of the sums of their sizes.
+EDGE, STEPS = 64, 1 << 22
 
 
 def target_tokens(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, most: float = 2.0) -> dict[str | None, float]:
@@ -85,6 +88,36 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int
     return [{s: cap[k ^ 1] for s, k in r if cap[k ^ 1]} for r in routes]
 
 
+def nearest_counts(sizes: list[int], usual: int, repeats: int, due: int, steps: int = STEPS) -> list[int]:
+    """A count from 0 to repeats for each size so that size * count adds up as near to due as any choice does (ties: to less).
+
+    Sums that can be reached are the bits of a whole number, a size after the other; going back through them, each size takes the
+    count nearest to `usual` from which the rest can still be reached. Sums of over `steps` words are counted in larger units.
+    """
+    unit = max(1, -(-repeats * sum(sizes) // steps))
+    units = [max(1, round(s / unit)) for s in sizes]
+    reached = [1]
+    for u in units:
+        now = reached[-1]
+        for _ in range(repeats):
+            now |= now << u
+            now |= reached[-1]
+        reached.append(now)
+    want, all_sums = max(0, round(due / unit)), reached[-1]
+    below = all_sums & ((1 << (want + 1)) - 1)
+    down = below.bit_length() - 1
+    above = all_sums >> (want + 1)
+    up = want + 1 + (above & -above).bit_length() - 1 if above else None
+    left = down if up is None or want - down <= up - want else up
+    order = sorted(range(repeats + 1), key=lambda c: (abs(c - usual), c))
+    out = []
+    for u, before in zip(reversed(units), reversed(reached[:-1])):
+        c = next(c for c in order if left >= c * u and before >> (left - c * u) & 1)
+        out.append(c)
+        left -= c * u
+    return out[::-1]
+
+
 def word_count(text: Column) -> Column:
     """Words of a whole text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -94,7 +127,7 @@ def word_count(text: Column) -> Column:
 BROADCAST_ROWS = 10_000
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None, broadcast_rows: int = BROADCAST_ROWS, edge_rows: int = EDGE) -> DataFrame:
     """A row for each row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, times, h (its seeded hash).
 
     size is the number of words (or the given column); members the array of sources that a row
@@ -104,7 +137,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     Rows with equal members form a pattern; the flow says how many tokens each pattern gives. Every
     full pass takes each row of the pattern once more; the rest of the last pass goes to rows in the
     order of a seeded hash of doc_id and text: each row is taken that fits what is still open, and
-    one that doesn't is passed over, so in the end no row left fits. taken = size * times; no row
+    one that doesn't is passed over, so in the end no row left fits. Where words are still open then, the counts of the pattern's
+    first `edge_rows` rows in that order (all rows of a small pattern) are chosen anew, from 0 to `repeats`, for the nearest sum (edge_rows 0: left as they are). taken = size * times; no row
     exceeds repeats * size. source_size and target are those of the row's first member.
 
     The driver holds one row a pattern and round, not a document; a round ends at a row that is
@@ -113,11 +147,11 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cycle: tuple[float, ...] =
     texts have size 0 and are never taken. Repeated rows are rows of their own. Reruns agree. An
     empty table gives no rows; further columns are ignored.
     """
-    out = _mix(docs, False, share, cycle, repeats, seed, size, members, broadcast_rows)
+    out = _mix(docs, False, share, cycle, repeats, seed, size, members, broadcast_rows, edge_rows)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "h")
 
 
-def _mix(docs: DataFrame, carry: bool, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _mix(docs: DataFrame, carry: bool, share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), repeats: int = 2, seed: int = 17, size: Column | None = None, members: Column | None = None, broadcast_rows: int = BROADCAST_ROWS, edge_rows: int = EDGE) -> DataFrame:
     """The rows of mix_sources; with carry each also holds the whole row of docs, as the struct `row`."""
     members = members if members is not None else F.array("source")
     rows = docs.select(
@@ -163,8 +197,27 @@ def _mix(docs: DataFrame, carry: bool, share: float = 1.5, cycle: tuple[float, .
     ended = spark.createDataFrame(rounds, f"pattern string, gap long, cut {at_type}").groupBy("pattern").agg(F.collect_list(F.struct("gap", "cut")).alias("rounds"))
     fits = F.exists("rounds", lambda r: (F.col("size") <= r["gap"]) & (r["cut"].isNull() | (F.col("at") < r["cut"])))
     out = rows.join(small(table), "pattern").join(small(ended), "pattern", "left").withColumn("extra", F.coalesce(fits, F.lit(False)).cast("long"))
-    times = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), "h", *(["row"] if carry else []))
+    out = out.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0).cast("long")))
+    again = staged(_edges(out, small(table.select("pattern", (F.col("passes") * F.col("pattern_size") + F.col("rest")).alias("due"))), repeats, edge_rows), "edges").withColumnRenamed("times", "chosen")
+    out = out.join(F.broadcast(again) if len(plan) * edge_rows <= broadcast_rows else again, "rid", "left").withColumn("times", F.coalesce("chosen", "times"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", "h", *(["row"] if carry else []))
+
+
+def _edges(out: DataFrame, due: DataFrame, repeats: int, edge: int) -> DataFrame:
+    """(rid, times): the counts of the first `edge` rows of each pattern whose rows don't take just what is due, chosen by nearest_counts."""
+    w = W.partitionBy("pattern")
+    per = out.groupBy("pattern", "bucket").agg(F.sum((F.col("size") > 0).cast("long")).alias("c"), F.sum(F.col("size") * F.col("times")).alias("t"))
+    per = per.select("pattern", "bucket", (F.sum("c").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"), F.sum("t").over(w).alias("got"))
+    open_ = per.where(F.col("before") < edge).join(due, "pattern").where("got <> due").select("pattern", "bucket", (F.col("due") - F.col("got")).alias("open"))
+    some = out.where("size > 0").select("pattern", "bucket", "at", "rid", "size", "times", "passes").join(open_, ["pattern", "bucket"])
+    some = some.withColumn("rank", F.row_number().over(w.orderBy("at"))).where(F.col("rank") <= edge).drop("at", "bucket")
+
+    def choose(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("rank")
+        total = int(t["open"].iloc[0] + (t["size"] * t["times"]).sum())
+        return pd.DataFrame({"rid": t["rid"], "times": nearest_counts(t["size"].tolist(), int(t["passes"].iloc[0]), repeats, total)})
+
+    return some.groupBy("pattern").applyInPandas(choose, "rid long, times long")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import fresh_path, read_parts, released, staged
+from cipherlake.llm.common import fresh_path, read_parts, released, slices, staged
 from cipherlake.llm.storage import AtomicFile, file_size, make_dir, open_file, read_file, write_file
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -173,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, captured:
     captured = captured if captured is not None else F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(secs=F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(315_360_000)))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
             data = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in data], pa.int64()), pa.array([payload_digest(x) for x in data])], names=[*batch.schema.names, "payload_bytes", "digest"])
 
@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, captured:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, out, entries = TaskContext.get().partitionId(), None, []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
             for page, url, html, stamp, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "stamp", "digest", "refers_to"))):
                 out = out or AtomicFile(f"{folder}/captures-{run:06d}.warc.gz")
                 when = datetime.strptime(stamp, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if stamp else "1970-01-01T00:00:00Z"

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cipherlake.llm import merkle, simhash, spelling
+from cipherlake.llm import licenses, merkle, mixing, simhash, spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, n int, tree string"
@@ -227,3 +228,69 @@ def test_places_are_numbered_without_gathering_a_tree(spark, tmp_path):
     for t in "ab":
         own = sorted((r for r in got if r.tree == t), key=lambda r: r.k)
         assert [r.pos for r in own] == list(range(len(own))) and {r.n for r in own} == {len(own)}
+
+
+# ---- licences: long expressions and many places
+
+
+def test_expression_of_very_many_operators():
+    for mark, weight in (("AND", 0.7), ("OR", 0.1)):
+        labels, got = licenses.evaluate(licenses.parse_expression(f" {mark} ".join(["MIT"] * 100_000 + ["GPL-2.0"])))
+        assert labels == {"mit", "gpl"} and got == weight
+    assert licenses.evaluate(licenses.parse_expression("(" * 50_000 + "MIT" + ")" * 50_000)) == ({"mit"}, 0.1)
+    labels, got = licenses.evaluate(licenses.parse_expression("GPL-2.0 WITH Classpath AND MIT OR Apache-2.0"))
+    assert labels == {"gpl", "mit", "apache"} and got == 0.1
+    assert licenses.evaluate(licenses.parse_expression("GPL-2.0 WITH Classpath")) == ({"gpl"}, 0.8 * 0.7)
+
+
+def test_text_of_very_many_places(spark):
+    began = time.time()
+    text = "word " + "cc by " * 200_000 + "general public license cc by all rights reserved"
+    chain = "SPDX-License-Identifier: " + " AND ".join(["MIT"] * 20_000)
+    a, b = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, chain)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (a.n_words, a.n_base, a.first_word, a.last_word) == (400_009, 200_003, 1, 400_006) and a.base_labels == "cc-by,gpl,reserved"
+    assert b.n_base == 0 and b.labels == "mit" and time.time() - began < 30
+
+
+# ---- mixing: small sources near their targets, and the cost of the flow
+
+
+def test_nearest_counts_against_all_choices():
+    g = random.Random(3)
+    for _ in range(200):
+        sizes, due = [g.randint(1, 40) for _ in range(g.randint(1, 6))], g.randint(0, 300)
+        sums = [0]
+        for s in sizes:
+            sums = [x + c * s for x in sums for c in range(3)]
+        got = mixing.nearest_counts(sizes, 1, 2, due)
+        assert all(0 <= c <= 2 for c in got) and abs(sum(c * s for c, s in zip(got, sizes)) - due) == min(abs(x - due) for x in sums)
+    assert mixing.nearest_counts([10**7] * 60 + [1], 1, 2, 6 * 10**8 + 1)[:60] == [1] * 60
+
+
+def test_small_sources_come_near_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mixing.mix_sources(docs).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert 0 <= r.times <= 2 and r.taken == r.size * r.times
+        by[r.source].append(r)
+    for own in by.values():
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(1, min(r.size for r in own if r.size))
+    assert sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def test_cost_of_the_flow_against_all_flows():
+    g = random.Random(8)
+    for _ in range(40):
+        patterns = [(m, g.randint(1, 3)) for m in [("a",), ("b",), ("a", "b")]]
+        quotas = {"a": g.randint(0, 6), "b": g.randint(0, 6)}
+        best = None
+        for x in range(2 * patterns[0][1] + 1):
+            for y in range(2 * patterns[1][1] + 1):
+                for z in range(2 * patterns[2][1] + 1):
+                    for v in range(2 * patterns[2][1] - z + 1):
+                        if x + z <= quotas["a"] and y + v <= quotas["b"]:
+                            cost = sum(max(0, t - n) for t, (_, n) in zip((x, y, z + v), patterns))
+                            best = max(best or (-1, 0), (x + y + z + v, -cost))
+        taken = [sum(f.values()) for f in mixing.min_cost_flow(patterns, quotas)]
+        assert (sum(taken), -sum(max(0, t - n) for t, (_, n) in zip(taken, patterns))) == best
