@@ -33,15 +33,15 @@ def handshake(header: Column) -> Column:
     return F.struct(number(header, 0, 1).alias("kind"), number(header, 1, 3).alias("length"))
 
 
-def server_hello(body: Column, most: int = 32) -> Column:
-    """struct(version, session_id, suite, compression, extensions) of a ServerHello body; up to `most` extensions as struct(kind, length), read until the list's own length is used up."""
+def server_hello(body: Column) -> Column:
+    """struct(version, session_id, suite, compression, extensions) of a ServerHello body; extensions as struct(kind, length), all that the list's own length holds."""
     session = number(body, 34, 1).cast("int")
     after = session + 35
     start = after + 5
     end = start + F.coalesce(number(body, after + 3, 2), F.lit(0)).cast("int")
     empty = F.array().cast("array<struct<kind: bigint, length: bigint>>")
     walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), ((end - start) / 4).cast("int"))),  # an extension has four bytes at least
         F.struct(start.alias("at"), empty.alias("found")),
         lambda s, _: F.when(
             s["at"] + 4 <= end,

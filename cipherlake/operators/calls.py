@@ -33,8 +33,10 @@ def first_match(code: Column, language: Column) -> Column:
     """Ordinal of the first row of the language's table that the line calls, null where none does."""
     out = F.lit(None).cast("int")
     for name, rows in apis.BY_LANGUAGE.items():
-        found = F.array_min(F.array_compact(F.array(*(F.when(code.rlike("(?d)" + _pattern(name, m, f)), F.lit(i)) for i, (m, f, *_) in enumerate(rows)))))
-        out = F.when(language == name, found).otherwise(out)
+        patterns = ["(?d)" + _pattern(name, m, f) for m, f, *_ in rows]
+        found = F.coalesce(*(F.when(code.rlike(p), F.lit(i)) for i, p in enumerate(patterns)))
+        # Most lines call nothing: one test of all patterns goes before the single ones.
+        out = F.when((language == name) & code.rlike("|".join(f"(?:{p})" for p in patterns)), found).otherwise(out)
     return out
 
 
@@ -69,8 +71,9 @@ def scan_calls(lines: DataFrame) -> DataFrame:
 
     A string argument that names an algorithm gives algorithm and severity; the category stays the call's.
     """
-    rows = lines.withColumn("code", lex.code_only(F.col("text"), F.col("language")))
-    rows = rows.withColumn("_at", first_match(F.col("code"), F.col("language"))).where("_at IS NOT NULL")
+    # An exploded array of one is a barrier: without it the optimizer copies the comment stripper into every pattern's test.
+    rows = lines.withColumn("code", F.explode(F.array(lex.code_only(F.col("text"), F.col("language")))))
+    rows = rows.withColumn("_at", F.explode(F.array_compact(F.array(first_match(F.col("code"), F.col("language"))))))
     for i, name in ((2, "algorithm"), (3, "severity"), (4, "category")):
         rows = rows.withColumn(name, _row(F.col("language"), F.col("_at"), i))
     argument = F.nullif(F.regexp_extract("code", ARGUMENT, 1), F.lit(""))

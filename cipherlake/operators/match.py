@@ -17,17 +17,20 @@ def matches(code: Column, language: Column, patterns: list[tuple] | None = None)
     out = None
     for lang, tests in by_language.items():
         found = F.array_compact(F.array(*tests))
-        out = F.when(language == lang, found) if out is None else out.when(language == lang, found)
+        # Most lines hold nothing: one test of all patterns goes before the single ones.
+        some = (language == lang) & code.rlike("(?iud)" + "|".join(f"(?:{p})" for name, p, *_ in patterns or dims.PATTERNS if name == lang))
+        out = F.when(some, found) if out is None else out.when(some, found)
     return out.otherwise(F.array().cast("array<int>"))
 
 
 def scan_lines(lines: DataFrame, patterns: list[tuple] | None = None) -> DataFrame:
     """Findings of (language, text, ...) lines: comments stripped, one row for each matching pattern, suppressions marked.
 
-    No regex join: patterns are constants of the plan, and what they say is looked up in constant arrays.
+    No regex join: patterns are constants of the plan, and what they say is looked up in constant arrays. Comments are stripped
+    once a line: an exploded array of one keeps the optimizer from copying the stripper into every test.
     """
     patterns = patterns or dims.PATTERNS
-    found = lines.withColumn("code", lex.code_only(F.col("text"), F.col("language"))).withColumn("ord", F.explode(matches(F.col("code"), F.col("language"), patterns)))
+    found = lines.withColumn("code", F.explode(F.array(lex.code_only(F.col("text"), F.col("language"))))).withColumn("ord", F.explode(matches(F.col("code"), F.col("language"), patterns)))
     of = lambda k: F.get(F.array(*(F.lit(p[k]) for p in patterns)), F.col("ord"))
     found = found.withColumns({"algorithm": of(2), "severity": of(3), "category": of(4)})
     return found.withColumn("snippet", lex.snippet(F.col("text"))).withColumn("suppressed", lex.suppressed(F.col("text"), F.col("algorithm"))).drop("code", "text")

@@ -113,9 +113,8 @@ def _rows(sources: DataFrame, schema: str, kinds: list[pa.DataType], each: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = each(path, content)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
+            rows = [(path, *r) for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for r in each(path, content)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.string(), *kinds])], names=names)
 
     return sources.select("path", "content").mapInArrow(run, f"path string, {schema}")
 
@@ -127,4 +126,4 @@ def scan_sources(sources: DataFrame) -> DataFrame:
 
 def edges_of(sources: DataFrame) -> DataFrame:
     """(path, caller, callee) of (path, content) rows; the module is the file's name without its extension."""
-    return _rows(sources, "caller string, callee string", [pa.string(), pa.string()], lambda p, c: call_edges(p.rsplit("/", 1)[-1].rsplit(".", 1)[0], c))
+    return _rows(sources, "caller string, callee string", [pa.string(), pa.string()], lambda p, c: call_edges((p or "").rsplit("/", 1)[-1].rsplit(".", 1)[0], c))

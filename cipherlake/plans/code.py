@@ -11,6 +11,7 @@ from cipherlake import apis, dims
 from cipherlake.operators import calls, graph, pyast
 from cipherlake.plans import corpus
 from cipherlake.plans.frames import ctes
+from cipherlake.sources.staging import staged
 
 
 def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,20 +61,20 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
+    edges = staged(_edges(spark, sf_dir), "edges")
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return one(graph.nodes(edges), "nodes").join(one(edges, "edges"), F.lit(True)).join(one(graph.sinks(edges, apis.SINKS), "sinks"), F.lit(True))
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shortest chain from an entry point to each sink; an entry point that is a sink itself has none."""
-    edges = _edges(spark, sf_dir)
+    edges = staged(_edges(spark, sf_dir), "edges")  # sources are parsed once, however many jobs read the edges
     paths = graph.shortest_paths(edges, graph.entry_points(edges, apis.ENTRY_NAMES), 10)
     return paths.where("depth > 0").join(graph.sinks(edges, apis.SINKS), "node").select("node", "algorithm", "depth", "path")
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
+    edges = staged(_edges(spark, sf_dir), "edges")  # sources are parsed once, however many jobs read the edges
     paths = graph.shortest_paths(edges, graph.entry_points(edges, apis.ENTRY_NAMES), 10)
     return graph.sinks(edges, apis.SINKS).join(paths.where("depth > 0").select("node"), "node", "left_anti").select("node")
 
@@ -166,8 +167,8 @@ _LAYERS = """WITH edges AS (SELECT DISTINCT 'n' || l_linenumber || '_' || (l_sup
 
 SQL: dict[str, str] = {
     "ast_findings": _TREE + " SELECT l.path, l.line, t.algorithm, t.severity, t.category FROM lines l JOIN tree t ON t.text = l.text WHERE l.language = 'Python'",
-    "ast_merge": ctes("findings") + ", " + _values("tree", "text, algorithm, severity, category", TREE) + """ SELECT l.path, l.line, t.algorithm FROM lines l JOIN tree t ON t.text = l.text WHERE l.language = 'Python'
-        AND NOT EXISTS (SELECT 1 FROM findings f WHERE NOT f.suppressed AND f.path = l.path AND f.line = l.line AND f.algorithm = t.algorithm)""",
+    "ast_merge": ctes("findings") + ", " + _values("tree", "text, algorithm, severity, category", TREE) + """ SELECT l.path, l.line, t.algorithm FROM lines l JOIN tree t ON t.text = l.text
+        LEFT JOIN (SELECT DISTINCT path, line, algorithm FROM findings WHERE NOT suppressed) f ON f.path = l.path AND f.line = l.line AND f.algorithm = t.algorithm WHERE l.language = 'Python' AND f.path IS NULL""",
     "call_findings": ctes("lines") + ", " + _values("called", "language, text, algorithm, severity, category", CALLED) + " SELECT language, text, algorithm, severity, category, count(*) AS n, count(DISTINCT file) AS files FROM lines JOIN called USING (language, text) GROUP BY ALL",
     "callgraph_python_edges": _FUNCTIONS + " SELECT caller, callee FROM edges",
     "callgraph_python_entries": _FUNCTIONS + " SELECT node FROM entries",

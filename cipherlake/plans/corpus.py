@@ -36,8 +36,18 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("project", F.col("l_orderkey").alias("file"), "line", "language", "ext", path.alias("path"), "text", F.col("l_returnflag").alias("flag"))
 
 
-#: Where the findings of a table folder were written by this application: reports read what one scan wrote.
-_SCANNED: dict[tuple[str, str], tuple[str, StructType]] = {}
+#: Where the findings of a table folder were written by this application: reports read what one scan wrote, as long as the tables are the same files.
+_SCANNED: dict[tuple[str, str], tuple[tuple, str, StructType]] = {}
+
+
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of each file of a table, by any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +56,13 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of scan(), scanned and written once an application and read by every report after that."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _SCANNED:
-        path, schema = _SCANNED[key]
+    """The rows of scan(), scanned and written once an application and read by every report after that; scanned anew if a file of the tables has changed."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), tuple(files_of(spark, f"{sf_dir}/lineitem.parquet") + files_of(spark, f"{sf_dir}/orders.parquet"))
+    if key in _SCANNED and _SCANNED[key][0] == state:
+        _, path, schema = _SCANNED[key]
         at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return spark.read.schema(schema).parquet(path)
     out = staged(scan(spark, sf_dir), "findings")
-    _SCANNED[key] = (out.staged_at, out.schema)
+    _SCANNED[key] = (state, out.staged_at, out.schema)
     return out

@@ -49,7 +49,7 @@ def _gates(as_of: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.gate_conditions(_open(spark, sf_dir), AS_OF).where("condition <> 'qars_80'").select("project", "gate", "condition", "actual", "passed")
+    return scoring.gate_conditions(_open(spark, sf_dir), AS_OF).select("project", "gate", "condition", "actual", "passed")
 
 
 def _countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +129,14 @@ SQL: dict[str, str] = {
     "readiness_overdue": _READY_TABLES + _ready(OVERDUE) + " " + _GRADES,
     "gate_results": _READY_TABLES + _ready(AS_OF) + _risk(0.4, 0.8) + _overall("1.15") + " " + _GATES,
     "gate_results_overdue": _READY_TABLES + _ready(OVERDUE) + _risk(0.4, 0.8) + _overall("1.15") + " " + _GATES,
-    "gate_conditions": _READY_TABLES + _ready(AS_OF) + """ SELECT project, 'pqc-ready' AS gate, 'no_shor' AS condition, CAST(shor AS VARCHAR) AS actual, shor <= 0 AS passed FROM ready
+    "gate_conditions": _READY_TABLES + _ready(AS_OF) + _risk(0.4, 0.8) + _overall("1.15") + """ SELECT project, 'pqc-ready' AS gate, 'no_shor' AS condition, CAST(shor AS VARCHAR) AS actual, shor <= 0 AS passed FROM ready
         UNION ALL SELECT project, 'pqc-ready', 'grade_c', grade, grade IN ('C', 'B', 'A', 'A+') FROM ready
         UNION ALL SELECT project, 'pqc-ready', 'no_overdue', CAST(overdue AS VARCHAR), overdue <= 0 FROM ready
         UNION ALL SELECT project, 'no-critical', 'no_crit', CAST(criticals AS VARCHAR), criticals <= 0 FROM ready
         UNION ALL SELECT project, 'cnsa-compliant', 'no_overdue', CAST(overdue AS VARCHAR), overdue <= 0 FROM ready
         UNION ALL SELECT project, 'cnsa-compliant', 'no_non_compliant', CAST(violations AS VARCHAR), violations <= 0 FROM ready
-        UNION ALL SELECT project, 'migration-safe', 'grade_f', grade, grade <> 'F' FROM ready""",
+        UNION ALL SELECT project, 'migration-safe', 'grade_f', grade, grade <> 'F' FROM ready
+        UNION ALL SELECT project, 'migration-safe', 'qars_80', CAST(floor(q * 10 + 0.5) / 10 AS VARCHAR), floor(q * 10 + 0.5) / 10 < 80 FROM graded""",
     "compliance_rows": ctes("findings", "compliance", "deadlines") + _OPEN + f""", c AS (SELECT project, algorithm, count(*) AS n, min(pos) AS first_at FROM o GROUP BY project, algorithm),
         j AS (SELECT c.project, m.framework, c.algorithm, m.status, c.n, c.first_at, CASE WHEN d.deadline IS NULL THEN m.deadline_key ELSE d.deadline || ' (' || m.deadline_key || ')' END AS deadline,
             date_diff('day', DATE '{AS_OF}', CAST(d.deadline AS DATE)) AS days FROM c JOIN compliance m ON m.algorithm = c.algorithm LEFT JOIN deadlines d ON d.deadline_key = m.deadline_key)
