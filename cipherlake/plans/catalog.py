@@ -14,7 +14,7 @@ from cipherlake.functions import bits, lex
 from cipherlake.operators.graph import shortest_levels
 from cipherlake.operators.limiter import accepts
 from cipherlake.operators.match import scan_rules
-from cipherlake.plans import code, corpus, dependencies, merged, protocols, reports, scans, scoring, texts
+from cipherlake.plans import code, corpus, dependencies, merged, protocols, reports, scans, scoring, structure, texts
 from cipherlake.plans.frames import ORACLE_FRAMES
 from cipherlake.streaming import continuous
 
@@ -252,7 +252,7 @@ OWN = {
 
 
 #: Modules with queries and SQL of their own.
-MODULES = [dependencies, scoring, code, merged, texts, reports, scans, protocols]
+MODULES = [dependencies, scoring, code, structure, merged, texts, reports, scans, protocols]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
