@@ -6,7 +6,8 @@ one line an occurrence, so no document grows with the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cipherlake import dims
@@ -126,3 +127,52 @@ def context(lines: DataFrame, findings: DataFrame, around: int = 15) -> DataFram
 def import_section(lines: DataFrame, first: int = 50) -> DataFrame:
     """(path, line, text): import lines among a file's first lines."""
     return lines.where(F.col("line") <= first).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.col("text").rlike(r"^(import |from |require\(|use |using |require |#include|package )")).select("path", "line", "text")
+
+
+def _with_rules(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, findings with their rule's index and whether they are the first of all): algorithms numbered by the first place at which each is seen.
+
+    There are as many rules as algorithms in the pattern tables, whatever the number of findings.
+    """
+    first = findings.groupBy("algorithm").agg(F.min(F.struct("path", "line", "ord")).alias("first_at"))
+    rules = first.select("algorithm", "first_at", (F.row_number().over(W.orderBy("first_at")) - 1).cast("long").alias("rule_index"))
+    rows = findings.join(rules, "algorithm")
+    return rules, rows.withColumn("leads", (F.col("rule_index") == 0) & (F.struct("path", "line", "ord") == F.col("first_at")))
+
+
+def _frame(spark: SparkSession, head: DataFrame, body: DataFrame, foot: str) -> DataFrame:
+    """Text rows of a document in its order: kind 0 head, 1 body by (path, line, ord), 2 foot."""
+    none = [F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), F.lit(0).alias("ord")]
+    last = spark.range(1).select(F.lit(2).alias("kind"), *none, F.lit(foot).alias("text"))
+    return head.select(F.lit(0).alias("kind"), *none, "text").unionByName(body.select(F.lit(1).alias("kind"), "path", "line", "ord", "text")).unionByName(last)
+
+
+def scan_sarif(findings: DataFrame) -> DataFrame:
+    """Text rows (kind, path, line, ord, text) of one SARIF 2.1.0 document for all findings, a result a line; see sources.documents for writing it.
+
+    Rule indices hold for the whole scan. A scan without findings gives a document without rules and results.
+    """
+    spark = findings.sparkSession
+    rules, rows = _with_rules(findings)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "algorithm"))), lambda r: F.struct(F.concat(F.lit("PQC-"), r["algorithm"]).alias("id"), r["algorithm"].alias("name")))
+    head = rules.agg(F.to_json(listed).alias("rules")).select(F.concat(F.lit('{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"cipherlake","rules":'), "rules", F.lit('}},"results":[')).alias("text"))
+    region = F.struct(F.col("line").alias("startLine"), F.struct(F.col("snippet").alias("text")).alias("snippet"))
+    place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
+    result = F.struct(F.concat(F.lit("PQC-"), "algorithm").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level(F.col("severity")).alias("level"), F.struct(F.concat("algorithm", F.lit(" found")).alias("text")).alias("message"), place.alias("locations"))
+    return _frame(spark, head, rows.withColumn("text", F.concat(F.when(F.col("leads"), "").otherwise(","), F.to_json(result))), "]}]}")
+
+
+def scan_json(findings: DataFrame) -> DataFrame:
+    """Text rows of one JSON document for all findings: their number by severity, then a finding a line."""
+    counts = F.struct(*(F.coalesce(F.sum((F.col("severity") == s).cast("long")), F.lit(0).cast("long")).alias(s) for s in SEVERITIES))
+    head = findings.agg(F.concat(F.lit('{"summary":'), F.to_json(counts), F.lit(',"findings":[')).alias("text"))
+    one = F.to_json(F.struct("path", "line", "ord", "algorithm", "severity", "category", "snippet"))
+    return _frame(findings.sparkSession, head, _with_rules(findings)[1].withColumn("text", F.concat(F.when(F.col("leads"), "").otherwise(","), one)), "]}")
+
+
+def scan_text(findings: DataFrame) -> DataFrame:
+    """Text rows of one report for all findings under a heading a severity, worst first; kind orders headings and what stands below them."""
+    none = [F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), F.lit(0).alias("ord")]
+    heads = findings.groupBy("severity").agg(F.count("*").alias("n")).select((2 * rank(F.col("severity"))).cast("int").alias("kind"), *none, F.concat(F.lit("["), "severity", F.lit("] "), F.col("n").cast("string")).alias("text"))
+    body = F.concat(F.lit("  "), "algorithm", F.lit(" at "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), "snippet")
+    return heads.unionByName(findings.select((2 * rank(F.col("severity")) + 1).cast("int").alias("kind"), "path", "line", "ord", body.alias("text")))

@@ -12,6 +12,8 @@ from cipherlake import dims
 from cipherlake.operators import reports
 from cipherlake.plans import corpus
 from cipherlake.plans.frames import ctes
+from cipherlake.sources import documents
+from cipherlake.sources.staging import fresh_path
 
 
 def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,26 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("scan_id"), reports.csv_line(*cols).alias("line"))
 
 
+def _written(document: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The lines of a document of the whole scan, written in sorted parts and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = fresh_path(spark, "document")
+        documents.write_parts(document(_open(spark, sf_dir)), folder)
+        return documents.read_parts(spark, folder)
+
+    return run
+
+
+def _sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of the scan's one SARIF document, parsed from what was written."""
+    lines = _written(reports.scan_sarif)(spark, sf_dir).where("text LIKE '%\"ruleIndex\"%'")
+    kind = "struct<ruleId: string, ruleIndex: bigint, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: bigint, snippet: struct<text: string>>>>>>"
+    r = lines.select(F.from_json(F.regexp_replace("text", "^,", ""), kind).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return r.select(place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line"), F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"), place["region"]["snippet"]["text"].alias("snippet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_reports": lambda spark, sf_dir: reports.json_reports(_open(spark, sf_dir)),
     "sarif_documents": lambda spark, sf_dir: reports.sarif_documents(_open(spark, sf_dir)),
@@ -63,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_text": _context,
     "import_section": lambda spark, sf_dir: reports.import_section(corpus.source_lines(spark, sf_dir)),
     "csv_lines": _csv,
+    "scan_sarif_results": _sarif_results,
+    "scan_json_document": _written(reports.scan_json),
+    "scan_text_report": _written(reports.scan_text),
     "strict_replacements": lambda spark, sf_dir: dims.frame(spark, "replacements").select("algorithm", reports.upgraded(F.col("replacement")).alias("replacement")),
 }
 
@@ -80,6 +105,12 @@ SQL: dict[str, str] = {
         results AS (SELECT o.path, list({{'ruleId': 'PQC-' || o.algorithm, 'ruleIndex': i.idx, 'level': {_LEVEL}, 'message': {{'text': o.algorithm || ' found'}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': o.path}}, 'region': {{'startLine': line, 'snippet': {{'text': snippet}}}}}}}}]}} ORDER BY line, ord) AS results
           FROM o JOIN i ON i.path = o.path AND i.algorithm = o.algorithm GROUP BY o.path)
         SELECT path, CAST(to_json({{'version': '2.1.0', 'runs': [{{'tool': {{'driver': {{'name': 'cipherlake', 'rules': rules}}}}, 'results': results}}]}}) AS VARCHAR) AS document FROM rules JOIN results USING (path)""",
+    "scan_sarif_results": ctes("findings") + _OPEN + f""", r AS (SELECT algorithm, row_number() OVER (ORDER BY path, line, ord) - 1 AS rule_index FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY path, line, ord) AS k FROM o) WHERE k = 1)
+        SELECT path, line, 'PQC-' || algorithm AS rule_id, rule_index, {_LEVEL} AS level, snippet FROM o JOIN r USING (algorithm)""",
+    "scan_json_document": ctes("findings") + _OPEN + """, k AS (SELECT *, row_number() OVER (ORDER BY path, line, ord) AS place FROM o)
+        SELECT CASE WHEN place = 1 THEN '' ELSE ',' END || CAST(to_json({'path': path, 'line': line, 'ord': ord, 'algorithm': algorithm, 'severity': severity, 'category': category, 'snippet': snippet}) AS VARCHAR) AS text FROM k
+        UNION ALL SELECT '{"summary":' || CAST(to_json({'CRITICAL': count(*) FILTER (severity = 'CRITICAL'), 'HIGH': count(*) FILTER (severity = 'HIGH'), 'MEDIUM': count(*) FILTER (severity = 'MEDIUM'), 'LOW': count(*) FILTER (severity = 'LOW'), 'INFO': count(*) FILTER (severity = 'INFO')}) AS VARCHAR) || ',"findings":[' FROM o UNION ALL SELECT ']}'""",
+    "scan_text_report": ctes("findings") + _OPEN + " SELECT '  ' || algorithm || ' at ' || path || ':' || line || ': ' || snippet AS text FROM o UNION ALL SELECT '[' || severity || '] ' || count(*) FROM o GROUP BY severity",
     "cbom_documents": ctes("findings", "cbom", "classical_bits", "replacements") + _OPEN + """, c AS (SELECT project, algorithm, count(*) AS n FROM o GROUP BY project, algorithm),
         d AS (SELECT c.*, b.primitive, b.family, k.bits, r.replacement FROM c LEFT JOIN cbom b USING (algorithm) LEFT JOIN classical_bits k USING (algorithm) LEFT JOIN replacements r USING (algorithm))
         SELECT project, CAST(to_json({'bomFormat': 'CycloneDX', 'specVersion': '1.7', 'serialNumber': 'urn:hash:' || md5(CAST(project AS VARCHAR) || ':' || CAST(sum(n) AS VARCHAR)), 'components': list({'name': algorithm, 'type': 'cryptographic-asset', 'ref': 'crypto-' || replace(replace(lower(algorithm), '/', '-'), ' ', '-'),
