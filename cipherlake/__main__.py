@@ -11,28 +11,34 @@ from pyspark.sql import functions as F
 from cipherlake import dims
 from cipherlake.operators import reports, scoring
 from cipherlake.operators.match import scan_lines, scan_rules
-from cipherlake.sources import files, manifests
+from cipherlake.sources import baseline, documents, files, manifests
 from cipherlake.sources.rules import find_rules
+from cipherlake.sources.staging import discard, fresh_path, remove_path, staged
 
 SEVERITIES = [s[0] for s in dims.SEVERITIES]
-#: Reports by name: functions from findings to (path, report).
-REPORTS = {
-    "json": reports.json_reports,
-    "text": reports.text_reports,
-    "sarif": lambda f: reports.sarif_documents(f).withColumnRenamed("document", "report"),
-}
+#: Documents of a whole scan by name.
+REPORTS = {"json": reports.scan_json, "text": reports.scan_text, "sarif": reports.scan_sarif}
+COLUMNS = ["path", "ext", "language", "line", "ord", "algorithm", "severity", "category", "snippet"]
 
 
-def scan(spark: SparkSession, path: str, severity: str = "LOW", ignore: list[str] | None = None) -> DataFrame:
-    """Findings below a path by the patterns, the built-in rules and the users' rules, from a severity on; suppressed ones are left out."""
-    lines = files.lines_of(files.walk(spark, path, ignore=ignore))
-    columns = ["path", "ext", "language", "line", "ord", "algorithm", "severity", "category", "snippet"]
-    found = scan_lines(lines).where("NOT suppressed").select(columns)
-    rules = [*dims.RULES, *find_rules(path.removeprefix("file://"))]
-    ruled = scan_rules(lines, rules).withColumn("ord", F.col("rule_ord") + 1000).withColumn("snippet", F.substring(F.trim("text"), 1, 120)).select(columns)
+def located(path: str) -> str:
+    return path if "://" in path else f"file://{path}"
+
+
+def scan(spark: SparkSession, path: str, ignore: list[str] | None = None) -> DataFrame:
+    """Findings below a path by the patterns, the built-in rules and the users' rules; suppressed ones are left out.
+
+    Built-in rules add what the patterns do not report at a place; the users' rules add all that they find. Globs of the folder's
+    ignore file count beside those given.
+    """
+    ignore = [*(ignore or []), *files.ignore_patterns(spark, located(path).rstrip("/") + "/.pqcignore")]
+    lines = files.lines_of(files.walk(spark, located(path), ignore=ignore))
+    found = scan_lines(lines).where("NOT suppressed").select(COLUMNS)
+    ruled = lambda rules, first: scan_rules(lines, rules).withColumns({"ord": F.col("rule_ord") + first, "snippet": F.substring(F.trim("text"), 1, 120)}).select(COLUMNS)
     keys = ["path", "line", "algorithm"]
-    both = found.unionByName(ruled.dropDuplicates(keys).join(found.select(keys).distinct(), keys, "left_anti").select(columns))
-    return both.where(reports.rank(F.col("severity")) <= SEVERITIES.index(severity) + 1).withColumn("project", F.lit(0).cast("long"))
+    found = found.unionByName(ruled(dims.RULES, 1000).dropDuplicates(keys).join(found.select(keys).distinct(), keys, "left_anti").select(COLUMNS))
+    own = find_rules(path.removeprefix("file://"))
+    return (found.unionByName(ruled(own, 2000)) if own else found).withColumn("project", F.lit(0).cast("long"))
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -40,34 +46,43 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("command", choices=["scan", "deps"])
     p.add_argument("path")
     p.add_argument("--format", choices=sorted(REPORTS), default="text")
-    p.add_argument("--severity", choices=SEVERITIES, default="LOW")
+    p.add_argument("--severity", choices=SEVERITIES, default="LOW", type=str.upper, help="least severity that is reported")
+    p.add_argument("--baseline", help="JSON document of an earlier scan: only what is new since is reported")
     p.add_argument("--ignore", action="append", default=[])
-    p.add_argument("--output", help="folder for the reports; they are printed without it")
-    p.add_argument("--gate", choices=sorted({g[0] for g in dims.GATES}))
+    p.add_argument("--output", help="file for the report; it is printed without one")
+    p.add_argument("--gate", choices=sorted({g[0] for g in dims.GATES}), help="judges all findings, reported or not")
     p.add_argument("--as-of", default=None, help="date of judgement, today by default")
     a = p.parse_args(arguments)
     spark = SparkSession.builder.appName("cipherlake").getOrCreate()
-    path = a.path if "://" in a.path else f"file://{a.path}"
     if a.command == "deps":
-        rows = manifests.crypto_dependencies(manifests.dependencies(manifests.read_manifests(spark, path))).orderBy("path", "line", "package")
+        rows = manifests.crypto_dependencies(manifests.dependencies(manifests.read_manifests(spark, located(a.path)))).orderBy("path", "line", "package")
         n = 0
         for r in rows.toLocalIterator():
             n += 1
             print(f"{r.path}:{r.line} {r.package} {r.version or ''} {r.risk}")
         return int(n > 0)
-    found = scan(spark, path, a.severity, a.ignore).cache()
-    made = REPORTS[a.format](found)
+    every = staged(scan(spark, a.path, a.ignore), "scan")
+    found = every.where(reports.rank(F.col("severity")) <= SEVERITIES.index(a.severity) + 1)
+    if a.baseline:
+        status = baseline.compare(found, baseline.read_baseline(spark, located(a.baseline)), located(a.path))
+        counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
+        print("Baseline: " + ", ".join(f"{counts.get(s, 0)} {s}" for s in ("new", "existing", "fixed")))
+        found = status.where("status = 'new'").drop("status")  # of staged findings: comparing twice costs little
+    folder = fresh_path(spark, "report")
+    documents.write_parts(REPORTS[a.format](found), folder)
     if a.output:
-        made.write.mode("overwrite").json(a.output if "://" in a.output else f"file://{a.output}")
+        documents.merge_parts(spark, folder, located(a.output))
     else:
-        for r in made.orderBy("path").toLocalIterator():
-            print(r.path + "\n" + r.report if a.format == "text" else r.report)
+        for r in documents.read_parts(spark, folder).toLocalIterator():
+            print(r.text)
+    remove_path(spark, folder)
     counts = {r.severity: r["count"] for r in found.groupBy("severity").count().collect()}
     if a.gate:
         as_of = a.as_of or spark.sql("SELECT string(current_date())").first()[0]
-        judged = scoring.gate_results(found.withColumns({"file": F.col("path"), "description": F.col("snippet")}), as_of, [a.gate]).collect() if counts else []
+        judged = scoring.gate_results(every.withColumns({"file": F.col("path"), "description": F.col("snippet")}), as_of, [a.gate]).collect()
         if not all(r.passed for r in judged):
             return 3
+    discard(every)
     return 2 if counts.get("CRITICAL") else int(bool(counts))
 
 

@@ -42,8 +42,20 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
-    """Globs of an ignore file: its lines that are neither blank nor comments."""
-    return [r.value.strip() for r in spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')").collect()]
+    """Globs of an ignore file: its lines that are neither blank nor comments; none where there is no such file.
+
+    Read by the file system itself, as Spark's readers pass over files whose name begins with a dot.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    stream = system.open(at)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [line.strip() for line in text.split("\n") if line.strip() and not line.strip().startswith("#")]
 
 
 def requirements(lines: DataFrame) -> DataFrame:
