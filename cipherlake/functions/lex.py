@@ -100,7 +100,7 @@ def fingerprint(path: Column, line: Column, algorithm: Column, category: Column)
     return F.concat_ws(":", path, line.cast("string"), algorithm, category)
 
 
-#: The reference's secret patterns, in its order; a key block goes up to its end line where there is one.
+#: Secret patterns that must match, in their order; a key block goes up to its end line where there is one.
 SECRETS = [
     r"-----BEGIN[^-]*-----(?:[\s\S]*?-----END[^-]*-----)?",
     r"""(?i)(password|passwd|pwd)\s*[:=]\s*["'][^"']+["']""",

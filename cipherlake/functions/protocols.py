@@ -12,7 +12,7 @@ SUITES = [
 ]
 GROUPS = [(0x0017, "secp256r1"), (0x0018, "secp384r1"), (0x0019, "secp521r1"), (0x001D, "x25519"), (0x001E, "x448"), (0x0100, "ffdhe2048"), (0x0101, "ffdhe3072"), (0x6399, "X25519Kyber768Draft00"), (0x639A, "SecP256r1Kyber768Draft00"), (0x4588, "X25519MLKEM768")]
 SSH_TYPES = [("ssh-rsa", "RSA", True), ("ssh-dss", "DSA", True), ("ecdsa-sha2-nistp256", "ECDSA-P256", True), ("ecdsa-sha2-nistp384", "ECDSA-P384", True), ("ecdsa-sha2-nistp521", "ECDSA-P521", True), ("ssh-ed25519", "Ed25519", True), ("ssh-ed448", "Ed448", True), ("sntrup761x25519-sha512@openssh.com", "SNTRUP761+X25519", False), ("sk-ssh-ed25519@openssh.com", "Ed25519-SK", True)]
-#: Weight of a finding's risk in the system score.
+#: Weight of a finding's risk in the system score.
 WEIGHTS = {"CRITICAL": 0, "HIGH": 25, "MEDIUM": 60, "SAFE": 100, "INFO": 80}
 
 
