@@ -91,7 +91,7 @@ def _overall(factor: str) -> str:
     graded AS (SELECT project, q, CASE WHEN q < 20 THEN 'A' WHEN q < 40 THEN 'B' WHEN q < 60 THEN 'C' WHEN q < 80 THEN 'D' ELSE 'F' END AS grade FROM overall)"""
 
 
-def _ready(as_of: str) -> str:
+def ready_sql(as_of: str) -> str:
     return f""", marked AS (SELECT o.*, algorithm IN (SELECT algorithm FROM ready_shor) AS is_shor, algorithm IN (SELECT algorithm FROM ready_grover) AS is_grover,
         TRY_CAST(regexp_extract(snippet, 'key_size=([^) ]*)', 1) AS BIGINT) AS size FROM o),
     counted AS (SELECT project, count(*) AS total, count(*) FILTER (is_shor) AS shor, count(*) FILTER (is_grover) AS grover, count(*) FILTER (severity = 'CRITICAL') AS criticals,
@@ -111,7 +111,7 @@ def _ready(as_of: str) -> str:
 
 _R1 = "floor({0} * 10 + 0.5) / 10"
 _READY_TABLES = ctes("findings", "ready_shor", "ready_grover", "compliance", "deadlines", "base_risk", "size_risk") + _OPEN
-_GRADES = f"SELECT project, shor, grover, overdue, urgent, violations, {_R1.format('a')} AS algorithm_score, {_R1.format('k')} AS key_score, {_R1.format('f')} AS compliance_score, {_R1.format('score')} AS score, grade FROM ready"
+READY_GRADES = f"SELECT project, shor, grover, overdue, urgent, violations, {_R1.format('a')} AS algorithm_score, {_R1.format('k')} AS key_score, {_R1.format('f')} AS compliance_score, {_R1.format('score')} AS score, grade FROM ready"
 _GATES = """SELECT project, 'pqc-ready' AS gate, shor = 0 AND grade NOT IN ('F', 'D') AND overdue = 0 AS passed FROM ready
     UNION ALL SELECT project, 'no-critical', criticals = 0 FROM ready
     UNION ALL SELECT project, 'cnsa-compliant', overdue = 0 AND violations = 0 FROM ready
@@ -124,12 +124,12 @@ SQL: dict[str, str] = {
     "qars_overall": _RISK_TABLES + _risk(0.4, 0.8) + _overall("1.15") + " SELECT project, floor(q * 1000 + 0.5) / 1000 AS qars, grade FROM graded",
     "qars_restricted": _RISK_TABLES + _risk(1.0, 1.0) + _overall("1.5") + " SELECT project, floor(q * 1000 + 0.5) / 1000 AS qars, grade FROM graded",
     "highest_risk_algo": _RISK_TABLES + _risk(0.4, 0.8) + ", ranked AS (SELECT project, algorithm, row_number() OVER (PARTITION BY project ORDER BY floor(risk * 1000000 + 0.5) DESC, first_at) AS k FROM risk) SELECT project, algorithm FROM ranked WHERE k = 1",
-    "readiness_grade": _READY_TABLES + _ready(AS_OF) + " " + _GRADES,
-    "readiness_urgent": _READY_TABLES + _ready(URGENT) + " " + _GRADES,
-    "readiness_overdue": _READY_TABLES + _ready(OVERDUE) + " " + _GRADES,
-    "gate_results": _READY_TABLES + _ready(AS_OF) + _risk(0.4, 0.8) + _overall("1.15") + " " + _GATES,
-    "gate_results_overdue": _READY_TABLES + _ready(OVERDUE) + _risk(0.4, 0.8) + _overall("1.15") + " " + _GATES,
-    "gate_conditions": _READY_TABLES + _ready(AS_OF) + _risk(0.4, 0.8) + _overall("1.15") + """ SELECT project, 'pqc-ready' AS gate, 'no_shor' AS condition, CAST(shor AS VARCHAR) AS actual, shor <= 0 AS passed FROM ready
+    "readiness_grade": _READY_TABLES + ready_sql(AS_OF) + " " + READY_GRADES,
+    "readiness_urgent": _READY_TABLES + ready_sql(URGENT) + " " + READY_GRADES,
+    "readiness_overdue": _READY_TABLES + ready_sql(OVERDUE) + " " + READY_GRADES,
+    "gate_results": _READY_TABLES + ready_sql(AS_OF) + _risk(0.4, 0.8) + _overall("1.15") + " " + _GATES,
+    "gate_results_overdue": _READY_TABLES + ready_sql(OVERDUE) + _risk(0.4, 0.8) + _overall("1.15") + " " + _GATES,
+    "gate_conditions": _READY_TABLES + ready_sql(AS_OF) + _risk(0.4, 0.8) + _overall("1.15") + """ SELECT project, 'pqc-ready' AS gate, 'no_shor' AS condition, CAST(shor AS VARCHAR) AS actual, shor <= 0 AS passed FROM ready
         UNION ALL SELECT project, 'pqc-ready', 'grade_c', grade, grade IN ('C', 'B', 'A', 'A+') FROM ready
         UNION ALL SELECT project, 'pqc-ready', 'no_overdue', CAST(overdue AS VARCHAR), overdue <= 0 FROM ready
         UNION ALL SELECT project, 'no-critical', 'no_crit', CAST(criticals AS VARCHAR), criticals <= 0 FROM ready
