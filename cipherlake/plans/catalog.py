@@ -14,7 +14,7 @@ from cipherlake.functions import bits, lex
 from cipherlake.operators.graph import shortest_levels
 from cipherlake.operators.limiter import accepts
 from cipherlake.operators.match import scan_rules
-from cipherlake.plans import certificates, code, corpus, dependencies, fixes, merged, paths, protocols, reports, scans, scoring, streams, structure, texts
+from cipherlake.plans import certificates, code, corpus, dependencies, fixes, kernels, merged, paths, protocols, reports, scans, scoring, streams, structure, texts
 from cipherlake.plans.frames import ORACLE_FRAMES
 from cipherlake.streaming import continuous
 
@@ -252,7 +252,7 @@ OWN = {
 
 
 #: Modules with queries and SQL of their own.
-MODULES = [certificates, dependencies, fixes, scoring, code, structure, merged, texts, reports, scans, protocols, streams, paths]
+MODULES = [certificates, dependencies, fixes, scoring, code, structure, merged, texts, reports, scans, protocols, streams, paths, kernels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
