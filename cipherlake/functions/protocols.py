@@ -33,6 +33,13 @@ def handshake(header: Column) -> Column:
     return F.struct(number(header, 0, 1).alias("kind"), number(header, 1, 3).alias("length"))
 
 
+def handshakes(headers: Column) -> Column:
+    """struct(kind, length) of one message or several: the first kind, and the sum of the lengths of all four-byte headers in a row; null for null."""
+    count = F.floor(F.length(headers) / 4).cast("int")
+    each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: handshake(F.substring(headers, i * 4 + 1, F.lit(4))))
+    return F.struct(each[0]["kind"].alias("kind"), F.aggregate(each, F.lit(0).cast("long"), lambda s, h: s + h["length"]).alias("length"))
+
+
 def server_hello(body: Column) -> Column:
     """struct(version, session_id, suite, compression, extensions) of a ServerHello body; extensions as struct(kind, length), all that the list's own length holds."""
     session = number(body, 34, 1).cast("int")

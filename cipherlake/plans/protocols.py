@@ -28,8 +28,11 @@ def _hellos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _handshakes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    rows = corpus.table(spark, sf_dir, "events").select("event_id", p.handshake(F.unhex(F.concat(_hex(e % 256, 1), _hex(e * 7, 3)))).alias("h"))
+    """Headers of seven times the event's id in bytes: what doesn't fit into a message of three length bytes goes into further ones."""
+    e, most = F.col("event_id"), (1 << 24) - 1
+    kind, full = _hex(e % 256, 1), F.floor(e * 7 / most).cast("int")
+    headers = F.concat(F.repeat(F.concat(kind, F.lit("FFFFFF")), full), kind, _hex(e * 7 % most, 3))
+    rows = corpus.table(spark, sf_dir, "events").select("event_id", p.handshakes(F.unhex(headers)).alias("h"))
     return rows.select("event_id", "h.kind", "h.length")
 
 
