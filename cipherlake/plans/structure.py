@@ -107,7 +107,7 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _structure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.edges(*structure.calls_and_functions(staged(programs(spark, sf_dir), "programs")))
+    return structure.edges(*structure.calls_and_functions(programs(spark, sf_dir)))
 
 
 #: Text of a line by the part's key: A and B name variables, Q is a number.
