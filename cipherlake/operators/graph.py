@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.sources.staging import staged
@@ -14,7 +14,7 @@ def shortest_levels(edges: DataFrame, starts: DataFrame, max_depth: int = 10) ->
     edges(caller, callee) are distinct; each level joins only the frontier, and anti-joins what is
     already reached, so no node is expanded twice however many paths lead to it.
     """
-    edges = staged(edges, "edges")
+    edges = edges if hasattr(edges, "staged_at") else staged(edges, "edges")
     reached = frontier = staged(starts.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "level")
     for depth in range(1, max_depth + 1):
         frontier = frontier.join(edges, frontier.node == edges.caller).select(F.col("callee").alias("node")).distinct().join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
@@ -31,7 +31,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) ->
     Breadth-first levels as in shortest_levels: the smallest path to a node extends the smallest path
     to a node before it, so a level keeps one path a node whatever the number of paths.
     """
-    edges = staged(edges, "edges")
+    edges = edges if hasattr(edges, "staged_at") else staged(edges, "edges")
     reached = frontier = staged(starts.select("node").distinct().withColumns({"depth": F.lit(0).cast("long"), "path": F.col("node")}), "level")
     for depth in range(1, max_depth + 1):
         ahead = frontier.join(edges, frontier.node == edges.caller).groupBy(F.col("callee").alias("to")).agg(F.min(F.concat("path", F.lit(">"), "callee")).alias("path"))
@@ -44,20 +44,26 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) ->
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("caller").alias("node")).union(edges.select("callee")).distinct()
+    """(node, called), distinct by node: whether anything calls it. The edges are read once."""
+    end = lambda c, called: F.struct(F.col(c).alias("node"), F.lit(called).alias("called"))
+    return edges.select(F.explode(F.array(end("caller", False), end("callee", True))).alias("n")).groupBy("n.node").agg(F.max("n.called").alias("called"))
 
 
 def entry_points(edges: DataFrame, names: list[str]) -> DataFrame:
     """Nodes that nothing calls, and those with one of the names in theirs."""
-    free = nodes(edges).join(edges.select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
-    by_name = nodes(edges).where(F.lower("node").rlike("|".join(n.replace(".", "\\.") for n in names)))
-    return free.union(by_name).distinct()
+    by_name = F.lower("node").rlike("|".join(n.replace(".", "\\.") for n in names))
+    return nodes(edges).where(~F.col("called") | by_name).select("node")
+
+
+def _named(patterns: list[tuple[str, str]]) -> Column:
+    return F.coalesce(*(F.when(F.col("node").contains(p), F.lit(a)) for p, a in patterns))
 
 
 def sinks(edges: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """(node, algorithm) of the nodes whose name holds a pattern; the first pattern wins."""
-    found = F.coalesce(*(F.when(F.col("node").contains(p), F.lit(a)) for p, a in patterns))
-    return nodes(edges).withColumn("algorithm", found).where("algorithm IS NOT NULL")
+    # What is no sink by its name is left out before the nodes are made distinct.
+    ends = edges.select(F.explode(F.array("caller", "callee")).alias("node"))
+    return ends.withColumn("algorithm", _named(patterns)).where("algorithm IS NOT NULL").distinct()
 
 
 def sinks_with_findings(edges: DataFrame, patterns: list[tuple[str, str]], findings: DataFrame) -> DataFrame:
@@ -67,6 +73,5 @@ def sinks_with_findings(edges: DataFrame, patterns: list[tuple[str, str]], findi
     """
     known = sorted({a for _, a in patterns})
     last = findings.where(F.col("algorithm").isin(known)).groupBy("module").agg(F.max_by(F.struct("algorithm", "file", "line"), F.struct("file", "line", "ord")).alias("f"))
-    of = nodes(edges).withColumn("module", F.split("node", "\\.")[0]).join(last, "module").select("node", "f")
-    named = sinks(edges, patterns).withColumnRenamed("algorithm", "named")
-    return named.join(of, "node", "full").select("node", F.coalesce("f.algorithm", "named").alias("algorithm"), "f.file", "f.line")
+    rows = nodes(edges).select("node", F.split("node", "\\.")[0].alias("module"), _named(patterns).alias("named")).join(last, "module", "left")
+    return rows.where("f IS NOT NULL OR named IS NOT NULL").select("node", F.coalesce("f.algorithm", "named").alias("algorithm"), "f.file", "f.line")

@@ -33,8 +33,13 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("l_orderkey").agg(body.alias("content")).select(F.concat(F.lit("src/m"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"), "content")
 
 
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of each file, not yet distinct over all: enough for what is distinct by node."""
+    return pyast.edges_of(modules(spark, sf_dir)).select("caller", "callee")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pyast.edges_of(modules(spark, sf_dir)).select("caller", "callee").distinct()
+    return _called(spark, sf_dir).distinct()
 
 
 def _ast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +58,11 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.entry_points(_edges(spark, sf_dir), apis.ENTRY_NAMES)
+    return graph.entry_points(_called(spark, sf_dir), apis.ENTRY_NAMES)
 
 
 def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.sinks(_edges(spark, sf_dir), apis.SINKS)
+    return graph.sinks(_called(spark, sf_dir), apis.SINKS)
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def _crypto_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by name and by the findings of their module, of modules and their syntax tree findings."""
     sources = modules(spark, sf_dir)
     found = pyast.scan_sources(sources).select(F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("module"), "algorithm", F.col("path").alias("file"), "line", F.col("nth").alias("ord"))
-    edges = pyast.edges_of(sources).select("caller", "callee").distinct()
+    edges = pyast.edges_of(sources).select("caller", "callee")
     return graph.sinks_with_findings(edges, apis.SINKS, found)
 
 
