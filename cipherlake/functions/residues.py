@@ -10,8 +10,13 @@ from cipherlake.functions.ciphers import gcd, power_mod
 WIDE = "decimal(38,0)"
 
 
-def _steps(n: int) -> Column:
-    return F.sequence(F.lit(1), F.lit(n))
+def _steps(n: Column) -> Column:
+    """1 to n, one step at least."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), n))
+
+
+def _bits(n: Column) -> Column:
+    return F.length(F.bin(n.cast("long")))
 
 
 def jacobi(a: Column, n: Column) -> Column:
@@ -23,7 +28,8 @@ def jacobi(a: Column, n: Column) -> Column:
         swapped = F.struct((s["n"] % F.when(s["a"] == 0, 1).otherwise(s["a"])).alias("a"), s["a"].alias("n"), F.when((s["a"] % 4 == 3) & (s["n"] % 4 == 3), -s["t"]).otherwise(s["t"]).alias("t"))
         return F.when(s["a"] == 0, s).when(s["a"] % 2 == 0, halved).otherwise(swapped)
 
-    done = F.aggregate(_steps(128), start, step, lambda s: F.when(s["n"] == 1, s["t"]).otherwise(0))
+    # A step at least halves the product of both numbers.
+    done = F.aggregate(_steps(2 * _bits(n)), start, step, lambda s: F.when(s["n"] == 1, s["t"]).otherwise(0))
     return F.when((n > 0) & (n % 2 == 1), done)
 
 
@@ -35,7 +41,8 @@ def inverse(a: Column, modulus: Column) -> Column:
         q = F.floor(s["r"] / F.when(s["next"] == 0, 1).otherwise(s["next"])).cast("long")
         return F.when(s["next"] == 0, s).otherwise(F.struct(s["next"].alias("r"), (s["r"] - q * s["next"]).alias("next"), s["y"].alias("x"), (s["x"] - q * s["y"]).alias("y")))
 
-    return F.aggregate(_steps(48), start, step, lambda s: F.when(s["r"] == 1, F.pmod(s["x"], modulus)))
+    # Two divisions at least halve a remainder, after one or two that put both numbers in order.
+    return F.aggregate(_steps(2 * _bits(modulus) + 2), start, step, lambda s: F.when(s["r"] == 1, F.pmod(s["x"], modulus)))
 
 
 def crt(remainders: Column, moduli: Column) -> Column:
@@ -62,8 +69,8 @@ def perfect_power(n: Column) -> Column:
 
     def root(k: Column) -> Column:
         base = F.round(F.pow(whole, 1.0 / k)).cast("long")
-        power = F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda p, _: p * base)
-        return F.when((base > 1) & (power == whole), F.struct(base.alias("base"), k.alias("exponent")))
+        # Powers of whole numbers are exact where a double holds them, and none below 2**53 is left out.
+        return F.when((base > 1) & (F.pow(base.cast("double"), k.cast("double")) == whole), F.struct(base.alias("base"), k.alias("exponent")))
 
     found = F.array_compact(F.transform(F.sequence(F.lit(52), F.lit(2)), root))
     return F.when((n >= 4) & (n < 2**53), F.get(found, F.lit(0)))

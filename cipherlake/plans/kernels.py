@@ -41,7 +41,7 @@ def _residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p * 7919 + F.col("p_size")
     odd = F.get(F.array(*map(F.lit, ODD)), (p % len(ODD)).cast("int"))
     power = residues.perfect_power(p * p)
-    return corpus.table(spark, sf_dir, "part").select("p_partkey", residues.jacobi(p, odd).alias("jacobi"), residues.crt(F.array(*(x % m for m in MODULI)), F.array(*map(F.lit, MODULI))).cast("long").alias("joined"), (power["exponent"] >= 2).alias("power"))
+    return corpus.spread(corpus.table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", residues.jacobi(p, odd).alias("jacobi"), residues.crt(F.array(*(x % m for m in MODULI)), F.array(*map(F.lit, MODULI))).cast("long").alias("joined"), (power["exponent"] >= 2).alias("power"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"ring_products": _products, "ctr_round_trip": _ctr, "residues": _residues}
