@@ -59,7 +59,7 @@ def _system(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents put between and inside comments of each family; what is left of them without comments."""
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "'\"#<>=\\/", "").alias("t"))
+    docs = corpus.spread(corpus.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.translate(F.coalesce("text", F.lit("")), "'\"#<>=\\/", "").alias("t"))
     line = F.regexp_replace("t", r"\n", " ")
     quotes = F.concat(F.lit('a = 1\nb = """'), "t", F.lit("\nx\"\"\"\nc = r'''"), line, F.lit("'''\nd = 2"))
     ruby = F.concat(F.lit("a = 1\n=begin\n"), "t", F.lit("\n=end\nb = 2"))
