@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cipherlake.sources.staging import staged
+from cipherlake.sources.staging import discard, staged
 
 
 def placed(rows: DataFrame, *keys: str, name: str = "place") -> DataFrame:
     """rows with their place from 1 by the keys (nulls first); rows equal in all keys take their places in any order.
 
-    Rows are written in ranges of the keys, each range is numbered by itself and shifted by the sizes of
-    those before it. What one task orders without a split is the list of ranges.
+    Rows are written once, so that the ranges are drawn from what was written, then sorted in ranges of the keys and
+    written with their number in the range, which is shifted by the sizes of those before it. Of each range
+    one number is broadcast; what one task orders without a split is the list of ranges.
     """
-    ranges = staged(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "placed")
-    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    given = staged(rows, "unplaced")
+    # An identifier holds the range above bit 33 and the row's number in it below.
+    ranges = staged(given.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    discard(given)
+    of = F.shiftright("_at", 33)
+    sizes = ranges.groupBy(of.alias("_range")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifted = ranges.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
-    number = F.row_number().over(W.partitionBy("_range").orderBy(*keys))
-    return shifted.withColumn(name, F.col("_before") + number).drop("_range", "_n", "_before")
+    shifted = ranges.withColumn("_range", of).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return shifted.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_range", "_at", "_before")
