@@ -65,17 +65,21 @@ def deadlines(findings: DataFrame, as_of: str) -> DataFrame:
 
 def readiness(findings: DataFrame, as_of: str) -> DataFrame:
     """(project, shor, grover, findings, overdue, urgent, violations, algorithm_score, key_score, compliance_score, score, grade), score unrounded."""
-    rows = findings.join(_table(findings, "ready_shor").withColumn("is_shor", F.lit(1)), "algorithm", "left").join(_table(findings, "ready_grover").withColumn("is_grover", F.lit(1)), "algorithm", "left")
     size = key_size(F.col("description"))
     rsa = F.col("algorithm") == "RSA"
     loss = F.when(rsa & (size < 2048), 30).when(rsa & (size < 4096), 10).otherwise(0) + F.when(F.upper("description").contains("ECB"), 15).otherwise(0) + F.when(F.col("category") == "certificate", 5).otherwise(0)
+    # Findings are read once: all else depends on the algorithms that a project has.
+    rows = findings.groupBy("project", "algorithm").agg(F.count("*").alias("n"), F.sum(loss).alias("loss"), F.sum((F.col("severity") == "CRITICAL").cast("long")).alias("criticals"))
+    listed = _table(findings, "compliance").select(F.lit(0).alias("project"), "algorithm")
+    late = deadlines(listed, as_of).groupBy("algorithm").agg(*(F.sum(c.cast("long")).alias(n) for n, c in (("overdue", F.col("urgency") == "OVERDUE"), ("urgent", F.col("urgency") == "URGENT"), ("violations", F.col("status") == "NON-COMPLIANT"))))
+    rows = rows.join(_table(findings, "ready_shor").withColumn("is_shor", F.lit(1)), "algorithm", "left").join(_table(findings, "ready_grover").withColumn("is_grover", F.lit(1)), "algorithm", "left").join(F.broadcast(late), "algorithm", "left")
     has = lambda a: F.max((F.col("algorithm") == a).cast("int"))
+    many = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), F.lit(0).cast("long"))
     per = rows.groupBy("project").agg(
-        F.count("*").alias("findings"), F.count("is_shor").alias("shor"), F.count("is_grover").alias("grover"), F.sum(loss).alias("loss"),
-        has("MD5").alias("md5"), has("RC4").alias("rc4"), has("3DES").alias("des3"), F.sum((F.col("severity") == "CRITICAL").cast("long")).alias("criticals"),
+        F.sum("n").alias("findings"), many("is_shor").alias("shor"), many("is_grover").alias("grover"), F.sum("loss").alias("loss"),
+        has("MD5").alias("md5"), has("RC4").alias("rc4"), has("3DES").alias("des3"), F.sum("criticals").alias("criticals"),
+        *(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("overdue", "urgent", "violations")),
     )
-    late = deadlines(findings, as_of).groupBy("project").agg(*(F.sum(c.cast("long")).alias(n) for n, c in (("overdue", F.col("urgency") == "OVERDUE"), ("urgent", F.col("urgency") == "URGENT"), ("violations", F.col("status") == "NON-COMPLIANT"))))
-    per = per.join(late, "project", "left").fillna(0, ["overdue", "urgent", "violations"])
     zero = F.lit(0.0)
     algorithm = F.when((F.col("shor") == 0) & (F.col("grover") == 0), 100.0).when(F.col("shor") == 0, F.greatest(zero, 70.0 - F.col("grover") * 3)).otherwise(F.greatest(zero, 40.0 - F.col("shor") / F.col("findings") * 40 - F.col("grover") * 2))
     key = F.greatest(zero, 100.0 - F.col("loss") - F.col("md5") * 20 - F.col("rc4") * 20 - F.col("des3") * 10)
