@@ -57,6 +57,8 @@ def backward_slices(lines: DataFrame, targets: DataFrame) -> DataFrame:
         hits = near.join(known, ["path", "now", "block"]).where((F.col("at") < F.col("here")) & (F.col("at") >= F.col("here") - WINDOW))
         hits = hits.where((F.col("form") != 3) | ~F.array_contains("met", F.col("value")))
         last = hits.groupBy("path", "line", "var").agg(F.max_by(F.struct("at", "form", "value", "value_type", "confidence", "met"), "at").alias("e")).select("path", "line", "var", "e.*")
+        # Written, as the next pass and the result both read it: else each pass would run all those before it anew.
+        last = staged(last, "resolved")
         done = last.where("form <> 3").select("path", "line", "var", F.when(F.col("form") != 5, F.col("value")).alias("value"), "value_type", F.col("at").alias("source_line"), "confidence")
         found = done if found is None else found.unionByName(done)
         open_ = last.where("form = 3").select("path", "line", "var", F.col("at").alias("here"), F.col("value").alias("now"), F.concat("met", F.array("value")).alias("met"))

@@ -122,7 +122,8 @@ def scripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for mark, value in (("@A", F.col("l_orderkey") % 4), ("@B", (F.col("l_partkey") + F.col("l_linenumber")) % 4), ("@Q", F.col("l_quantity").cast("long"))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
     path = F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".py"))
-    rows = items.select(path.alias("path"), "line", text.alias("text"), F.concat(F.lit("v"), (F.col("l_linenumber") % 4).cast("string")).alias("var"))
+    # Both tables are read from what is numbered and written once.
+    rows = staged(items.select(path.alias("path"), "line", text.alias("text"), F.concat(F.lit("v"), (F.col("l_linenumber") % 4).cast("string")).alias("var")), "scripts")
     return rows.select("path", "line", "text"), rows.select("path", "line", "var")
 
 
