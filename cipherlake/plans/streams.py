@@ -34,13 +34,17 @@ def _call_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 
 
 def _limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    """Each micro-batch opens the stores of all state partitions and starts Python for them: two a core are enough, whatever a shuffle of rows needs."""
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    held = {name: spark.conf.get(name) for name in names}
     limits.use_state_lists(spark)
+    spark.conf.set(names[1], min(int(held[names[1]]), 2 * spark.sparkContext.defaultParallelism))
     try:
         calls, delay = _call_stream(spark, sf_dir)
         judged = continuous.run_once(limits.accepts_stream(calls, LIMIT, WINDOW, delay), "append")
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+        for name in names:
+            spark.conf.set(name, held[name])
     return judged.groupBy("key").agg(F.count("*").alias("calls"), F.sum(F.col("accepted").cast("long")).alias("accepted"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,19 +19,19 @@ def use_state_lists(spark: SparkSession) -> None:
 
 
 class _Limiter(StatefulProcessor):
-    """State of a key: calls that the watermark has not passed, times of the last accepted calls, and the time of the next look."""
+    """State of a bucket of keys: calls that the watermark has not passed, times of the last accepted calls, and the time of the next look."""
 
     def __init__(self, limit: int, window_seconds: float) -> None:
         self._limit, self._window = limit, int(window_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "at long, id long")
-        self._kept = handle.getListState("kept", "at long")
+        self._waiting = handle.getListState("waiting", "key long, at long, id long")
+        self._kept = handle.getListState("kept", "key long, at long")
         self._next = handle.getValueState("next", "ms long")
 
     def _look_at(self, earliest: int) -> None:
-        """One timer a key: an earlier call moves it forward."""
+        """One timer a bucket: an earlier call moves it forward."""
         ms, held = -(-earliest // 1000), self._next.get() if self._next.exists() else None
         if held is not None and held[0] <= ms:
             return
@@ -43,10 +44,10 @@ class _Limiter(StatefulProcessor):
         earliest, passed = None, timerValues.getCurrentWatermarkInMs() * 1000
         for part in rows:
             at = part["ts"].astype("datetime64[us]").astype("int64")
-            kept = part["id"].notna() & (at > passed)
+            kept = part["call"] & (at > passed)
             part, at = part[kept], at[kept]
             if len(part):
-                self._waiting.appendList([(int(a), int(i)) for a, i in zip(at, part["id"])])
+                self._waiting.appendList(list(zip(part["key"].tolist(), at.tolist(), part["id"].tolist())))
                 earliest = int(at.min()) if earliest is None else min(earliest, int(at.min()))
         if earliest is not None:
             self._look_at(earliest)
@@ -54,25 +55,31 @@ class _Limiter(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((r[0], r[1]) for r in self._waiting.get())
-        ready = [r for r in waiting if r[0] <= passed]
-        kept, accepted = [r[0] for r in self._kept.get()], []
-        for at, _ in ready:
-            kept = [k for k in kept if k >= at - self._window]
-            accepted.append(len(kept) < self._limit)
+        waiting = [(r[0], r[1], r[2]) for r in self._waiting.get()]
+        ready, rest = sorted(r for r in waiting if r[1] <= passed), [r for r in waiting if r[1] > passed]
+        times: dict[int, deque[int]] = {}
+        for of, at in sorted((r[0], r[1]) for r in self._kept.get()):
+            times.setdefault(of, deque()).append(at)
+        accepted = []
+        for of, at, _ in ready:
+            held = times.setdefault(of, deque())
+            while held and held[0] < at - self._window:
+                held.popleft()
+            accepted.append(len(held) < self._limit)
             if accepted[-1]:
-                kept.append(at)
+                held.append(at)
         self._next.clear()
-        rest = waiting[len(ready) :]
         self._put(self._waiting, rest)
         # The next call is later than the watermark, so times that left its window can go.
-        self._put(self._kept, [(k,) for k in kept if k >= passed - self._window])
+        kept = [(of, at) for of, held in times.items() for at in held if at >= passed - self._window]
+        self._put(self._kept, kept)
         if rest:
-            self._look_at(rest[0][0])
-        elif kept and kept[-1] >= passed - self._window:
-            self._look_at(kept[-1] + self._window + 1000)
+            self._look_at(min(r[1] for r in rest))
+        elif kept:
+            self._look_at(max(at for _, at in kept) + self._window + 1000)
         if ready:
-            yield pd.DataFrame({"key": pd.array([int(key[0]) if key[0] else None] * len(ready), "Int64"), "id": [r[1] for r in ready], "t": [r[0] / 1e6 for r in ready], "accepted": accepted})
+            keys, at, ids = zip(*ready)
+            yield pd.DataFrame({"key": pd.array([None] * len(ready) if key[0] == NO_KEY else keys, "Int64"), "id": ids, "t": [a / 1e6 for a in at], "accepted": accepted})
 
     @staticmethod
     def _put(state, rows: list[tuple]) -> None:
@@ -85,7 +92,11 @@ class _Limiter(StatefulProcessor):
         pass
 
 
-def accepts_stream(calls: DataFrame, limit: int, window_seconds: float, late: str) -> DataFrame:
+#: Bucket of the calls without a key.
+NO_KEY = -1
+
+
+def accepts_stream(calls: DataFrame, limit: int, window_seconds: float, late: str, buckets: int = 1024) -> DataFrame:
     """(key, id, t, accepted) for a stream of calls (key long, id long, ts timestamp), in append mode.
 
     A call is judged once the watermark has passed it, so calls that come up to `late` out of order
@@ -93,7 +104,11 @@ def accepts_stream(calls: DataFrame, limit: int, window_seconds: float, late: st
     micro-batch are dropped. A row with a null id is
     no call and only moves the watermark (the heartbeat of an idle source). What is held of a key is its
     calls above the watermark and at most `limit` accepted times, and nothing once they have left the window.
+
+    Keys share the state of a bucket, as each look at a state costs far more than the few calls of a key; a task
+    holds the calls of one bucket at a time. Null keys are a bucket and a key of their own.
     """
-    # Null keys are one key of their own; grouped as they are, they would pass for others.
-    rows = calls.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "id", "ts").withWatermark("ts", late)
-    return rows.groupBy("name").transformWithStateInPandas(_Limiter(limit, window_seconds), "key long, id long, t double, accepted boolean", "Append", "EventTime")
+    bucket = F.when(F.col("key").isNull(), F.lit(NO_KEY)).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("int")
+    no = F.lit(0).cast("long")  # nulls would turn numbers into floats on their way to pandas
+    rows = calls.select(bucket.alias("bucket"), F.coalesce("key", no).alias("key"), F.coalesce("id", no).alias("id"), F.col("id").isNotNull().alias("call"), "ts").withWatermark("ts", late)
+    return rows.groupBy("bucket").transformWithStateInPandas(_Limiter(limit, window_seconds), "key long, id long, t double, accepted boolean", "Append", "EventTime")
