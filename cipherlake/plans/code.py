@@ -16,7 +16,7 @@ from cipherlake.sources.staging import staged
 
 def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of the derived corpus' Python files; a file has a few lines."""
-    lines = corpus.source_lines(spark, sf_dir).where("language = 'Python'")
+    lines = corpus.source_lines(spark, sf_dir, "Python")
     return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
 
 
