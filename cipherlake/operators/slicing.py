@@ -1,14 +1,18 @@
-"""Backward slices: the last assignment of a variable before a line, through aliases, as an as-of join bounded by a window of lines."""
+"""Backward slices: the last assignment of a variable before a line, through aliases, in one pass over the sorted lines of blocks of a file."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.sources.staging import staged
-
 #: Lines that are looked back from a line, and passes: a slice resolves through one alias less.
 WINDOW, PASSES = 48, 3
+#: Binary places of a line's number within its block. A block has the assignments of the WINDOW x PASSES lines before it as well.
+SPAN_BITS = 12
 _VAR, _QUOTED = r"([A-Za-z_][A-Za-z0-9_.]*)", r"""["']([^"']+)["']"""
 #: Forms at a line's start, first match wins: (form, pattern after the variable and =, value type, confidence).
 FORMS = [
@@ -24,8 +28,8 @@ def assignments(lines: DataFrame) -> DataFrame:
     """(path, line, var, form, value, value_type, confidence) of (path, line, text): the seven forms in which a line gives a variable a value.
 
     Forms 1 to 5 stand at the line's start: a string, a number, another variable, a look-up with a default, a look-up without one
-    (whose value is unknown). Forms 6 and 7 are defaults, strings or numbers, on a line that defines a function. A line gives a
-    variable its first form only. Variables are whole names.
+    (whose value is unknown). Forms 6 and 7 are defaults, strings or numbers, on a line that defines a function. A line may give
+    a variable several forms, of which the first counts. Variables are whole names.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
     rows = lines.select("path", "line", F.explode(F.array(text)).alias("t")).where(F.col("t").contains("="))
@@ -38,7 +42,49 @@ def assignments(lines: DataFrame) -> DataFrame:
     parts = F.transform(defaults, lambda m: F.struct(F.split(m, "=", 2)[0].alias("var"), F.when(m.rlike(r"=\d+$"), 7).otherwise(6).alias("form"), F.regexp_replace(F.split(m, "=", 2)[1], "^[\"']|[\"']$", "").alias("value"), F.when(m.rlike(r"=\d+$"), "integer").otherwise("string").alias("value_type"), F.lit("MEDIUM").alias("confidence")))
     rows = rows.withColumns({"var": var, "rest": rest})
     rows = rows.withColumn("e", F.explode(F.concat(F.array_compact(F.array(F.when(F.col("var") != "", head))), F.when(defines, parts).otherwise(F.array().cast("array<struct<var: string, form: int, value: string, value_type: string, confidence: string>>")))))
-    return rows.select("path", "line", "e.*").groupBy("path", "line", "var").agg(F.min(F.struct("form", "value", "value_type", "confidence")).alias("e")).select("path", "line", "var", "e.*")
+    return rows.select("path", "line", "e.*")
+
+
+def _resolved(known: dict[str, list[tuple]], here: int, now: str) -> tuple | None:
+    """(value, value_type, source_line, confidence) of a variable before a line; known: (line, form, value, value_type, confidence) by variable, lines ascending."""
+    met = [now]
+    for _ in range(PASSES):
+        given = known.get(now, [])
+        i = bisect_left(given, (here,))
+        while i and given[i - 1][0] >= here - WINDOW:
+            at, form, value, kind, sure = given[i - 1]
+            if form != 3:
+                return None if form == 5 else value, kind, at, sure
+            if value not in met:
+                break
+            i -= 1
+        else:
+            return None
+        met.append(value)
+        here, now = at, value
+    return None
+
+
+def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of rows that are sorted by path, block and line, targets (form 0) first, equal ones beside each other."""
+    schema = pa.schema([("path", pa.string()), ("line", pa.int64()), ("var", pa.string()), ("value", pa.string()), ("value_type", pa.string()), ("source_line", pa.int64()), ("confidence", pa.string())])
+    where, last, known = None, None, {}
+    for batch in batches:
+        out = []
+        for path, block, line, form, var, value, kind, sure in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
+            if (path, block) != where:
+                where, last, known = (path, block), None, {}
+            if form:
+                given, e = known.setdefault(var, []), (line, form, value, kind, sure)
+                if given and given[-1][0] == line:
+                    given[-1] = min(given[-1], e)
+                else:
+                    given.append(e)
+            elif (line, var) != last:
+                last = line, var
+                if found := _resolved(known, line, var):
+                    out.append((path, line, var, *found))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
 def backward_slices(lines: DataFrame, targets: DataFrame) -> DataFrame:
@@ -46,20 +92,14 @@ def backward_slices(lines: DataFrame, targets: DataFrame) -> DataFrame:
 
     From a target's line the nearest of the WINDOW lines before it that gives the variable a value decides. An alias goes on with
     the other variable from its own line, at most PASSES passes in all; an alias that leads back to a name already met is passed
-    over. A look-up without a default has value null. Lines are joined by (path, variable, block of WINDOW lines), so a target
-    meets WINDOW assignments at most, however long a file. Repeated targets count once; null columns resolve to nothing.
+    over. A look-up without a default has value null. Targets and assignments are dealt by (path, block of lines) and sorted, so
+    a task holds the assignments of one block at a time, however long a file. Repeated targets count once; null columns resolve
+    to nothing. Paths are strings, lines longs.
     """
-    known = staged(assignments(lines), "assignments").select("path", F.col("line").alias("at"), F.col("var").alias("now"), "form", "value", "value_type", "confidence", F.floor(F.col("line") / WINDOW).alias("block"))
-    open_ = targets.select("path", "line", "var").distinct().withColumns({"here": F.col("line"), "now": F.col("var"), "met": F.array("var")})
-    found = None
-    for _ in range(PASSES):
-        near = open_.withColumn("block", F.explode(F.array_distinct(F.array(F.floor((F.col("here") - WINDOW) / WINDOW), F.floor((F.col("here") - 1) / WINDOW)))))
-        hits = near.join(known, ["path", "now", "block"]).where((F.col("at") < F.col("here")) & (F.col("at") >= F.col("here") - WINDOW))
-        hits = hits.where((F.col("form") != 3) | ~F.array_contains("met", F.col("value")))
-        last = hits.groupBy("path", "line", "var").agg(F.max_by(F.struct("at", "form", "value", "value_type", "confidence", "met"), "at").alias("e")).select("path", "line", "var", "e.*")
-        # Written, as the next pass and the result both read it: else each pass would run all those before it anew.
-        last = staged(last, "resolved")
-        done = last.where("form <> 3").select("path", "line", "var", F.when(F.col("form") != 5, F.col("value")).alias("value"), "value_type", F.col("at").alias("source_line"), "confidence")
-        found = done if found is None else found.unionByName(done)
-        open_ = last.where("form = 3").select("path", "line", "var", F.col("at").alias("here"), F.col("value").alias("now"), F.concat("met", F.array("value")).alias("met"))
-    return found
+    block, place = F.shiftright("line", SPAN_BITS), F.col("line").bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
+    blocks = F.when(place >= (1 << SPAN_BITS) - WINDOW * PASSES, F.array(block, block + 1)).otherwise(F.array(block))
+    known = assignments(lines).dropna(subset=["path", "line"]).select("path", F.explode(blocks).alias("block"), "line", "form", "var", "value", "value_type", "confidence")
+    none = F.lit(None).cast("string")
+    asked = targets.dropna(subset=["path", "line", "var"]).select("path", block.alias("block"), "line", F.lit(0).alias("form"), "var", none.alias("value"), none.alias("value_type"), none.alias("confidence"))
+    rows = known.unionByName(asked).repartition("path", "block").sortWithinPartitions("path", "block", "line", "form", "var")
+    return rows.mapInArrow(_slice, "path string, line long, var string, value string, value_type string, source_line long, confidence string")
